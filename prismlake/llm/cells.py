@@ -1,0 +1,145 @@
+"""Vector cells: pivots fitted on a bounded sample, and the assignment of every vector to the cells it has to meet.
+
+A vector's *home* is the pivot of highest cosine. It also visits another cell if a partner of cosine ``least`` could
+well live there: seen from a vector x, such a partner is ``least * x`` plus a random direction of norm
+``sqrt(1 - least^2)``, so it changes sides between two pivots only if x's own lead for its home is within ``spread``
+standard deviations of what that direction contributes.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Vectors the pivots are fitted on, at most about so many (those of smallest hash of their id).
+SAMPLE_ROWS = 16_384
+MAX_CELLS = 1_024
+#: A cell expected to hold more rows than this is split into blocks by a hash of the vector; visitors go to all of them.
+BLOCK_ROWS = 4_096
+
+
+@dataclass(frozen=True)
+class Pivots:
+    centre: np.ndarray
+    gap: np.ndarray
+    blocks: np.ndarray
+
+    @property
+    def dim(self) -> int:
+        return self.centre.shape[1]
+
+
+def usable(vec: Column, dim: int) -> Column:
+    """Not null, of length dim, without null or NaN, norm above 1e-12."""
+    square = F.aggregate(vec, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return F.coalesce((F.size(vec) == dim) & (square > 1e-24) & (square < float("inf")), F.lit(False))
+
+
+def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """A list column as rows of float32; lists must have length dim."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, dim)
+
+
+def lists(x: np.ndarray) -> pa.Array:
+    """The reverse of matrix."""
+    n, dim = x.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32)), pa.array(np.ascontiguousarray(x, dtype=np.float32).ravel()))
+
+
+def unit(x: np.ndarray, kind: type = np.float64) -> np.ndarray:
+    x = x.astype(kind)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64))[:, None].astype(kind)
+
+
+def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 6, seed: int = 7) -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    centre = x[rng.choice(len(x), k, replace=False)].copy()
+    for _ in range(rounds):
+        home = np.concatenate([(x[i : i + 4096] @ centre.T).argmax(1) for i in range(0, len(x), 4096)])
+        order = np.argsort(home, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(home[order]) > 0])
+        sums = np.add.reduceat(x[order], starts, axis=0)
+        present = home[order][starts]
+        centre[present] = sums
+        missing = np.setdiff1d(np.arange(k), present)
+        centre[missing] = x[rng.choice(len(x), len(missing))]
+        centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
+    return centre
+
+
+def fit(vectors: DataFrame, n: int, dim: int, rows_per_cell: int, sample_rows: int = SAMPLE_ROWS, max_cells: int = MAX_CELLS) -> Pivots:
+    """Pivots for vectors(id, vec), n rows, all usable."""
+    part = min(1.0, sample_rows / max(n, 1))
+    sample = vectors if part == 1.0 else vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(part * (1 << 20)))
+    found = sample.select("vec").toArrow()
+    x = unit(matrix(found.column(0), dim), np.float32) if found.num_rows else np.zeros((0, dim), np.float32)
+    k = int(min(max_cells, max(1, n // rows_per_cell), max(1, len(x) // 8)))
+    centre = spherical_kmeans(x, k) if len(x) else np.eye(1, dim, dtype=np.float32)
+    gap = np.sqrt(np.maximum(0, 2 - 2 * (centre @ centre.T))).astype(np.float32)
+    held = np.bincount((x @ centre.T).argmax(1), minlength=len(centre)) * (n / max(len(x), 1))
+    return Pivots(centre.astype(np.float32), gap, np.maximum(1, np.ceil(held / BLOCK_ROWS)).astype(np.int64))
+
+
+def visits(x: np.ndarray, pivots: Pivots, least: float, spread: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Home of every unit vector of x, and (row, cell) of its visits, home included."""
+    score = x @ pivots.centre.T
+    home = score.argmax(1)
+    lead = spread * np.sqrt(1 - least**2) / least / np.sqrt(pivots.dim)
+    row, cell = np.nonzero(score >= score[np.arange(len(x)), home][:, None] - np.float32(lead) * pivots.gap[home])
+    return home, row, cell
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A hash of each row's bytes: equal vectors have equal hashes."""
+    bits = np.ascontiguousarray(x).view(np.uint32).astype(np.uint64)
+    odd = np.random.default_rng(11).integers(1, 1 << 62, x.shape[1], dtype=np.uint64) | np.uint64(1)
+    h = (bits * odd).sum(1, dtype=np.uint64)
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)
+
+
+def place(vectors: DataFrame, pivots: Pivots, least: float, spread: float, keep: list[str] | None = None, visitors: str | None = None) -> DataFrame:
+    """vectors(id, vec, ...) as rows (cell, block, home, id, vec, *keep): one for each vector's home, one for each visit.
+
+    A visit to a cell of several blocks gives a row for each block. visitors: boolean column; rows where it is false
+    only go home. spread 0 sends every vector home alone.
+    """
+    keep = keep or []
+    types = dict(vectors.dtypes)
+    schema = "cell int, block int, home boolean, id bigint, vec array<float>" + "".join(f", {c} {types[c]}" for c in keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = matrix(batch.column("vec"), pivots.dim)
+            for lo in range(0, len(x), 4096):
+                part = x[lo : lo + 4096]
+                if spread:
+                    home, row, cell = visits(unit(part, np.float32), pivots, least, spread)
+                else:
+                    home = (unit(part, np.float32) @ pivots.centre.T).argmax(1)
+                    row, cell = np.arange(len(part)), home
+                if visitors:
+                    may = (cell == home[row]) | batch.column(visitors).to_numpy(zero_copy_only=False)[lo + row]
+                    row, cell = row[may], cell[may]
+                own = (mixed(part) % pivots.blocks[home].astype(np.uint64)).astype(np.int64)
+                times = pivots.blocks[cell] if spread else np.ones(len(cell), np.int64)
+                again = np.repeat(np.arange(len(row)), times)
+                block = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times) if spread else own
+                row, cell = row[again], cell[again]
+                at_home = (cell == home[row]) & (block == own[row])
+                for i in range(0, len(row), 8192):
+                    r = slice(i, i + 8192)
+                    take = pa.array(lo + row[r])
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[r].astype(np.int32)), pa.array(block[r].astype(np.int32)), pa.array(at_home[r]), batch.column("id").take(take), lists(part[row[r]]), *(batch.column(k).take(take) for k in keep)], names=["cell", "block", "home", "id", "vec", *keep])
+
+    return vectors.select("id", "vec", *dict.fromkeys([*keep, *([visitors] if visitors else [])])).mapInArrow(run, schema)
