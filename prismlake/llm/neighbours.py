@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from prismlake.llm.cells import fit, matrix, place, unit
 
-ROWS_PER_CELL = 400
 #: Slack of the test in standard deviations, columns of a block, queries scanned together.
 SLACK, COLUMNS, QUERIES = 2.1, 32, 512
 
@@ -124,14 +123,14 @@ def search_cell(ids: np.ndarray, x: np.ndarray, home: np.ndarray, k: int, least:
     return item[keep], other[keep], cosine[keep]
 
 
-def nearest(vectors: DataFrame, n: int, dim: int, k: int, least: float, spread: float = 1.0, rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
+def nearest(vectors: DataFrame, n: int, dim: int, k: int, least: float, spread: float = 0.9) -> DataFrame:
     """(item_id, neighbour_id, cosine): for every vector its k most similar others with cosine (12 places) >= least.
 
     vectors(id, vec): usable vectors, one row an id; n: their number. Ties go to the smaller id; equal vectors are each
     other's neighbours at cosine 1. No vectors, or one, give no rows. Approximate: a pair is missed if neither vector's
     visits reach the other's home, or if the scan abandons it; measured recall is in the README. Other columns are ignored.
     """
-    pivots = fit(vectors, n, dim, rows_per_cell)
+    pivots = fit(vectors, n, dim)
     turn = rotation(dim)
 
     def run(group: pa.Table) -> pa.Table:
