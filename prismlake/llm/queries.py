@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prismlake.llm.copies import copies
 from prismlake.llm.neighbours import nearest
+from prismlake.llm.survivors import groups, survivors, truths
 from prismlake.llm.vectors import FACE_DIM, MEDIA_DIM, face_vectors, media_vectors
-from prismlake.tables import cut
+from prismlake.tables import cut, latest, table
 
 VECTORS_SQL = """
 media_now as (select mediaId as id, embedding, perceptualHash as hash, {more}
@@ -20,6 +22,42 @@ face_vec as (select id, embedding::double[] as v, sqrt(list_dot_product(embeddin
 """
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = latest(table(spark, sf_dir, "media_analysis").select("mediaId", "sourceModified", "perceptualHash", "embedding"), "mediaId", "sourceModified")
+    return copies(rows.select(F.col("mediaId").alias("id"), F.col("perceptualHash").alias("hash"), F.col("embedding").alias("vec")), MEDIA_DIM)
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every media of a group of copies, its group, and its number of direct links."""
+    pairs = cut(p1_found(spark, sf_dir), "p1")
+    links = pairs.select(F.explode(F.array("media_a", "media_b")).alias("media_id")).groupBy("media_id").agg(F.count("*").alias("links"))
+    return groups(pairs).join(links, "media_id")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = groups(cut(p1_found(spark, sf_dir), "p2-pairs"))
+    analysis = latest(table(spark, sf_dir, "media_analysis").select("mediaId", "sourceModified", "sharpness", "brightness", "qualityVersion"), "mediaId", "sourceModified")
+    media = latest(table(spark, sf_dir, "media").select("id", "dateTaken", "dateModified", "size", "width", "height"), "id", "dateModified")
+    return survivors(members, analysis, media)
+
+
+def p2_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of each group's fields judged true; a value's source is the pass that measured it, or the kind of file."""
+    members = groups(cut(p1_found(spark, sf_dir), "p2-pairs"))
+    analysis = latest(table(spark, sf_dir, "media_analysis").select("mediaId", "sourceModified", "sharpness", "brightness", "qualityVersion"), "mediaId", "sourceModified")
+    media = latest(table(spark, sf_dir, "media").select("id", "dateTaken", "dateModified", "mimeType"), "id", "dateModified")
+    rows = members.join(analysis.withColumnRenamed("mediaId", "media_id"), "media_id").join(media.withColumnRenamed("id", "media_id"), "media_id")
+    known = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.col(c) >= 0)
+    measure = F.concat(F.lit("quality "), F.col("qualityVersion"))
+    claim = lambda field, value, source, ok: F.when(ok, F.struct(F.lit(field).alias("field"), value.cast("string").alias("value"), source.alias("source")))
+    claims = rows.select(F.col("group_id").alias("subject"), F.explode(F.array_compact(F.array(
+        claim("sharpness", F.round(F.log1p("sharpness"), 1), measure, known("sharpness") & (F.col("qualityVersion") > 0)),
+        claim("brightness", F.round("brightness", 2), measure, known("brightness") & (F.col("brightness") <= 1) & (F.col("qualityVersion") > 0)),
+        claim("dateTaken", F.to_date("dateTaken"), F.coalesce("mimeType", F.lit("none")), F.col("dateTaken") <= F.col("dateModified")),
+    ))).alias("c")).select("subject", "c.*")
+    return truths(claims).select(F.col("subject").alias("group_id"), "field", "value", F.round("belief", 6).alias("belief"), "kept")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = None
     for kind, vectors, dim, least in (("media", media_vectors, MEDIA_DIM, 0.92), ("face", face_vectors, FACE_DIM, 0.70)):
@@ -29,9 +67,47 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
-QUERIES = {"p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_truth": p2_truth, "p6_found": p6_found}
+
+PAIRS_SQL = VECTORS_SQL.format(more="sharpness, brightness, qualityVersion") + """,
+good as (select * from media_vec where nm > 1e-12),
+side as (select m.id, m.hash, bit_count(m.hash) as ones, g.v, g.nm from media_now m left join good g using (id)),
+pair as (
+  select a.id as media_a, b.id as media_b from side a join side b on a.id < b.id
+  where a.hash is not null and b.hash is not null and bit_count(xor(a.hash, b.hash)) <= 6
+    and case when a.nm is not null and b.nm is not null then list_dot_product(a.v, b.v) / a.nm / b.nm >= 0.95
+        else bit_count(xor(a.hash, b.hash)) <= 3 and a.ones between 5 and 59 and b.ones between 5 and 59 end
+  union all
+  select least(a.id, b.id), greatest(a.id, b.id) from side a join side b
+    on a.hash is null and a.nm is not null and b.nm is not null and (b.hash is not null or a.id < b.id)
+  where list_dot_product(a.v, b.v) / a.nm / b.nm >= 0.98)
+"""
+
+GROUPS_SQL = PAIRS_SQL + """,
+link as (select media_a as a, media_b as b from pair union select media_b, media_a from pair),
+reach(a, b) as (select a, b from link union select r.a, l.b from reach r join link l on r.b = l.a),
+member as (select a as media_id, least(a, min(b)) as group_id from reach group by a)
+"""
 
 ORACLE = {
+    "p1_found": "with " + PAIRS_SQL + "select media_a, media_b from pair",
+    "p1_groups": "with recursive " + GROUPS_SQL + "select media_id, group_id, (select count(*) from link where a = media_id) as links from member",
+    "p2_found": "with recursive " + GROUPS_SQL + """,
+media_row as (select * from (select *, row_number() over (partition by id order by dateModified desc) as rn from media) where rn = 1),
+wide as (select g.group_id, g.media_id, n.sharpness, n.brightness, n.qualityVersion, m.dateTaken, m.dateModified,
+    coalesce(m.width::bigint * m.height, -1) as px, coalesce(m.size, -1) as sz
+  from member g left join media_now n on n.id = g.media_id left join media_row m on m.id = g.media_id),
+ranked as (
+  select group_id, 'sharpness' as field, media_id, row_number() over (partition by group_id order by qualityVersion desc, px desc, sz desc, media_id) as rn
+  from wide where qualityVersion > 0 and sharpness is not null and not isnan(sharpness) and sharpness >= 0
+  union all
+  select group_id, 'brightness', media_id, row_number() over (partition by group_id order by qualityVersion desc, px desc, sz desc, media_id)
+  from wide where qualityVersion > 0 and brightness is not null and not isnan(brightness) and brightness between 0 and 1
+  union all
+  select group_id, 'dateTaken', media_id, row_number() over (partition by group_id order by dateTaken, media_id)
+  from wide where dateTaken >= timestamp '2000-01-01' and dateTaken <= dateModified)
+select group_id, field, media_id from ranked where rn = 1
+""",
     "p6_found": "with " + VECTORS_SQL.format(more="1 as one") + """, pairs as (
   select 'media' as kind, a.id as item_id, b.id as neighbour_id, round(list_dot_product(a.v, b.v) / a.nm / b.nm, 12) as c
   from media_vec a join media_vec b on a.id <> b.id where a.nm > 1e-12 and b.nm > 1e-12 and list_dot_product(a.v, b.v) / a.nm / b.nm >= 0.9199999
