@@ -76,13 +76,13 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 6, seed: int = 7) -> n
     return centre
 
 
-def fit(vectors: DataFrame, n: int, dim: int, sample_rows: int = SAMPLE_ROWS, max_cells: int = MAX_CELLS) -> Pivots:
-    """Pivots for vectors(id, vec), n rows, all usable: a quarter of the root of n, so lists and visits both grow slowly."""
+def fit(vectors: DataFrame, n: int, dim: int, cell_rows: int, sample_rows: int = SAMPLE_ROWS, max_cells: int = MAX_CELLS) -> Pivots:
+    """Pivots for vectors(id, vec), n rows, all usable: one for about cell_rows rows."""
     part = min(1.0, sample_rows / max(n, 1))
     sample = vectors if part == 1.0 else vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(part * (1 << 20)))
     found = sample.select("vec").toArrow()
     x = unit(matrix(found.column(0), dim), np.float32) if found.num_rows else np.zeros((0, dim), np.float32)
-    k = int(min(max_cells, max(1, round(np.sqrt(n) / 4)), max(1, len(x) // 8)))
+    k = int(min(max_cells, max(1, n // cell_rows), max(1, len(x) // 8)))
     centre = spherical_kmeans(x, k) if len(x) else np.eye(1, dim, dtype=np.float32)
     gap = np.sqrt(np.maximum(0, 2 - 2 * (centre @ centre.T))).astype(np.float32)
     held = np.bincount((x @ centre.T).argmax(1), minlength=len(centre)) * (n / max(len(x), 1))

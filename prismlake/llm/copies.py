@@ -18,6 +18,7 @@ from prismlake.tables import cut
 
 #: A hash of more usable rows than this (or than 1/4096 of all) is looked up by vector instead.
 HOT = 256
+CELL_ROWS = 2_048
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -26,7 +27,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def _by_vector(rows: DataFrame, n: int, dim: int, bits: int, with_hash: float, without_hash: float, spread: float) -> DataFrame:
     """Pairs of which one side is flagged `asks`; rows(id, vec, hash, asks)."""
-    pivots = fit(rows, n, dim)
+    pivots = fit(rows, n, dim, CELL_ROWS)
     least = min(with_hash, without_hash)
 
     def run(group: pa.Table) -> pa.Table:

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from prismlake.llm.cells import fit, matrix, place, unit
 
+#: Rows of a list: sending a vector to one more list costs about as much as comparing it with so many.
+LIST_ROWS = 16_384
 #: Slack of the test in standard deviations, columns of a block, queries scanned together.
-SLACK, COLUMNS, QUERIES = 2.1, 32, 512
+SLACK, COLUMNS, QUERIES = 2.1, 32, 256
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -28,16 +30,18 @@ def scan(q: np.ndarray, data: np.ndarray, least: float) -> tuple[np.ndarray, np.
     """(row, column, cosine) in single precision of the pairs of unit vectors q x data with cosine >= least, nearly all."""
     dim, far = q.shape[1], 2 - 2 * least
     done = min(COLUMNS, dim)
-    dots = q[:, :done] @ data[:, :done].T
     rest_q, rest_d = np.einsum("ij,ij->i", q[:, :done], q[:, :done]), np.einsum("ij,ij->i", data[:, :done], data[:, :done])
     bound = lambda d: d / dim * (1 + SLACK / np.sqrt(d)) ** 2 * far if d < dim else far + 1e-5
-    # |a-b|^2 <= bound over the first columns, written as a bound on the dot product
-    row, column = np.nonzero(dots >= (rest_q[:, None] - np.float32(bound(done))) / 2 + rest_d[None, :] / 2)
-    if len(row) * 8 > dots.size:
+    # |a-b|^2 <= bound over the first columns, as a bound on a dot product that has -|b|^2/2 in one more column.
+    dots = np.c_[q[:, :done], np.ones(len(q), np.float32)] @ np.c_[data[:, :done], -rest_d / 2].T
+    hit = np.flatnonzero(dots >= ((rest_q - np.float32(bound(done))) / 2)[:, None])
+    if len(hit) * 8 > dots.size:
+        dots += (rest_d / 2)[None, :]
         dots += q[:, done:] @ data[:, done:].T
-        row, column = np.nonzero(dots >= least - 1e-5)
+        row, column = np.divmod(np.flatnonzero(dots >= least - 1e-5), len(data))
         return row, column, dots[row, column]
-    distance = rest_q[row] + rest_d[column] - 2 * dots[row, column]
+    row, column = np.divmod(hit, len(data))
+    distance = rest_q[row] - 2 * dots[row, column]
     while done < dim and len(row):
         upto = min(dim, done + COLUMNS)
         step = np.concatenate([np.square(q[row[i : i + 65536], done:upto] - data[column[i : i + 65536], done:upto]).sum(1) for i in range(0, len(row), 65536)])
@@ -130,7 +134,7 @@ def nearest(vectors: DataFrame, n: int, dim: int, k: int, least: float, spread:
     other's neighbours at cosine 1. No vectors, or one, give no rows. Approximate: a pair is missed if neither vector's
     visits reach the other's home, or if the scan abandons it; measured recall is in the README. Other columns are ignored.
     """
-    pivots = fit(vectors, n, dim)
+    pivots = fit(vectors, n, dim, LIST_ROWS)
     turn = rotation(dim)
 
     def run(group: pa.Table) -> pa.Table:
