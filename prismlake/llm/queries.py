@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prismlake.llm.clusters import clusters, describe
 from prismlake.llm.copies import copies
 from prismlake.llm.neighbours import nearest
 from prismlake.llm.survivors import groups, survivors, truths
@@ -58,6 +59,24 @@ def p2_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truths(claims).select(F.col("subject").alias("group_id"), "field", "value", F.round("belief", 6).alias("belief"), "kept")
 
 
+def _clusters(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    found = {}
+    for kind, vectors, dim in (("media", media_vectors, MEDIA_DIM), ("face", face_vectors, FACE_DIM)):
+        v = cut(vectors(spark, sf_dir), f"p4-{kind}")
+        found[kind] = clusters(v, v.count(), dim)
+    return found
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [c.select(F.lit(kind).alias("kind"), "cluster_id", "member_id") for kind, c in _clusters(spark, sf_dir).items()]
+    return parts[0].unionByName(parts[1])
+
+
+def p4_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [describe(c).select(F.lit(kind).alias("kind"), "*") for kind, c in _clusters(spark, sf_dir).items()]
+    return parts[0].unionByName(parts[1])
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = None
     for kind, vectors, dim, least in (("media", media_vectors, MEDIA_DIM, 0.92), ("face", face_vectors, FACE_DIM, 0.70)):
@@ -67,7 +86,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_truth": p2_truth, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_truth": p2_truth, "p4_found": p4_found, "p4_summary": p4_summary, "p6_found": p6_found}
 
 PAIRS_SQL = VECTORS_SQL.format(more="sharpness, brightness, qualityVersion") + """,
 good as (select * from media_vec where nm > 1e-12),
