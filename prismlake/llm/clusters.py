@@ -61,12 +61,37 @@ def ward(count: np.ndarray, sums: np.ndarray, least: float) -> np.ndarray:
     Mutual nearest neighbours may merge at once without changing the outcome; only leaves that touch others take part.
     """
     group = np.arange(len(count))
-    cross = sums.astype(np.float64) @ sums.T.astype(np.float64)
-    weight = count.astype(np.float64)
-    touch = (cross >= least * np.outer(weight, weight)) & ~np.eye(len(count), dtype=bool)
-    live = np.flatnonzero(touch.any(1))
-    cross, weight = cross[np.ix_(live, live)], weight[live]
-    members = [[i] for i in live]
+    mean = (sums / count[:, None]).astype(np.float32)
+    pairs = [np.zeros((0, 2), np.int64)]
+    for lo in range(0, len(mean), 256):
+        row, column = np.divmod(np.flatnonzero(mean[lo : lo + 256] @ mean.T >= least), len(mean))
+        keep = row + lo < column
+        pairs.append(np.stack([row[keep] + lo, column[keep]], 1))
+    # Leaves that no chain of such pairs connects can't merge, so each connected set is agglomerated by itself.
+    root = group.copy()
+    ends = np.concatenate(pairs)
+    while len(ends):
+        low = root.copy()
+        np.minimum.at(low, ends[:, 1], low[ends[:, 0]])
+        np.minimum.at(low, ends[:, 0], low[ends[:, 1]])
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    order = np.argsort(root, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(root[order]) != 0]) if len(order) else []
+    for live in np.split(order, starts[1:]) if len(order) else []:
+        if len(live) > 1:
+            for m in _agglomerate(count[live].astype(np.float64), sums[live].astype(np.float64), least):
+                group[live[m]] = live[min(m)]
+    return group
+
+
+def _agglomerate(weight: np.ndarray, sums: np.ndarray, least: float) -> list[list[int]]:
+    cross = sums @ sums.T
+    members = [[i] for i in range(len(weight))]
+    if (cross >= least * np.outer(weight, weight)).all():
+        return [list(range(len(weight)))]  # any order of merging ends here
     while len(weight) > 1:
         mean = cross / np.outer(weight, weight)
         self_ = np.diag(mean)
@@ -91,15 +116,14 @@ def ward(count: np.ndarray, sums: np.ndarray, least: float) -> np.ndarray:
         onto[position[into], np.arange(len(weight))] = 1
         cross, weight = onto @ cross @ onto.T, onto @ weight
         members = [members[i] for i in kept]
-    for m in members:
-        group[m] = min(m)
-    return group
+    return members
+
 
 
 def clusters(vectors: DataFrame, n: int, dim: int, least: float = 0.57, smallest: int = 5) -> DataFrame:
     """(cluster_id, member_id, score): sets of at least `smallest` vectors, each with a mean cosine >= least to the others.
 
-    vectors(id, vec): usable vectors, one row an id; n: their number. score is that mean; a vector goes to the cluster of
+    vectors(id, vec): usable vectors; repeated rows of an id are equal and count once; n: their number. score is that mean; a vector goes to the cluster of
     highest mean and to none where that is below least; cluster_id is the smallest member id. Equal vectors count singly.
     No vectors, or no such set, give no rows. Further columns are ignored.
     """
@@ -107,6 +131,7 @@ def clusters(vectors: DataFrame, n: int, dim: int, least: float = 0.57, smallest
     placed = place(vectors, pivots, least, 0)
 
     def grow(group: pa.Table) -> pa.Table:
+        group = group.take(pa.array(np.unique(group.column("id").to_numpy(), return_index=True)[1]))
         x = unit(matrix(group.column("vec"), dim), np.float32)
         leaf, count, sums = leaves(x, least)
         key = (group.column("cell")[0].as_py() << 44) | (group.column("block")[0].as_py() << 28)
@@ -127,8 +152,9 @@ def clusters(vectors: DataFrame, n: int, dim: int, least: float = 0.57, smallest
         moved = np.flatnonzero(into != np.arange(len(into)))
         return pa.table({"a": key[moved], "b": key[into[moved]]})
 
-    # Two leaves of one cluster are alike at least as two of its vectors are.
-    links = place(summaries, pivots, 0.70, 1.0, keep=["count"]).groupBy("cell", "block").applyInArrow(meet, "a bigint, b bigint")
+    # Leaves of several vectors look far for their like; single vectors, mostly strays, are found by those or by the last pass.
+    near = place(summaries.where("count > 1"), pivots, 0.65, 2.0, keep=["count"]).unionByName(place(summaries.where("count = 1"), pivots, 0.80, 1.0, keep=["count"]))
+    links = near.groupBy("cell", "block").applyInArrow(meet, "a bigint, b bigint")
     joined = components(links).select(F.col("node").alias("leaf"), F.col("component").alias("cluster"))
     named = cut(grown.select("cell", "block", "id", "leaf", "count").join(joined, "leaf", "left").select("cell", "block", "id", F.coalesce("cluster", "leaf").alias("cluster"), "leaf"), "clusters-named")
 
@@ -144,6 +170,7 @@ def clusters(vectors: DataFrame, n: int, dim: int, least: float = 0.57, smallest
         what, key, count = (group.column(c).to_numpy() for c in ("what", "id", "count"))
         vec = group.column("vec")
         at_c, at_v, at_m = (np.flatnonzero(what == w) for w in (0, 1, 2))
+        at_v = at_v[np.unique(key[at_v], return_index=True)[1]]
         if not len(at_c) or not len(at_v):
             return pa.table({"cluster": pa.array([], pa.int64()), "member_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         order = at_c[np.argsort(key[at_c], kind="stable")]

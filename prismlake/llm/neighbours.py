@@ -130,7 +130,7 @@ def search_cell(ids: np.ndarray, x: np.ndarray, home: np.ndarray, k: int, least:
 def nearest(vectors: DataFrame, n: int, dim: int, k: int, least: float, spread: float = 0.9) -> DataFrame:
     """(item_id, neighbour_id, cosine): for every vector its k most similar others with cosine (12 places) >= least.
 
-    vectors(id, vec): usable vectors, one row an id; n: their number. Ties go to the smaller id; equal vectors are each
+    vectors(id, vec): usable vectors; repeated rows of an id are equal and count once; n: their number. Ties go to the smaller id; equal vectors are each
     other's neighbours at cosine 1. No vectors, or one, give no rows. Approximate: a pair is missed if neither vector's
     visits reach the other's home, or if the scan abandons it; measured recall is in the README. Other columns are ignored.
     """
@@ -138,6 +138,7 @@ def nearest(vectors: DataFrame, n: int, dim: int, k: int, least: float, spread:
     turn = rotation(dim)
 
     def run(group: pa.Table) -> pa.Table:
+        group = group.take(pa.array(np.unique(group.column("id").to_numpy(), return_index=True)[1]))
         x = matrix(group.column("vec"), dim)
         item, other, cosine = search_cell(group.column("id").to_numpy(), x, group.column("home").to_numpy(), k, least, turn)
         return pa.table({"item_id": item, "neighbour_id": other, "cosine": cosine})

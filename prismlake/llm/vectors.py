@@ -18,7 +18,7 @@ def media_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def face_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, vec) of all usable vectors of faces of the current model that aren't artifacts."""
+    """(id, vec) of all usable vectors of faces of the current model that aren't artifacts; repeated rows are left in."""
     rows = table(spark, sf_dir, "face").where("embedVersion = 2 and not coalesce(isArtifact, false)").select("id", "embedding")
     rows = rows.where(usable(F.col("embedding"), FACE_DIM) & F.col("id").isNotNull())
-    return rows.dropDuplicates(["id"]).select("id", F.col("embedding").alias("vec"))
+    return rows.select("id", F.col("embedding").alias("vec"))
