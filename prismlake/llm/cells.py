@@ -55,6 +55,17 @@ def lists(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32)), pa.array(np.ascontiguousarray(x, dtype=np.float32).ravel()))
 
 
+def halves(x: np.ndarray) -> pa.Array:
+    """Rows as half-precision bytes: enough to group vectors by, at half the size in a shuffle."""
+    n, dim = x.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * 2 * dim, 2 * dim, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(x, dtype=np.float16))])
+
+
+def from_halves(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """The reverse of halves, as float32."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float16).reshape(-1, dim).astype(np.float32)
+
+
 def unit(x: np.ndarray, kind: type = np.float64) -> np.ndarray:
     x = x.astype(kind)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64))[:, None].astype(kind)
@@ -106,15 +117,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)
 
 
-def place(vectors: DataFrame, pivots: Pivots, least: float, spread: float, keep: list[str] | None = None, visitors: str | None = None) -> DataFrame:
+def place(vectors: DataFrame, pivots: Pivots, least: float, spread: float, keep: list[str] | None = None, visitors: str | None = None, half: bool = False) -> DataFrame:
     """vectors(id, vec, ...) as rows (cell, block, home, id, vec, *keep): one for each vector's home, one for each visit.
 
     A visit to a cell of several blocks gives a row for each block. visitors: boolean column; rows where it is false
-    only go home. spread 0 sends every vector home alone.
+    only go home. spread 0 sends every vector home alone. half: vec as unit vectors of half precision, see halves().
     """
     keep = keep or []
     types = dict(vectors.dtypes)
-    schema = "cell int, block int, home boolean, id bigint, vec array<float>" + "".join(f", {c} {types[c]}" for c in keep)
+    schema = "cell int, block int, home boolean, id bigint, vec " + ("binary" if half else "array<float>") + "".join(f", {c} {types[c]}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,6 +151,6 @@ def place(vectors: DataFrame, pivots: Pivots, least: float, spread: float, keep:
                 for i in range(0, len(row), 8192):
                     r = slice(i, i + 8192)
                     take = pa.array(lo + row[r])
-                    yield pa.RecordBatch.from_arrays([pa.array(cell[r].astype(np.int32)), pa.array(block[r].astype(np.int32)), pa.array(at_home[r]), batch.column("id").take(take), lists(part[row[r]]), *(batch.column(k).take(take) for k in keep)], names=["cell", "block", "home", "id", "vec", *keep])
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[r].astype(np.int32)), pa.array(block[r].astype(np.int32)), pa.array(at_home[r]), batch.column("id").take(take), halves(unit(part[row[r]], np.float32)) if half else lists(part[row[r]]), *(batch.column(k).take(take) for k in keep)], names=["cell", "block", "home", "id", "vec", *keep])
 
     return vectors.select("id", "vec", *dict.fromkeys([*keep, *([visitors] if visitors else [])])).mapInArrow(run, schema)

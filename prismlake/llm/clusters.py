@@ -4,7 +4,8 @@ Every cell of vectors (or block of a large one) builds a small tree of cluster f
 (number, linear sum) and take a vector whose mean cosine to the leaf is high enough. The leaves' summaries are merged
 where they meet: in every cell that a leaf could share with its like, Ward agglomeration joins the leaves, and what
 cells agree on is closed over as connected components. A last pass holds every vector against the clusters' centres.
-Only summaries move between the steps; they are as many as there are clusters and stray vectors.
+Only summaries move between the steps; they are as many as there are clusters and stray vectors. Leaves are grown and
+merged at half precision; the last pass, which decides, uses the vectors as stored.
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismlake.llm.cells import fit, lists, matrix, place, unit
+from prismlake.llm.cells import fit, from_halves, lists, matrix, place, unit
 from prismlake.operators.components import components
 from prismlake.tables import cut
 
-CELL_ROWS = 4_096
+CELL_ROWS = 16_384
 
 
 def leaves(x: np.ndarray, least: float, step: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,11 +129,11 @@ def clusters(vectors: DataFrame, n: int, dim: int, least: float = 0.57, smallest
     No vectors, or no such set, give no rows. Further columns are ignored.
     """
     pivots = fit(vectors, n, dim, CELL_ROWS)
-    placed = place(vectors, pivots, least, 0)
+    placed = place(vectors, pivots, least, 0, half=True)
 
     def grow(group: pa.Table) -> pa.Table:
         group = group.take(pa.array(np.unique(group.column("id").to_numpy(), return_index=True)[1]))
-        x = unit(matrix(group.column("vec"), dim), np.float32)
+        x = unit(from_halves(group.column("vec"), dim), np.float32)
         leaf, count, sums = leaves(x, least)
         key = (group.column("cell")[0].as_py() << 44) | (group.column("block")[0].as_py() << 28)
         first = np.unique(leaf, return_index=True)[1]
@@ -148,13 +149,15 @@ def clusters(vectors: DataFrame, n: int, dim: int, least: float = 0.57, smallest
 
     def meet(group: pa.Table) -> pa.Table:
         key, count = group.column("id").to_numpy(), group.column("count").to_numpy()
-        into = ward(count, matrix(group.column("vec"), dim), least)
+        into = ward(count, from_halves(group.column("vec"), dim) * (group.column("length").to_numpy() * count)[:, None].astype(np.float32), least)
         moved = np.flatnonzero(into != np.arange(len(into)))
         return pa.table({"a": key[moved], "b": key[into[moved]]})
 
     # Leaves of several vectors look far for their like; single vectors, mostly strays, are found by those or by the last pass.
-    near = place(summaries.where("count > 1"), pivots, 0.65, 2.0, keep=["count"]).unionByName(place(summaries.where("count = 1"), pivots, 0.80, 1.0, keep=["count"]))
-    links = near.groupBy("cell", "block").applyInArrow(meet, "a bigint, b bigint")
+    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))) / F.col("count")
+    sized = summaries.withColumn("length", length)
+    many, single = (place(sized.where(which), pivots, least_, spread, keep=["count", "length"], half=True) for which, least_, spread in (("count > 1", 0.65, 2.0), ("count = 1", 0.80, 1.0)))
+    links = many.unionByName(single).groupBy("cell", "block").applyInArrow(meet, "a bigint, b bigint")
     joined = components(links).select(F.col("node").alias("leaf"), F.col("component").alias("cluster"))
     named = cut(grown.select("cell", "block", "id", "leaf", "count").join(joined, "leaf", "left").select("cell", "block", "id", F.coalesce("cluster", "leaf").alias("cluster"), "leaf"), "clusters-named")
 
