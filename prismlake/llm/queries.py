@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from prismlake.llm.clusters import clusters, describe
 from prismlake.llm.copies import copies
+from prismlake.llm.languages import documents as document_languages
+from prismlake.llm.languages import known, passages, train
+from prismlake.llm.leaks import clean, leaks
+from prismlake.llm.mixture import mix, plan, shares, token_counts
 from prismlake.llm.neighbours import nearest
+from prismlake.llm.sentences import sentences
 from prismlake.llm.survivors import groups, survivors, truths
 from prismlake.llm.vectors import FACE_DIM, MEDIA_DIM, face_vectors, media_vectors
 from prismlake.tables import cut, latest, table
@@ -86,7 +91,55 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_truth": p2_truth, "p4_found": p4_found, "p4_summary": p4_summary, "p6_found": p6_found}
+def p5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language, confidence and place of every passage of every text line."""
+    lines = latest(table(spark, sf_dir, "text_line").select("id", "mediaId", "text"), "id")
+    labels = latest(table(spark, sf_dir, "text_label").select("mediaId", "lang"), "mediaId").select("mediaId", known("lang").alias("label"))
+    lines = cut(lines.join(labels, "mediaId", "left"), "p5-lines")
+    model = train(lines.where("label is not null").select("id", "text", "label"))
+    return passages(lines, model).select(F.col("mediaId").alias("media_id"), F.col("id").alias("line_id"), "label", "first", "past", "lang", "confidence")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_passages(spark, sf_dir).where("lang is not null and media_id is not null and (label is null or label <> lang)").select("media_id", "line_id", "lang").distinct()
+
+
+def p5_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main language of each media's text with its confidence, and the share of its letters in that language."""
+    found = p5_passages(spark, sf_dir)
+    return document_languages(found)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
+def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    name = F.lower(F.trim("source")).alias("source")
+    targets = table(spark, sf_dir, "mix_target").select(name, "weight", "max_repeat")
+    wanted = table(spark, sf_dir, "documents").select("doc_id", name, "text").join(F.broadcast(targets.limit(100_000).select("source").distinct()), "source", "left_semi")
+    counts = cut(token_counts(wanted), "p8-counts")
+    planned = plan(counts, targets)
+    return mix(counts, planned), planned
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shares(*_mix(spark, sf_dir))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences(table(spark, sf_dir, "documents")).select("doc_id", "start_pos")
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_truth": p2_truth, "p4_found": p4_found, "p4_summary": p4_summary, "p5_found": p5_found, "p5_passages": p5_passages, "p5_documents": p5_documents, "p6_found": p6_found, "p7_found": p7_found, "p7_clean": p7_clean, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
 
 PAIRS_SQL = VECTORS_SQL.format(more="sharpness, brightness, qualityVersion") + """,
 good as (select * from media_vec where nm > 1e-12),
@@ -126,6 +179,13 @@ ranked as (
   select group_id, 'dateTaken', media_id, row_number() over (partition by group_id order by dateTaken, media_id)
   from wide where dateTaken >= timestamp '2000-01-01' and dateTaken <= dateModified)
 select group_id, field, media_id from ranked where rn = 1
+""",
+    "p7_found": r"""
+with doc as (select doc_id, regexp_extract_all(lower(regexp_replace(text, '[-\x{2010}][ \t]*\r?\n[ \t]*', '', 'g')), '[\p{L}\p{N}]+') as w from documents where text is not null),
+item as (select item_id, regexp_extract_all(lower(regexp_replace(text, '[-\x{2010}][ \t]*\r?\n[ \t]*', '', 'g')), '[\p{L}\p{N}]+') as w from (select distinct item_id, text from eval_item)),
+dg as (select doc_id, array_to_string(list_slice(w, i, i + 11), ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 10)) as i from doc)),
+ig as (select item_id, array_to_string(list_slice(w, i, i + 11), ' ') as g from (select item_id, w, unnest(range(1, len(w) - 10)) as i from item))
+select distinct doc_id, item_id from dg join ig using (g)
 """,
     "p6_found": "with " + VECTORS_SQL.format(more="1 as one") + """, pairs as (
   select 'media' as kind, a.id as item_id, b.id as neighbour_id, round(list_dot_product(a.v, b.v) / a.nm / b.nm, 12) as c
