@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismlake.llm.cells import fit, from_halves, lists, matrix, place, unit
+from prismlake.operators.cells import fit, from_halves, lists, matrix, place, unit
 from prismlake.operators.components import components
 from prismlake.tables import cut
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismlake.llm.cells import fit, matrix, place, unit, usable
+from prismlake.operators.cells import fit, matrix, place, unit, usable
 from prismlake.llm.trie import near_codes
 from prismlake.tables import cut
 
