@@ -15,7 +15,8 @@ def norm(v: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / norm(a) / norm(b)
+    """Null where a norm is zero."""
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def normalise(v: Column) -> Column:

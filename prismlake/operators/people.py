@@ -163,7 +163,7 @@ def centroids(vectors: DataFrame, key: str, dim: int) -> DataFrame:
     schema = f"{key} bigint, n bigint, vec array<double>"
     sums = vectors.select(key, "vec").mapInArrow(partial, schema).groupBy(key).applyInArrow(_summing(key, dim), schema)
     length = F.sqrt(dot(F.col("vec"), F.col("vec")))
-    return sums.select(key, "n", F.transform("vec", lambda x: x / length).alias("centroid"))
+    return sums.select(key, "n", F.transform("vec", lambda x: F.try_divide(x, length)).alias("centroid"))
 
 
 def _summing(key: str, dim: int):
