@@ -185,15 +185,15 @@ def clusters(vectors: DataFrame, n: int, dim: int, least: float = 0.57, smallest
         position = np.minimum(np.searchsorted(name, own), len(name) - 1)
         inside = name[position] == own
         best, score = np.zeros(len(ids), np.int64), np.zeros(len(ids))
-        for lo in range(0, len(ids), 2048):
-            part = unit(x[lo : lo + 2048])
+        for lo in range(0, len(ids), 512):
+            part = unit(x[lo : lo + 512])
             sums = part @ centre.T
             mean = sums / size
-            row = np.flatnonzero(inside[lo : lo + 2048])
+            row = np.flatnonzero(inside[lo : lo + 512])
             column = position[lo + row]
             mean[row, column] = (sums[row, column] - 1) / np.maximum(size[column] - 1, 1)
-            best[lo : lo + 2048] = mean.argmax(1)
-            score[lo : lo + 2048] = mean.max(1)
+            best[lo : lo + 512] = mean.argmax(1)
+            score[lo : lo + 512] = mean.max(1)
         ok = score >= least
         return pa.table({"cluster": name[best[ok]], "member_id": ids[ok], "score": score[ok]})
 
