@@ -17,6 +17,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from prismlake.llm import thai
+
 # Abbreviations that never end a sentence, by language.
 NEVER = {
     "en": "v vs cf no nos s ss ex fig figs para paras p pp ch art vol approx capt dr mr mrs ms prof st sr jr rev hon gen col lt sgt cr al e.g i.e eg ie viz re",
@@ -67,15 +69,9 @@ THAI = re.compile(r"[฀-๿]")
 OTHER = re.compile(r"[Ѐ-鿿]")
 SCRIPTS = [("th", re.compile(r"[฀-๿]+")), ("hi", re.compile(r"[ऀ-ॿ]+")), ("ar", re.compile(r"[؀-ۿ]+")), ("ru", re.compile(r"[Ѐ-ӿ]+")), ("zh", re.compile(r"[぀-鿿]+"))]
 
-# Fixed values, Thai: words by what they do at a gap.
-TH_EXPECT = frozenset("คือ เมื่อ วันที่ ที่ ว่า กับ และ หรือ ของ จาก ถึง โดย ใน เป็น มาตรา ข้อ เลขที่ จำนวน ประมาณ ซึ่ง เพื่อ ตาม ต่อ".split())
-TH_GO_ON = frozenset("บาท สตางค์ ปี วัน เดือน นาที ชั่วโมง คน ราย ครั้ง เมตร ไร่ และ หรือ ซึ่ง ที่ กับ ว่า โดย ของ จาก ถึง ใน น. พ.ศ.".split())
-TH_VERB = frozenset("เห็น อ้าง โต้แย้ง ยก ยื่น คือ ลงนาม พ้น พิสูจน์ ถูกต้อง มี เป็น ขอ สั่ง พิพากษา วินิจฉัย กล่าว ตอบ ให้การ ชำระ รับ ปฏิเสธ ฟ้อง ส่ง ได้ ต้อง ควร".split())
-TH_FINAL = frozenset("แล้ว ครับ ค่ะ คะ นะ เทอญ ด้วย เลย".split())
-TH_MORE = frozenset("ศาล ให้ คำร้อง คำขอ คำอุทธรณ์ คำฟ้องแย้ง คำฟ้อง คุ้มครอง ชั่วคราว เงิน พิพาท สัญญา ไม่ เคย กำหนด เวลา การ ความเสียหาย หมาย โจทก์ จำเลย ผู้ร้อง พยาน ทั้งนี้ นอกจากนี้ ดังนั้น อย่างไรก็ตาม แต่".split())
-TH_OPEN = frozenset("ศาล ให้ คำร้อง คำขอ คำอุทธรณ์ คำฟ้องแย้ง คำฟ้อง จำนวน โจทก์ จำเลย ผู้ร้อง พยาน ทั้งนี้ นอกจากนี้ ดังนั้น อย่างไรก็ตาม แต่".split())
-TH_WORDS = TH_EXPECT | TH_GO_ON | TH_VERB | TH_FINAL | TH_MORE | TH_OPEN
-TH_LONGEST = max(map(len, TH_WORDS))
+# Thai: a word begins neither at a sign that is written on the letter before, nor at a silent letter, nor ends at a vowel written first.
+TH_INSIDE = re.compile(r"[ะ-ฺๅ็-๎]|[ก-ฮ][ิุ]?์")
+TH_FIRST = frozenset("เแโใไ")
 
 
 def language(text: str) -> str:
@@ -95,17 +91,19 @@ def language(text: str) -> str:
 def thai_words(chunk: str) -> tuple[str, ...]:
     """The likeliest words of a chunk: the path of least cost through the lattice of dictionary words and unknown letters."""
     n = len(chunk)
+    edge = [i == n or not (TH_INSIDE.match(chunk, i) or i and chunk[i - 1] in TH_FIRST) for i in range(n + 1)]
     cost, back = [0.0] + [1e9] * n, [0] * (n + 1)
+    word = [False] * (n + 1)
     for i in range(n):
         if cost[i] + 1.3 < cost[i + 1]:
-            cost[i + 1], back[i + 1] = cost[i] + 1.3, i
-        for k in range(1, min(TH_LONGEST, n - i) + 1):
-            if chunk[i : i + k] in TH_WORDS and cost[i] + 1 < cost[i + k]:
-                cost[i + k], back[i + k] = cost[i] + 1, i
+            cost[i + 1], back[i + 1], word[i + 1] = cost[i] + 1.3, i, False
+        for k in range(1, min(thai.LONGEST, n - i) + 1) if edge[i] else ():
+            if edge[i + k] and cost[i] + 1 < cost[i + k] and chunk[i : i + k] in thai.WORDS:
+                cost[i + k], back[i + k], word[i + k] = cost[i] + 1, i, True
     out, at, unknown = [], n, n
     while at > 0:
         start = back[at]
-        if chunk[start:at] in TH_WORDS:
+        if word[at]:
             if unknown > at:
                 out.append(chunk[at:unknown])
             out.append(chunk[start:at])
@@ -119,30 +117,55 @@ def thai_words(chunk: str) -> tuple[str, ...]:
 def thai_starts(text: str, start: int, end: int) -> list[int]:
     """Starts of the sentences after the first in a Thai paragraph."""
     out, clause, last, at = [], [], "", start
+    # Gaps since the clause began with a word that makes it wait for its main clause.
+    waits = False
     for gap in GAP.finditer(text, start, end):
         chunk = text[at : gap.start()]
         at = gap.end()
         if at >= end:
             break
         words = thai_words(chunk) if THAI.search(chunk) else (chunk,)
+        if not clause:
+            waits = bool(words) and words[0] in thai.SUBORDINATE
         clause += words
         last = words[-1] if words else ""
-        follows = text[at : GAP.search(text, at, end).start() if GAP.search(text, at, end) else end]
-        if not follows:
+        ahead = thai_ahead(text, at, end)
+        if not ahead:
             continue
-        ahead = thai_words(follows) if THAI.search(follows) else (follows,)
-        if last in TH_EXPECT or ahead[0] in TH_GO_ON or not THAI.match(follows[0]):
-            # A foreign or masked name may open a clause after a complete one.
-            if last in TH_EXPECT or ahead[0] in TH_GO_ON or follows[0].isdigit() or not (last in TH_FINAL or any(w in TH_VERB for w in clause)) or not THAI.search(follows):
-                continue
-        complete = last in TH_FINAL or any(w in TH_VERB for w in clause)
-        opens = ahead[0] in TH_OPEN or any(w in TH_VERB for w in ahead)
-        if complete and opens:
+        complete = last in thai.FINAL or thai.predicate(clause)
+        opening = ahead[0] in thai.OPEN or thai.predicate(ahead)
+        title = max((i for i, w in enumerate(words) if w in thai.TITLE), default=len(words))
+        named = 0 < sum(map(len, words[title + 1 :])) <= thai.NAME
+        if last in thai.EXPECT or named or thai_goes_on(last, ahead, opening) or not complete:
+            continue
+        if waits:
+            waits = not thai.predicate(clause)
+            continue
+        # A foreign or masked name may open a clause after a complete one, a number may not.
+        if opening and not text[at].isdigit():
             out.append(at)
             clause = []
     return out
 
 
+def thai_ahead(text: str, at: int, end: int) -> tuple[str, ...]:
+    """The words of the chunk at a place, with the next chunk where a sign of repetition stands between."""
+    gap = GAP.search(text, at, end)
+    follows = text[at : gap.start() if gap else end]
+    words = thai_words(follows) if THAI.search(follows) else (follows,) if follows else ()
+    if gap and text[gap.end() : gap.end() + 1] == "ๆ" and (next_ := GAP.search(text, gap.end(), end)) and next_.end() < end:
+        return words + ("ๆ",) + thai_ahead(text, next_.end(), end)
+    return words
+
+
+def thai_goes_on(last: str, ahead: tuple[str, ...], opening: bool) -> bool:
+    """Whether what follows a gap belongs to the clause before it."""
+    first = ahead[0]
+    if first in thai.CLASSIFIER and (last[-1:].isdigit() or last in thai.CLASSIFIER or len(ahead) == 1):
+        return True
+    return first in thai.GO_ON or first.startswith("ๆ") or (first in thai.PREPOSITION and not opening)
+
+
 def opens(text: str, at: int, end: int) -> bool:
     """Whether a sentence could start here, as far as its first sign tells."""
     c = text[at]

@@ -297,6 +297,21 @@ def test_sentences_of_plain_texts(text, parts):
     assert len(cut(text)) == parts, cut(text)
 
 
+@pytest.mark.parametrize(
+    "text, parts",
+    [
+        ("เมื่อวานนี้ฉันไปตลาดกับแม่ เราซื้อผักและผลไม้หลายอย่าง ตอนเย็นพ่อทำอาหารให้ทุกคนกิน", 3),
+        ("แมวนอนอยู่บนโซฟา หมาวิ่งเล่นในสวน เด็ก ๆ หัวเราะ", 3),
+        ("ถ้าฝนตก ฉันจะอยู่บ้าน พรุ่งนี้เราจะไปทะเล", 2),
+        ("รัฐบาลใช้เงิน 300 ล้านบาท เพื่อสร้างถนนใหม่ ชาวบ้านรู้สึกดีใจมาก นอกจากนี้โรงเรียนยังเปิดสอนภาษาอังกฤษ", 3),
+        ("เขาซื้อส้ม กล้วย และ มะม่วง แล้วกลับบ้าน", 1),
+        ("ตำรวจจับนายสมชาย รักไทยเจริญ ที่สนามบิน เขาปฏิเสธ", 2),
+    ],
+)
+def test_sentences_of_everyday_thai(text, parts):
+    assert len(cut(text)) == parts, cut(text)
+
+
 def test_layout_of_a_document():
     text = "A v. B\nCourt\nAA 1/2\n\n\nREASONS\n\n1. The first one\nwraps here. It goes on over\nCourt | Page 2 of 3\nthe page. See fig.\n2.5 there.\n- 3 -\n\n\n2. Last.\n\nSigned: Me"
     got = [text[a : a + 8] for a in sentences.starts(text)]
