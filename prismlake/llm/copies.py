@@ -1,8 +1,9 @@
 """Near-duplicate media, from perceptual hashes and vectors that may be missing on either side.
 
-Hashes with enough detail go through the binary trie join over all distinct values; its pairs are exact. Rows that
-have no such hash (missing, hardly any bits, or one value shared by very many rows) are looked up by vector: they
-visit the vector cells in which a partner could live, and are compared there with every row.
+Hashes with enough detail go through the binary trie join over all distinct values; its pairs are exact. The rows of a
+value shared by very many are compared in tiles of bounded size with those of every near value, which is exact too. Rows
+that have no such hash (missing, or hardly any bits) are looked up by vector: they visit the vector cells in which a
+partner could live, and are compared there with every row.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from prismlake.operators.cells import fit, matrix, place, unit, usable
 from prismlake.llm.trie import near_codes
 from prismlake.tables import cut
 
-#: A hash of more usable rows than this (or than 1/4096 of all) is looked up by vector instead.
+#: A hash of more usable rows than this (or than 1/4096 of all) is compared in tiles of about TILE_ROWS rows a side.
 HOT = 256
+TILE_ROWS = 2_048
 CELL_ROWS = 2_048
 
 
@@ -53,6 +55,40 @@ def _by_vector(rows: DataFrame, n: int, dim: int, bits: int, with_hash: float, w
     return cells.groupBy("cell", "block").applyInArrow(run, "media_a bigint, media_b bigint").distinct()
 
 
+def _by_tiles(near: DataFrame, rows: DataFrame, dim: int, least: float) -> DataFrame:
+    """Pairs with cosine >= least of rows(id, vec, hash) whose hashes are paired in near(code_a, good_a, code_b, good_b)."""
+    parts = lambda good: F.ceil(F.col(good) / TILE_ROWS).cast("int")
+    part_of = lambda n: F.pmod(F.xxhash64("id"), n)
+    tile = ["code_a", "code_b", "part_a", "part_b"]
+    tiles = near.select("code_a", "code_b", parts("good_a").alias("n_a"), parts("good_b").alias("n_b"))
+    tiles = tiles.withColumn("part_a", F.explode(F.sequence(F.lit(0), F.col("n_a") - 1))).withColumn("part_b", F.explode(F.sequence(F.lit(0), F.col("n_b") - 1)))
+    tiles = tiles.where("code_a <> code_b or part_a <= part_b")
+
+    def side(s: str) -> DataFrame:
+        own = tiles if s == "a" else tiles.where("code_a <> code_b or part_a <> part_b")
+        known = near.select(F.col(f"code_{s}").alias("hash"), parts(f"good_{s}").alias("n")).distinct()
+        placed = rows.join(known, "hash").select(F.col("hash").alias(f"code_{s}"), part_of(F.col("n")).cast("int").alias(f"part_{s}"), "id", "vec")
+        return own.join(placed, [f"code_{s}", f"part_{s}"]).select(*tile, F.lit(s == "a").alias("first"), "id", "vec")
+
+    def run(group: pa.Table) -> pa.Table:
+        x, ids, first = unit(matrix(group.column("vec"), dim)), group.column("id").to_numpy(), group.column("first").to_numpy()
+        small, left, right = x.astype(np.float32), np.flatnonzero(first), np.flatnonzero(~first)
+        same = group.column("code_a")[0] == group.column("code_b")[0] and group.column("part_a")[0] == group.column("part_b")[0]
+        right = left if same else right
+        found = [np.zeros((0, 2), np.int64)]
+        for lo in range(0, len(left), 512):
+            row, column = np.nonzero(small[left[lo : lo + 512]] @ small[right].T >= least - 1e-5)
+            a, b = left[lo + row], right[column]
+            keep = (ids[a] < ids[b]) | (not same)
+            a, b = a[keep], b[keep]
+            a, b = (side[np.einsum("ij,ij->i", x[a], x[b]) >= least] for side in (a, b))
+            found.append(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])], 1))
+        pairs = np.concatenate(found)
+        return pa.table({"media_a": pairs[:, 0], "media_b": pairs[:, 1]})
+
+    return side("a").unionByName(side("b")).groupBy(*tile).applyInArrow(run, "media_a bigint, media_b bigint")
+
+
 def copies(rows: DataFrame, dim: int, bits: int = 6, with_hash: float = 0.95, without_hash: float = 0.98, hash_only_bits: int = 3, detail: tuple[int, int] = (5, 59), spread: float = 3.0) -> DataFrame:
     """(media_a, media_b), media_a < media_b, of rows(id, hash, vec) that are copies of each other.
 
@@ -73,8 +109,6 @@ def copies(rows: DataFrame, dim: int, bits: int = 6, with_hash: float = 0.95, wi
     codes = narrow.where(detailed).groupBy(F.col("hash").alias("code")).agg(F.count(F.when(F.col("good"), 1)).alias("n_good"), F.count(F.when(~F.col("good"), 1)).alias("n_bad"))
     codes = cut(codes, "copies-codes")
     hot_from = max(HOT, n // 4096)
-    # At most 4096 values have so many rows.
-    hot = F.broadcast(codes.where(F.col("n_good") > hot_from).select(F.col("code").alias("hash"), F.lit(True).alias("hot")))
     near = near_codes(codes, bits, codes.count())
     side = lambda s: codes.select(F.col("code").alias(f"code_{s}"), F.col("n_good").alias(f"good_{s}"), F.col("n_bad").alias(f"bad_{s}"))
     same = codes.where("n_good + n_bad > 1").select(F.col("code").alias("code_a"), F.col("code").alias("code_b"), F.lit(0).alias("bits"))
@@ -91,11 +125,15 @@ def copies(rows: DataFrame, dim: int, bits: int = 6, with_hash: float = 0.95, wi
     blind = ordered(blind.join(left, "code_a").join(right, "code_b").where(once & ~(F.col("g_a") & F.col("g_b"))))
 
     # Both are there: the trie's pairs are candidates, the vectors decide.
-    both = near.where((F.col("good_a") > 0) & (F.col("good_b") > 0) & (F.col("good_a") <= hot_from) & (F.col("good_b") <= hot_from)).select("code_a", "code_b")
+    both = near.where((F.col("good_a") > 0) & (F.col("good_b") > 0))
+    crowded = both.where((F.col("good_a") > hot_from) | (F.col("good_b") > hot_from))
+    both = both.where((F.col("good_a") <= hot_from) & (F.col("good_b") <= hot_from)).select("code_a", "code_b")
     both = ordered(both.join(left.where("g_a"), "code_a").join(right.where("g_b"), "code_b").where(once))
     vec = rows.where("vec is not null")
     both = both.join(vec.select(F.col("id").alias("media_a"), F.col("vec").alias("va")), "media_a").join(vec.select(F.col("id").alias("media_b"), F.col("vec").alias("vb")), "media_b")
     both = both.where(dot(F.col("va"), F.col("vb")) / F.sqrt(dot(F.col("va"), F.col("va"))) / F.sqrt(dot(F.col("vb"), F.col("vb"))) >= with_hash).select("media_a", "media_b")
 
-    asking = vec.join(hot, "hash", "left").select("id", "vec", "hash", (~detailed | F.coalesce("hot", F.lit(False))).alias("asks"))
+    if not crowded.isEmpty():
+        both = both.unionByName(_by_tiles(crowded, vec.where(detailed), dim, with_hash))
+    asking = vec.select("id", "vec", "hash", (~detailed).alias("asks"))
     return both.unionByName(blind).unionByName(_by_vector(asking, n_good, dim, bits, with_hash, without_hash, spread))

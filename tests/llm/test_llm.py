@@ -86,6 +86,22 @@ def test_copies_equal_brute_force_with_nulls_and_hot_values(spark):
     assert copies(spark.createDataFrame(same, "id bigint, hash bigint, vec array<float>"), 8).count() == 300 * 299 // 2
 
 
+def test_copies_of_a_hot_hash_miss_no_pair_across_cells(spark, monkeypatch):
+    from prismlake.llm import copies as module
+
+    monkeypatch.setattr(module, "CELL_ROWS", 50)
+    monkeypatch.setattr(module, "TILE_ROWS", 64)
+    turn = np.linspace(0, 2 * np.pi, 400, endpoint=False)
+    x = np.zeros((400, 96), np.float32)  # on a circle a partner lies in the very direction of the next cell
+    x[:, 0], x[:, 1] = np.cos(turn), np.sin(turn)
+    code = np.where(np.arange(400) % 20, 12345678901, 12345678900)
+    df = spark.createDataFrame([(i, int(h), v.tolist()) for i, (h, v) in enumerate(zip(code, x, strict=True))], "id bigint, hash bigint, vec array<float>")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    want = {(int(a), int(b)) for a, b in np.argwhere(np.triu(u @ u.T >= 0.95, 1))}
+    got = [tuple(r) for r in copies(df, 96).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 # --- 2
 
 
