@@ -74,19 +74,37 @@ TH_INSIDE = re.compile(r"[ะ-ฺๅ็-๎]|[ก-ฮ][ิุ]?์")
 TH_FIRST = frozenset("เแโใไ")
 
 
-def language(text: str) -> str:
-    """Which rules a text goes by, from its script and commonest words."""
-    if not text.isascii() and OTHER.search(text):
-        for lo in (0, len(text) // 2):
-            part = text[lo : lo + 600]
-            for name, letters in SCRIPTS:
-                if len("".join(letters.findall(part))) > len(part) * 0.2:
-                    return name
-    low = f" {text[:2000].lower()} "
+def script(text: str) -> str | None:
+    """The rules of the script other than Latin that has most letters of a text, if they are more than a fifth of it."""
+    if text.isascii() or not OTHER.search(text):
+        return None
+    count = {name: sum(map(len, letters.findall(text))) for name, letters in SCRIPTS}
+    most = max(count, key=count.get)
+    return most if count[most] > len(text) * 0.2 else None
+
+
+def latin(text: str) -> str:
+    """The rules of a text in Latin letters, from its commonest words."""
+    low = f" {text.lower()} "
     count = {name: sum(low.count(w) for w in words) for name, words in COMMON.items()}
     return max(count, key=count.get)
 
 
+def language(text: str) -> str:
+    """Which rules a text goes by, from the scripts and commonest words of all of it."""
+    return script(text) or latin(text)
+
+
+def paragraph_language(part: str, lang: str) -> str:
+    """Which rules a paragraph goes by in a text of rules lang: its own if it is plainly of another script."""
+    if lang in COMMON:
+        return script(part) or lang
+    if part.isascii():
+        return latin(part) if CASED.search(part) else lang
+    own = dict(SCRIPTS)[lang]
+    return lang if own.search(part) else script(part) or latin(part)
+
+
 @lru_cache(1 << 14)
 def thai_words(chunk: str) -> tuple[str, ...]:
     """The likeliest words of a chunk: the path of least cost through the lattice of dictionary words and unknown letters."""
@@ -259,6 +277,20 @@ def paragraph_starts(text: str, start: int, end: int, lang: str) -> list[int]:
     return out
 
 
+def is_caption(block: list[str], after: list[str]) -> bool:
+    """Whether the lines before the first empty line are a caption; after: the lines that follow.
+
+    A few short lines are. More or longer ones are if a heading or two empty lines follow and they don't read like one
+    wrapped paragraph, whose lines go on in lower case or close with a stop.
+    """
+    if len(block) <= 8 and all(len(line) <= 120 for line in block):
+        return True
+    follows = next((line for line in after if line), "")
+    parted = after[:2] == ["", ""] or follows in HEADINGS
+    prose = sum(line[0].islower() or line[-1] in ".!?。！？।؟" for line in block)
+    return parted and prose * 4 <= len(block)
+
+
 def starts(text: str) -> list[int]:
     """0-based offset of the first character of every sentence unit of a text."""
     lang = language(text)
@@ -274,10 +306,8 @@ def starts(text: str) -> list[int]:
     # The caption: up to the first empty line or heading.
     caption = i
     while i < n and lines[i][2] and lines[i][2] not in HEADINGS and not NUMBER.match(lines[i][2] + " x"):
-        if i - caption >= 8 or len(lines[i][2]) > 120:
-            break
         i += 1
-    if i == n or lines[i][2] and lines[i][2] not in HEADINGS and not NUMBER.match(lines[i][2] + " x"):
+    if i == n or not is_caption([line for _, _, line in lines[caption:i]], [line for _, _, line in lines[i : i + 4]]):
         i = caption  # no caption but a plain text
     units.update(first(a, b) for a, b, _ in lines[caption:i])
 
@@ -331,7 +361,7 @@ def starts(text: str) -> list[int]:
         units.add(start)
         m = NUMBER.match(body, start)
         inner = m.end() if m and m.end() < end and body[start : m.end()].strip() else start
-        units.update(s for s in paragraph_starts(body, inner, end, lang) if s < end)
+        units.update(s for s in paragraph_starts(body, inner, end, paragraph_language(body[start:end], lang)) if s < end)
     return sorted(units)
 
 

@@ -334,6 +334,24 @@ def test_layout_of_a_document():
     assert got == ["A v. B\nC", "Court\nAA", "AA 1/2\n\n", "REASONS\n", "1. The f", "It goes ", "Court | ", "See fig.", "- 3 -\n\n\n", "2. Last.", "Signed: "]
 
 
+def test_rules_come_from_the_whole_text_and_its_paragraphs():
+    quoted = "The judge said that it was late and that the claim of the owner was to fail. " * 30
+    german = "Das wird nach § 3 Anm. 75 nicht entschieden. " * 120
+    assert sentences.language(quoted + "\n\n" + german) == "de" and len(cut(quoted + "\n\n" + german)) == 150
+    thai = "ศาลเห็นว่าพ้นกำหนดเวลาแล้ว ให้ยกคำร้อง"
+    parts = cut("\n\n".join([quoted, thai, quoted, thai, quoted]))
+    assert parts.count("ให้ยกคำร้อง") == 2 and len(parts) == 94
+    assert len(cut("\n\n".join([thai] * 9 + [quoted[:77].strip() + " The end."]))) == 1 + 16 + 2  # the first is a caption
+
+
+def test_captions_end_by_layout():
+    lines = [f"Party {i} of the ship" for i in range(11)] + ["Court of " + "the sea " * 16]
+    body = "\n\n\nREASONS\n\nIt ended. It began."
+    assert len(cut("\n".join(lines) + body)) == 12 + 3
+    wrapped = "\n".join(["It was said that the ship", "had left the port. It was", "late and"] * 4)
+    assert len(cut(wrapped + "\n\n\nThe end.")) == 1 + 4 + 1
+
+
 def test_sentences_of_odd_documents(spark):
     docs = [(1, None), (2, ""), (3, " \n "), (4, "One. Two."), (5, "Word " * 50000 + "end. Next."), (6, "“open (quote. Still")]
     df = spark.createDataFrame([(*d, 0) for d in docs], "doc_id bigint, text string, start_pos int")
