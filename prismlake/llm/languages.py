@@ -1,7 +1,7 @@
 """Languages of short texts and of the passages in them.
 
 A sparse multinomial logistic regression over TF-IDF character n-grams, trained by follow-the-regularised-leader with
-elastic net on a bounded sample of labelled lines, whose labels may be wrong: after a first round, lines of which the
+elastic net on a bounded sample of labelled lines (document frequencies are those of all lines), whose labels may be wrong: after a first round, lines of which the
 model is sure that they are of another language are set aside, and it is trained again. Confidences are calibrated by a
 temperature on held-out lines. Passages of one language are found as the best path through a line's words.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -125,13 +125,41 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes:
     return all_[:-1], all_[-1] * 0.1
 
 
-def fit(texts: list[str], labels: list[str]) -> Model:
-    seen = np.zeros(BUCKETS)
+def occurrences(texts: Iterable[str | None]) -> tuple[np.ndarray, int]:
+    """In how many of some texts each hashed n-gram occurs, and how many texts there are; null counts as none."""
+    seen, n = np.zeros(BUCKETS, np.int64), 0
     for t in texts:
+        if t is None:
+            continue
+        n += 1
         found = [grams(t[a:b]) for a, b in units(t)]
         if found:
             seen[np.unique(np.concatenate(found))] += 1
-    idf = np.log((1 + len(texts)) / (1 + seen)) + 1
+    return seen, n
+
+
+def frequencies(lines: DataFrame) -> tuple[np.ndarray, int]:
+    """The same over all rows of lines(text): each task adds up its own counters, which then meet by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, n = np.zeros(BUCKETS, np.int64), 0
+        for batch in batches:
+            more, rows = occurrences(batch.column("text").to_pylist())
+            seen, n = seen + more, n + rows
+        key = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, key], pa.int32()), pa.array(np.r_[n, seen[key]], pa.int64())], names=["bucket", "n"])
+
+    found = lines.select("text").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    key, count = found.column("bucket").to_numpy(), found.column("n").to_numpy()
+    seen = np.zeros(BUCKETS, np.int64)
+    seen[key[key >= 0]] = count[key >= 0]
+    return seen, int(count[key < 0].sum())
+
+
+def fit(texts: list[str], labels: list[str], seen: tuple[np.ndarray, int] | None = None) -> Model:
+    """A model from texts and labels; seen: frequencies() of the corpus, else those of the texts."""
+    seen, n = seen or occurrences(texts)
+    idf = np.log((1 + n) / (1 + seen)) + 1
     rows = [features(t, idf) for t in texts]
     keep = [i for i, r in enumerate(rows) if len(r[0])]
     rows, y = [rows[i] for i in keep], np.array([LANGUAGES.index(labels[i]) for i in keep], dtype=int)
@@ -161,12 +189,17 @@ def fit(texts: list[str], labels: list[str]) -> Model:
 
 
 def train(lines: DataFrame, most: int = TRAIN_LINES) -> Model:
-    """A model from lines(id, text, label): label one of LANGUAGES, partly wrong; at most about `most` lines are used."""
+    """A model from lines(id, text, label): label one of LANGUAGES, partly wrong, or null.
+
+    Weights are fitted on about `most` labelled lines at most; n-grams are weighed by their frequencies in all lines.
+    """
+    seen = frequencies(lines)
+    lines = lines.where("label is not null")
     n = lines.count()
     part = min(1.0, most / max(n, 1))
     sample = lines if part == 1.0 else lines.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(part * (1 << 20)))
     rows = sample.where("text is not null and label is not null").select("id", "text", "label").orderBy("id").collect()
-    return fit([r["text"] for r in rows], [r["label"] for r in rows])
+    return fit([r["text"] for r in rows], [r["label"] for r in rows], seen)
 
 
 def cut_up(text: str, model: Model, switch: float = SWITCH) -> list[tuple[int, int, str, float]]:

@@ -96,7 +96,7 @@ def p5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = latest(table(spark, sf_dir, "text_line").select("id", "mediaId", "text"), "id")
     labels = latest(table(spark, sf_dir, "text_label").select("mediaId", "lang"), "mediaId").select("mediaId", known("lang").alias("label"))
     lines = cut(lines.join(labels, "mediaId", "left"), "p5-lines")
-    model = train(lines.where("label is not null").select("id", "text", "label"))
+    model = train(lines.select("id", "text", "label"))
     return passages(lines, model).select(F.col("mediaId").alias("media_id"), F.col("id").alias("line_id"), "label", "first", "past", "lang", "confidence")
 
 

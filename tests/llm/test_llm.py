@@ -218,6 +218,16 @@ def test_language_model_survives_wrong_labels_and_splits_lines():
     assert languages.cut_up("we are open " * 20000, model)[0][2] == "en"
 
 
+def test_document_frequencies_come_from_all_lines(spark):
+    texts = ["we are open today", "wir haben heute offen", "zugzwang heute"] * 40 + [None, "", "12:30"]
+    rows = [(i, t, ("en", "de", None)[i % 3]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id bigint, text string, label string").repartition(3)
+    seen, n = languages.occurrences(texts)
+    assert n == len(texts) - 1 and seen[languages.grams("heute")].min() >= 80
+    assert np.array_equal(languages.train(df, 10).idf, np.log((1 + n) / (1 + seen)) + 1)
+    assert languages.frequencies(df.limit(0))[1] == 0
+
+
 def test_declared_languages_in_any_notation(spark):
     df = spark.createDataFrame([("EN",), ("en-US",), (" deu ",), ("zho",), ("und",), ("??",), (None,), ("",), ("pt_BR",)], "lang string")
     assert [r[0] for r in df.select(languages.known("lang")).collect()] == ["en", "en", "de", "zh", None, None, None, None, "pt"]
