@@ -44,6 +44,7 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
     Edges with a null end are dropped, loops add nothing, and repeated or reversed edges count once. Nodes that occur
     only in loops are left out; an empty table gives an empty result. Further columns are ignored.
+    Raises an error if the labels haven't settled after max_rounds.
     """
     ends = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b")
     # Directed from the larger node to the smaller.
@@ -60,4 +61,6 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components not settled after {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

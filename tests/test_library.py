@@ -189,3 +189,8 @@ def test_sources(spark, tmp_path):
     names = spark.createDataFrame([(1, "ru", "Б", False, True, False, False, 0), (1, "ru", "А", False, False, False, False, 1), (1, "ru", "В", True, False, True, False, 2)], "geonameId long, lang string, name string, preferred boolean, short boolean, colloquial boolean, historic boolean, seq int")
     built = files.build_cities(files.read_cities(spark, str(tmp_path / "c.tsv")), names)
     assert {tuple(r) for r in built.select("id", "lat", "name").collect()} == {(1, "10.5000", "А"), (2, "1.0000", "B")}
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long").repartition(8), max_rounds=1).count()
