@@ -40,12 +40,14 @@ def visible_after(hits: DataFrame, visible: DataFrame) -> DataFrame:
     return hits.join(visible.select("id"), "id", "left_semi")
 
 
-def pairs_within(vectors: DataFrame, n: int, dim: int, least: float, spread: float = 4.0) -> DataFrame:
+def pairs_within(vectors: DataFrame, n: int, dim: int, least: float, spread: float | None = None) -> DataFrame:
     """(a, b, score), a < b: pairs of vectors(id, vec) with cosine (12 places) >= least; vectors usable, one row an id.
 
-    Up to CELL_ROWS rows they share one cell, and the result is exact; beyond, a vector visits the cells where a partner
-    could be with `spread` standard deviations of slack.
+    Exact: a vector visits every cell in which a partner can be, whatever its direction. With a `spread` it visits only
+    those where one could be with so many standard deviations of slack. least must be above 0.
     """
+    if spread is None:  # the whole of a partner's other part lies in the direction of the next cell; 1 % for rounding
+        spread = 1.01 * float(np.sqrt(dim))
     pivots = fit(vectors, n, dim, CELL_ROWS)
 
     def run(group: pa.Table) -> pa.Table:

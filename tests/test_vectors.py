@@ -197,3 +197,14 @@ def test_encoders(spark):
     assert got[1] == pytest.approx(got[2]) and got[3] is None
     assert protocol.cascade(np.array([0.0, 0.5]), lambda at: np.full(len(at), 0.9)).tolist() == [0.0, 0.9]
     assert protocol.routes("hello", True, True) == "english" and protocol.routes("море", True, True) == "multilingual" and protocol.routes("море", True, False) == "english"
+
+
+def test_pairs_within_misses_none_across_cells(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "CELL_ROWS", 50)
+    turn = np.linspace(0, 2 * np.pi, 400, endpoint=False)
+    x = np.zeros((400, 96), np.float32)  # on a circle a partner lies in the very direction of the next cell
+    x[:, 0], x[:, 1] = np.cos(turn), np.sin(turn)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vec array<float>")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    want = {(int(a), int(b)) for a, b in np.argwhere(np.triu(np.round(u @ u.T, 12) >= 0.86, 1))}
+    assert {(r["a"], r["b"]) for r in similarity.pairs_within(df, 400, 96, 0.86).collect()} == want
