@@ -36,5 +36,17 @@ class EngineConf:
     collage_score: float = 0.8
     suggestion_score: float = 0.5
     topic_score: float = 0.25
+    album_rebuild_points: int = 6
+    refine_largest: int = 200
+    refine_share: float = 0.05
+    face_link: float = 0.57
+    face_neighbours: int = 50
+    same_photo_penalty: float = 1.1
+    smallest_person: int = 2
+    inherit_share: float = 0.4
     rebuild_pending: int = 50
     rebuild_hours: int = 24
+
+
+#: The settings the operators take their defaults from.
+CONF = EngineConf()

@@ -24,7 +24,7 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 
 
 def flat_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Equirectangular distance with the longitude scaled at the first point; it does not wrap at the date line."""
-    dx = (lon2 - lon1) * F.cos(F.radians(lat1))
+    """Equirectangular distance with the longitude scaled at the mean latitude; it does not wrap at the date line."""
+    dx = (lon2 - lon1) * F.cos(F.radians((lat1 + lat2) / 2))
     dy = lat2 - lat1
     return F.sqrt(dx * dx + dy * dy) * FLAT_KM_PER_DEGREE

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# Characters that file systems of the FAT family forbid; root folders that may hold media of each type.
 FORBIDDEN = r'[\\/:*?"<>|\x00-\x1f]'
 ROOTS = {0: ("dcim", "pictures"), 1: ("dcim", "movies", "pictures")}
 
@@ -38,9 +39,9 @@ def matches_all(text: Column, terms: list[str]) -> Column:
 
 
 def album_name(name: Column) -> Column:
-    """Blanks squeezed and trimmed; null where empty, over 100 characters, all dots or with forbidden signs."""
+    """Blanks squeezed and trimmed; null where empty, over 100 characters, one or two dots or with forbidden signs."""
     clean = F.trim(F.regexp_replace(name, r"\s+", " "))
-    bad = (F.length(clean) == 0) | (F.length(clean) > 100) | clean.rlike(FORBIDDEN) | clean.rlike(r"^\.+$")
+    bad = (F.length(clean) == 0) | (F.length(clean) > 100) | clean.rlike(FORBIDDEN) | clean.isin(".", "..")
     return F.when(~bad, clean)
 
 
@@ -59,7 +60,13 @@ def renamed(path: Column, name: Column) -> Column:
     return F.concat(F.when(parent == "", F.lit("Pictures/")).otherwise(parent), name, F.lit("/"))
 
 
+def may_rename(path: Column) -> Column:
+    """Whether the root can hold an album's files of any type."""
+    return root_of(path).isin(*ROOTS[1])
+
+
 def may_move(path: Column, media_type: Column) -> Column:
+    """Whether the root can hold a file of this type."""
     test = F.lit(False)
     for kind, roots in ROOTS.items():
         test = test | ((media_type == kind) & root_of(path).isin(*roots))

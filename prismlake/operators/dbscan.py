@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismlake.conf import CONF
+from prismlake.functions.dates import span_label
 from prismlake.operators.components import components
-from prismlake.tables import cut
+from prismlake.tables import cut, is_small
 
 
-def dbscan(ids: DataFrame, edges: DataFrame, min_points: int = 4) -> DataFrame:
+def dbscan(ids: DataFrame, edges: DataFrame, min_points: int = CONF.album_min_points) -> DataFrame:
     """(id, cluster): cluster is the smallest core id of the cluster, -1 for noise.
 
     ids(id), edges(a, b) with each pair once. A core point has min_points neighbours, itself included. Cores that touch
@@ -27,7 +29,7 @@ def dbscan(ids: DataFrame, edges: DataFrame, min_points: int = 4) -> DataFrame:
     return ids.select("id").join(core, "id", "left").join(border, "id", "left").select("id", F.coalesce("cluster", "near", F.lit(-1)).cast("long").alias("cluster"))
 
 
-def refine(ids: DataFrame, edges: DataFrame, labels: DataFrame, eps: float, min_points: int = 4, step: float = 0.02, floor: float = 0.04, rounds: int = 2, largest: int = 200, share: float = 0.05) -> DataFrame:
+def refine(ids: DataFrame, edges: DataFrame, labels: DataFrame, eps: float, min_points: int = 4, step: float = 0.02, floor: float = 0.04, rounds: int = 2, largest: int = CONF.refine_largest, share: float = CONF.refine_share) -> DataFrame:
     """Clusters that are too large are clustered again, inside, with a smaller radius; up to `rounds` times.
 
     Too large: more than `largest` rows and more than `share` of all. If nothing is found inside, the cluster stays.
@@ -52,37 +54,44 @@ def refine(ids: DataFrame, edges: DataFrame, labels: DataFrame, eps: float, min_
     return labels
 
 
-def smart_albums(labels: DataFrame, vectors: DataFrame, media: DataFrame, dim: int, topics: list[tuple[str, list[float]]] | None = None, topic_least: float = 0.25) -> DataFrame:
+def smart_albums(labels: DataFrame, vectors: DataFrame, media: DataFrame, dim: int, topics: list[tuple[str, list[float]]] | None = None, topic_least: float = CONF.topic_score, least: int = CONF.album_min_rows) -> DataFrame:
     """(album, position, items, cover, first, last, name): one album a cluster, largest first.
 
-    The cover is the member nearest to the centre. The name is the nearest topic if it reaches topic_least, else the span
-    of dates; a name used before gets the span, then a number.
+    The cover is the member nearest to the centre. The name is the nearest topic if it reaches topic_least; one used
+    before gets the span of dates, and if that was used too a number. Without a topic it is a general title with the span,
+    numbered from the second on. Fewer than `least` vectors give no albums. Albums are few: they are ordered in one task.
     """
     from prismlake.operators.people import centroids
     from prismlake.operators.similarity import nearest_topic
 
-    rows = labels.where("cluster >= 0").join(vectors, "id")
+    labels = labels.where("cluster >= 0")
+    if is_small(vectors, least - 1):
+        labels = labels.limit(0)
+    rows = labels.join(vectors, "id")
     centre = centroids(rows.withColumnRenamed("cluster", "album"), "album", dim)
     from prismlake.functions.vectors import cosine
 
     scored = rows.join(centre, F.col("cluster") == F.col("album")).select("album", "id", cosine(F.col("vec"), F.col("centroid")).alias("score"))
     dated = scored.join(media.select("id", "dateTaken"), "id", "left")
     album = dated.groupBy("album").agg(F.count("*").alias("items"), F.max_by("id", F.struct("score", -F.col("id"))).alias("cover"), F.min("dateTaken").alias("first"), F.max("dateTaken").alias("last"))
-    span = F.when(F.date_format("first", "yyyy-MM") == F.date_format("last", "yyyy-MM"), F.date_format("first", "yyyy-MM")).otherwise(F.concat_ws(" – ", F.date_format("first", "yyyy-MM"), F.date_format("last", "yyyy-MM")))
-    base = F.lit("Album")
+    span = F.coalesce(span_label(F.col("first"), F.col("last")), F.lit("undated"))
+    topic_name = F.lit(None).cast("string")
     if topics:
         topic = nearest_topic(centre.select(F.col("album").alias("id"), F.col("centroid").alias("vec")), topics, topic_least).select(F.col("id").alias("album"), "topic")
         album = album.join(topic, "album", "left")
-        base = F.coalesce("topic", base)
-    album = album.select("album", "items", "cover", "first", "last", base.alias("base"), F.coalesce(span, F.lit("undated")).alias("span"))
+        topic_name = F.col("topic")
+    album = album.select("album", "items", "cover", "first", "last", topic_name.alias("topic"), span.alias("span"))
+    album = album.withColumn("base", F.coalesce("topic", F.concat_ws(" · ", F.lit("Similar photos"), "span")))
     order = [F.desc("items"), F.col("album")]
-    same, again = Window.partitionBy("base").orderBy(*order), Window.partitionBy("base", "span").orderBy(*order)
-    album = album.withColumn("nth", F.row_number().over(same)).withColumn("mth", F.row_number().over(again))
-    name = F.when(F.col("nth") == 1, F.col("base")).when(F.col("mth") == 1, F.concat_ws(" · ", "base", "span")).otherwise(F.concat_ws(" · ", "base", "span", F.col("mth").cast("string")))
+    album = album.withColumn("nth", F.row_number().over(Window.partitionBy("base").orderBy(*order)))
+    # Among the repeats of a topic the first of each span is told by it.
+    repeat = F.col("topic").isNotNull() & (F.col("nth") > 1)
+    album = album.withColumn("mth", F.row_number().over(Window.partitionBy("base", "span", repeat).orderBy(*order)))
+    name = F.when(F.col("nth") == 1, F.col("base")).when(repeat & (F.col("mth") == 1), F.concat_ws(" · ", "base", "span")).otherwise(F.concat_ws(" · ", "base", F.col("nth").cast("string")))
     return album.select("album", F.row_number().over(Window.orderBy(*order)).alias("position"), "items", "cover", "first", "last", name.alias("name"))
 
 
-def needs_rebuild(albums: int, pending: int, hours: float, most_pending: int = 50, most_hours: float = 24) -> bool:
+def needs_rebuild(albums: int, pending: int, hours: float, most_pending: int = CONF.rebuild_pending, most_hours: float = CONF.rebuild_hours) -> bool:
     return albums == 0 or pending >= most_pending or (pending > 0 and hours >= most_hours)
 
 

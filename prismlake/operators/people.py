@@ -13,19 +13,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismlake.conf import CONF
 from prismlake.functions.vectors import cosine, dot
 from prismlake.operators.cells import matrix, unit
 
 
 def person_media(face: DataFrame, tag: DataFrame) -> DataFrame:
-    """(personId, mediaId) of faces that aren't artifacts and of tags set by hand, each once."""
-    seen = face.where("personId is not null and not coalesce(isArtifact, false)").select("personId", "mediaId")
+    """(personId, mediaId) of faces and of tags set by hand, each once."""
+    seen = face.where("personId is not null").select("personId", "mediaId")
     return seen.unionByName(tag.select("personId", "mediaId")).distinct()
 
 
-def person_counts(person: DataFrame, face: DataFrame, tag: DataFrame, visible: DataFrame) -> DataFrame:
-    """Persons with at least one visible media: named ones first, then by position."""
-    counts = person_media(face, tag).join(visible.select(F.col("id").alias("mediaId")), "mediaId", "left_semi").groupBy("personId").agg(F.count("*").alias("mediaCount"))
+def media_of(person: int, face: DataFrame, tag: DataFrame, media: DataFrame, analysis: DataFrame) -> DataFrame:
+    """A person's media that aren't hidden by hand, whatever their score, newest first, with their score."""
+    from prismlake.operators.timeline import not_hidden, scored
+
+    own = person_media(face, tag).where(F.col("personId") == person).select(F.col("mediaId").alias("id"))
+    return scored(not_hidden(media).join(own, "id", "left_semi"), analysis).orderBy(F.col("dateTaken").desc_nulls_last(), F.desc("id"))
+
+
+def person_counts(person: DataFrame, face: DataFrame, tag: DataFrame, media: DataFrame) -> DataFrame:
+    """Persons with at least one media that isn't hidden by hand: named ones first, then by position."""
+    from prismlake.operators.timeline import not_hidden
+
+    counts = person_media(face, tag).join(not_hidden(media).select(F.col("id").alias("mediaId")), "mediaId", "left_semi").groupBy("personId").agg(F.count("*").alias("mediaCount"))
     return person.join(counts, person["id"] == counts["personId"]).select("id", "name", "position", "mediaCount").orderBy(F.col("name").isNull(), "position", "id")
 
 
@@ -33,8 +44,37 @@ def faces_on_media(face: DataFrame, person: DataFrame) -> DataFrame:
     return face.where("not coalesce(isArtifact, false)").select("id", "mediaId", "boxLeft", "personId").join(person.select(F.col("id").alias("personId"), "name"), "personId", "left")
 
 
+def people_on_media(face: DataFrame, person: DataFrame) -> DataFrame:
+    """Faces that belong to a known person, with the name; from left to right where ordered by boxLeft and id."""
+    return face.where("personId is not null").select("id", "mediaId", "boxLeft", "personId").join(person.select(F.col("id").alias("personId"), "name"), "personId")
+
+
+def tags_on_media(face: DataFrame, tag: DataFrame, person: DataFrame) -> DataFrame:
+    """(mediaId, personId, name): persons tagged by hand that no face on the media is known as."""
+    named = tag.join(person.select(F.col("id").alias("personId"), "name"), "personId")
+    return named.join(people_on_media(face, person).select("mediaId", "personId"), ["mediaId", "personId"], "left_anti").select("mediaId", "personId", "name")
+
+
+def default_name(counted: DataFrame) -> DataFrame:
+    """(name): that of the named person with most media among counted(id, name, mediaCount); ties go to the smaller id.
+
+    Null where none is named.
+    """
+    order = F.struct("mediaCount", -F.col("id"))
+    return counted.agg(F.max_by(F.when(F.col("name").isNotNull(), F.col("name")), F.when(F.col("name").isNotNull(), order)).alias("name"))
+
+
+def visible_faces(face: DataFrame, media: DataFrame, analysis: DataFrame, version: int, threshold: float = CONF.sensitive_threshold, show: bool = not CONF.hide_sensitive) -> DataFrame:
+    """Faces of one model, no artifacts, on visible media, with the media's width and height: what people are made of."""
+    from prismlake.operators.timeline import visible
+
+    seen = visible(media, analysis, threshold, show).select(F.col("id").alias("mediaId"), "width", "height")
+    return face.where((F.col("embedVersion") == version) & ~F.col("isArtifact")).join(seen, "mediaId")
+
+
 def crowded(face: DataFrame, least: int = 6) -> DataFrame:
-    return face.groupBy("mediaId").agg(F.count("*").alias("faces")).where(F.col("faces") >= least)
+    """Media with at least so many faces that aren't artifacts."""
+    return face.where("not isArtifact").groupBy("mediaId").agg(F.count("*").alias("faces")).where(F.col("faces") >= least)
 
 
 def collages(face: DataFrame, least: float = 0.8) -> DataFrame:

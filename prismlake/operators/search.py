@@ -9,6 +9,7 @@ from datetime import date
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismlake.conf import CONF
 from prismlake.functions.text import matches_all, query_terms
 
 # Months and seasons in all their forms, with the numbers of their months (from 1).
@@ -90,7 +91,7 @@ def parse(query: str, people: dict[int, str] | None = None, places: list[tuple[s
     return Query(" ".join(keep), tuple(dict.fromkeys(of("person"))), years[0] if years else None, frozenset(m for ms in of("months") for m in ms), frozenset(c for cs in of("place") for c in cs), tuple((w, f[0]) for w, f in zip(words, seen, strict=True) if f))
 
 
-def full_text(texts: DataFrame, query: str, most: int = 300) -> DataFrame:
+def full_text(texts: DataFrame, query: str, most: int = CONF.text_limit) -> DataFrame:
     """(mediaId) of texts(mediaId, text) in which every term starts some token; unranked, the smallest ids up to `most`."""
     return texts.where(matches_all(F.col("text"), query_terms(query))).select("mediaId").orderBy("mediaId").limit(most)
 
@@ -120,16 +121,18 @@ def fuse(exact: DataFrame, semantic: DataFrame | None, allowed: DataFrame | None
     return rows.select("id", "score", F.row_number().over(Window.orderBy("branch", F.desc("score"), "id")).alias("rank"))
 
 
-def hybrid(media: DataFrame, texts: DataFrame, vectors: DataFrame, query: str, vector: list[float] | None, filtered: DataFrame | None, k: int = 200, least: float = 0.15, most_text: int = 300) -> DataFrame:
-    """(id, score, rank) for a text and filters that may both be missing.
+def hybrid(visible: DataFrame, texts: DataFrame, vectors: DataFrame, query: str, vector: list[float] | None, filtered: DataFrame | None, k: int = CONF.semantic_limit, least: float = CONF.semantic_min_score, most_text: int = CONF.text_limit) -> DataFrame:
+    """(id, score, rank) for a text and filters that may both be missing; only visible(id, ...) media are shown.
 
-    No text and no filter find nothing; filters alone give their media, newest first, with score 0 and no rank.
+    No text and no filter find nothing; filters alone give their media, newest first, with score 0 and no rank. Both
+    limits apply before the filter of what is visible, so fewer hits may remain.
     """
     from prismlake.operators.similarity import topk
 
     if not query.strip():
-        rows = filtered if filtered is not None else media.limit(0)
+        rows = filtered if filtered is not None else visible.limit(0)
         return rows.orderBy(F.col("dateTaken").desc_nulls_last(), F.desc("id")).select("id", F.lit(0.0).alias("score"), F.lit(None).cast("int").alias("rank"))
-    exact = full_text(texts, query, most_text).select(F.col("mediaId").alias("id"))
-    near = topk(vectors, vector, k, least, include=filtered) if vector is not None else None
+    shown = visible.select("id")
+    exact = full_text(texts, query, most_text).select(F.col("mediaId").alias("id")).join(shown, "id", "left_semi")
+    near = topk(vectors, vector, k, least, include=filtered).join(shown, "id", "left_semi") if vector is not None else None
     return fuse(exact, near, filtered)

@@ -6,9 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """New rows replace old ones of the same key. Of several new rows of a key one is kept, as they must be equal."""
-    new = new.dropDuplicates(key)
+def upsert(old: DataFrame, new: DataFrame, key: list[str], stamp: str | None = None) -> DataFrame:
+    """New rows replace old ones of the same key; of several new rows of a key the last written counts.
+
+    stamp: a column of new that tells the order of writing. Without it rows of a key should be equal; if they aren't, the
+    greatest by all other columns is kept, so that the result doesn't depend on chance. Null keys never match.
+    """
+    rest = [c for c in new.columns if c not in key and c != stamp]
+    rank = F.struct(*([stamp] if stamp else []), *[F.to_json(F.struct(F.col(c))).alias(c) for c in rest])
+    new = new.groupBy(*key).agg(F.max_by(F.struct(*new.columns), rank).alias("_row")).select("_row.*")
     return old.join(new.select(*key), key, "left_anti").unionByName(new.select(*old.columns))
 
 
@@ -46,8 +52,8 @@ def cascade(children: DataFrame, parents: DataFrame, child_key: str, parent_key:
 
 
 def merge_persons(face: DataFrame, source: int, target: int) -> DataFrame:
-    """All faces of one person move to another and are locked there."""
-    test = (F.col("personId") == source) | (F.col("lockedPersonId") == source)
+    """All faces of one person move to another; they and its own are locked there."""
+    test = (F.col("personId") == source) | F.coalesce(F.col("lockedPersonId") == source, F.lit(False)) | (F.col("personId") == target)
     return set_where(face, test, personId=F.lit(target).cast("long"), lockedPersonId=F.lit(target).cast("long"))
 
 
@@ -76,9 +82,29 @@ def replace_text(texts: DataFrame, new: DataFrame) -> DataFrame:
     return texts.join(read.select("mediaId"), "mediaId", "left_anti").unionByName(read.where("lineCount > 0").select(*texts.columns))
 
 
+def save_text(stored: dict[str, DataFrame], media: DataFrame, found: dict[str, DataFrame], text_version: int, codes_version: int, read: bool) -> dict[str, DataFrame]:
+    """A batch of media(mediaId) read: the new tables `text`, `line`, `code` and `analysis`.
+
+    Codes are always replaced and marked. Text and lines are replaced and marked only if text was read; else they stay.
+    """
+    media = media.select("mediaId").distinct()
+    swap = lambda name: stored[name].join(media, "mediaId", "left_anti").select(*stored[name].columns).unionByName(found[name].select(*stored[name].columns))
+    out = {name: swap(name) if read or name == "code" else stored[name] for name in ("text", "line", "code")}
+    stamps = {"codesVersion": codes_version} | ({"textVersion": text_version} if read else {})
+    marked = stored["analysis"].join(media.withColumn("_done", F.lit(True)), "mediaId", "left")
+    return out | {"analysis": set_where(marked, F.col("_done"), **stamps).select(*stored["analysis"].columns)}
+
+
 def move_plan(media: DataFrame, name: Column) -> DataFrame:
-    """(id, oldPath, newPath, allowed) of a rename of albums; the moves themselves are someone else's."""
-    from prismlake.functions.text import album_name, may_move, renamed
+    """(id, oldPath, newPath, allowed) of a rename of albums, each within its root; the moves themselves are someone else's."""
+    from prismlake.functions.text import album_name, may_rename, renamed
 
     clean = album_name(name)
-    return media.select("id", F.col("relativePath").alias("oldPath"), renamed(F.col("relativePath"), clean).alias("newPath"), (may_move(F.col("relativePath"), F.col("mediaType")) & clean.isNotNull()).alias("allowed"))
+    return media.select("id", F.col("relativePath").alias("oldPath"), renamed(F.col("relativePath"), clean).alias("newPath"), (may_rename(F.col("relativePath")) & clean.isNotNull()).alias("allowed"))
+
+
+def move_to(media: DataFrame, path: str) -> DataFrame:
+    """(id, oldPath, newPath, allowed) of a move of media into one folder, whose root must take files of their type."""
+    from prismlake.functions.text import may_move
+
+    return media.select("id", F.col("relativePath").alias("oldPath"), F.lit(path).alias("newPath"), may_move(F.lit(path), F.col("mediaType")).alias("allowed"))

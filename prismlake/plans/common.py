@@ -16,7 +16,7 @@ f as (select * exclude (rn) from (select *, row_number() over (partition by id o
 p as (select * exclude (rn) from (select *, row_number() over (partition by id order by position) as rn from person) where rn = 1),
 t as (select * exclude (rn) from (select *, row_number() over (partition by mediaId order by lineCount) as rn from media_text) where rn = 1),
 tag as (select distinct mediaId, lockedPersonId as personId from f where checked and lockedPersonId is not null),
-pm as (select personId, mediaId from f where personId is not null and not isArtifact union select personId, mediaId from tag),
+pm as (select personId, mediaId from f where personId is not null union select personId, mediaId from tag),
 sm as (select m.*, a.sensitiveScore from m left join a on a.mediaId = m.id),
 visible as (select * from sm where not isHiddenByUser and (sensitiveScore is null or sensitiveScore::double < 0.7::double)),
 mv as (select mediaId as id, embedding::double[] as v, sqrt(list_dot_product(embedding::double[], embedding::double[])) as nm from a where embedding is not null and len(embedding) = 96 and list_dot_product(embedding::double[], embedding::double[]) > 1e-24),

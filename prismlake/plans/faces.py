@@ -14,7 +14,7 @@ TOPICS = [(f"topic {i}", [1.0 if j % 5 == i else -0.25 for j in range(MEDIA_DIM)
 
 
 def visible(s, d):
-    return timeline.timeline(media(s, d), analysis(s, d))
+    return timeline.visible(media(s, d), analysis(s, d))
 
 
 def examples(s, d):
@@ -35,10 +35,23 @@ def edges(s, d, least=1 - EPS):
     return v, cut(similarity.pairs_within(v, v.count(), MEDIA_DIM, least), "edges")
 
 
+def first_person(s, d):
+    row = face(s, d).where("personId is not null").groupBy("personId").count().orderBy(F.desc("count"), "personId").first()
+    return row["personId"] if row else -1
+
+
+def loose_tags(s, d):
+    """Tags set by hand without a face: every confirmed person is also tagged on the next media."""
+    return tags(s, d).select((F.col("mediaId") + 1).alias("mediaId"), "personId")
+
+
 def all_of(s, d):
+    """Media with both of two persons that are most often together."""
     pm = cut(people.person_media(face(s, d), tags(s, d)), "all-of")
-    two = tuple(r["personId"] for r in pm.groupBy("personId").count().orderBy(F.desc("count"), "personId").limit(2).collect())
-    return timeline.select_media(media(s, d), timeline.Criteria(people=two), person_media=pm).select("id")
+    a, b = (pm.select(F.col("personId").alias(c), "mediaId") for c in ("a", "b"))
+    row = a.join(b, "mediaId").where("a < b").groupBy("a", "b").count().orderBy(F.desc("count"), "a", "b").first()
+    two = (row["a"], row["b"]) if row else (-1, -2)
+    return timeline.select_media(visible(s, d), timeline.Criteria(people=two), person_media=pm).select("id")
 
 
 def labels(s, d):
@@ -80,10 +93,15 @@ def suggested(s, d):
 
 
 QUERIES = {
-    "person_media_counts": lambda s, d: people.person_counts(person(s, d), face(s, d), tags(s, d), visible(s, d)),
+    "person_media_counts": lambda s, d: people.person_counts(person(s, d), face(s, d), tags(s, d), media(s, d)),
+    "person_media_feed": lambda s, d: people.media_of(first_person(s, d), face(s, d), tags(s, d), media(s, d), analysis(s, d)).select("id", "sensitiveScore"),
+    "person_default_name": lambda s, d: people.default_name(people.person_counts(person(s, d), face(s, d), tags(s, d), media(s, d))),
+    "visible_faces": lambda s, d: people.visible_faces(face(s, d), media(s, d), analysis(s, d), 2).select("id", "mediaId", "width", "height"),
+    "people_on_media": lambda s, d: people.people_on_media(face(s, d), person(s, d)).select("id", "mediaId", "personId", "name"),
+    "tags_on_media": lambda s, d: people.tags_on_media(face(s, d), loose_tags(s, d), person(s, d)),
     "person_media_union": lambda s, d: people.person_media(face(s, d), tags(s, d)),
     "people_all_of": all_of,
-    "not_in_filter": lambda s, d: person(s, d).join(face(s, d).where("personId is not null").select(F.col("personId").alias("id")), "id", "left_anti").select("id"),
+    "not_in_filter": lambda s, d: person(s, d).join(face(s, d).where("personId is not null and checked").select(F.col("personId").alias("id")), "id", "left_anti").select("id"),
     "exists_filter": lambda s, d: person(s, d).join(face(s, d).where("lockedPersonId is not null").select(F.col("lockedPersonId").alias("id")), "id", "left_semi").select("id"),
     "crowded_media": lambda s, d: people.crowded(face(s, d), 3),
     "faces_on_media": lambda s, d: people.faces_on_media(face(s, d), person(s, d)).select("id", "mediaId", "personId", "name"),
@@ -131,12 +149,17 @@ border as (select l.a as id, arg_min(named.cluster, named.id) as cluster from li
 """
 
 ORACLE = {
-    "person_media_counts": sql("select p.id, p.name, p.position, count(*) as mediaCount from p join pm on pm.personId = p.id where pm.mediaId in (select id from visible) group by 1, 2, 3"),
+    "person_media_counts": sql("select p.id, p.name, p.position, count(*) as mediaCount from p join pm on pm.personId = p.id where pm.mediaId in (select id from m where not isHiddenByUser) group by 1, 2, 3"),
+    "person_media_feed": sql("select id, sensitiveScore from sm where not isHiddenByUser and id in (select mediaId from pm where personId = (select personId from f where personId is not null group by 1 order by count(*) desc, 1 limit 1))"),
+    "person_default_name": sql("select (select name from (select p.id, p.name, count(*) as n from p join pm on pm.personId = p.id where pm.mediaId in (select id from m where not isHiddenByUser) group by 1, 2) where name is not null order by n desc, id limit 1) as name"),
+    "visible_faces": sql("select f.id, f.mediaId, v.width, v.height from f join visible v on v.id = f.mediaId where not f.isArtifact and f.embedVersion = 2"),
+    "people_on_media": sql("select f.id, f.mediaId, f.personId, p.name from f join p on p.id = f.personId"),
+    "tags_on_media": sql("select t.mediaId, t.personId, p.name from (select mediaId + 1 as mediaId, personId from tag) t join p on p.id = t.personId where not exists (select 1 from f join p q on q.id = f.personId where f.mediaId = t.mediaId and f.personId = t.personId)"),
     "person_media_union": sql("select personId, mediaId from pm"),
-    "people_all_of": sql("select id from m where (select count(distinct pm.personId) from pm where pm.mediaId = m.id and pm.personId in (select personId from pm group by 1 order by count(*) desc, 1 limit 2)) = 2"),
-    "not_in_filter": sql("select id from p where id not in (select personId from f where personId is not null)"),
+    "people_all_of": sql("select id from visible where id in (select x.mediaId from pm x join pm y using (mediaId) where (x.personId, y.personId) in (select (x.personId, y.personId) from pm x join pm y using (mediaId) where x.personId < y.personId group by x.personId, y.personId order by count(*) desc, x.personId, y.personId limit 1))"),
+    "not_in_filter": sql("select id from p where id not in (select personId from f where personId is not null and checked)"),
     "exists_filter": sql("select id from p where exists (select 1 from f where f.lockedPersonId = p.id)"),
-    "crowded_media": sql("select mediaId, count(*) as faces from f group by 1 having count(*) >= 3"),
+    "crowded_media": sql("select mediaId, count(*) as faces from f where not isArtifact group by 1 having count(*) >= 3"),
     "faces_on_media": sql("select f.id, f.mediaId, f.personId, p.name from f left join p on p.id = f.personId where not f.isArtifact"),
     "collage_groups": sql("select distinct x.mediaId from fv x join fv y on x.mediaId = y.mediaId and x.id < y.id where list_dot_product(x.v, y.v) / x.nm / y.nm >= 0.6::double"),
     "box_overlap": sql("""select oldId, newId from (select *, row_number() over (partition by oldId order by iou desc, newId) as rn from (

@@ -50,6 +50,22 @@ def latest(df: DataFrame, key: str, stamp: str | None = None) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(rank)).where("_rank = 1").drop("_rank")
 
 
+def numbered(rows: DataFrame, *order, position: str = "rank", total: str | None = None) -> DataFrame:
+    """rows with their position (from 0) in an order, and their number, without ever bringing them to one task.
+
+    Rows are sorted by range over the partitions; a position is that within the partition plus the sizes of those
+    before. The order should end in a unique column, so that equal values can be spread.
+    """
+    at = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    at = cut(at.withColumn("_seq", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
+    sizes = at.groupBy("_part").agg(F.count("*").alias("_held"))  # one row a partition
+    before = sizes.select("_part", F.coalesce(F.sum("_held").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_held").over(Window.partitionBy()).alias("_total"))
+    found = at.join(F.broadcast(before), "_part").withColumn(position, F.col("_before") + F.col("_seq"))
+    if total:
+        found = found.withColumn(total, F.col("_total"))
+    return found.drop("_part", "_seq", "_before", "_total")
+
+
 def is_small(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; stops counting there."""
     return df.limit(rows + 1).count() <= rows

@@ -44,32 +44,41 @@ def test_fusion(spark):
 
 
 def test_visibility_of_unknown_scores(spark):
-    media = spark.sql("select * from values (1L, cast('2020-01-01' as timestamp_ntz), false, false, 1L, 'a', 'u1'), (2L, cast('2020-01-02' as timestamp_ntz), false, true, 1L, 'b', 'u2'), (3L, null, true, false, 1L, null, 'u3'), (4L, cast('2020-01-02' as timestamp_ntz), false, false, null, null, null) as m(id, dateTaken, isHiddenByUser, isFavorite, bucketId, bucketName, uri)")
+    media = spark.sql("select * from values (1L, cast('2020-01-01' as timestamp_ntz), false, false, 1L, 'a', 'u1', 'p'), (2L, cast('2020-01-02' as timestamp_ntz), false, true, 1L, 'b', 'u2', 'o'), (3L, null, true, false, 1L, null, 'u3', null), (4L, cast('2020-01-02' as timestamp_ntz), false, false, null, null, 'u4', null) as m(id, dateTaken, isHiddenByUser, isFavorite, bucketId, bucketName, uri, relativePath)")
     analysis = spark.createDataFrame([(1, 0.9), (2, None)], "mediaId long, sensitiveScore float")
     ids = lambda df: [r["id"] for r in df.collect()]
     assert ids(timeline.timeline(media, analysis)) == [4, 2] and ids(timeline.timeline(media, analysis, show=True)) == [4, 2, 1]
-    assert ids(timeline.hidden(media, analysis)) == [1, 3] and ids(timeline.timeline(media, analysis, favourites=True)) == [2]
-    album = timeline.albums(media, analysis).collect()
-    assert [(r["bucketId"], r["name"], r["items"]) for r in album] == [(1, "b", 1)]
+    assert ids(timeline.hidden(media, analysis)) == [1, 3] and ids(timeline.favourites(media, analysis)) == [2]
+    # A sensitive favourite is still a favourite; its album and its person count it too.
+    assert ids(timeline.favourites(media.withColumn("isFavorite", F.lit(True)), analysis)) == [4, 2, 1]
+    album = timeline.albums(media).collect()
+    assert [(r["bucketId"], r["name"], r["items"], r["cover"], r["relativePath"]) for r in album] == [(None, None, 1, None, None), (1, "b", 2, "u2", "p")]
+    assert ids(timeline.scored(media, analysis).where(timeline.shown(0.7)).orderBy("id")) == [2, 4] and ids(timeline.scored(media, analysis).where(timeline.shown(0.0)).orderBy("id")) == []
+    some, rest = timeline.parted(media, F.col("bucketId") == 1)
+    assert ids(some.orderBy("id")) == [1, 2, 3] and ids(rest) == [4]
     page = timeline.keyset_page(media, 1)
     assert ids(page) == [4] and ids(timeline.keyset_page(media, 5, datetime(2020, 1, 2), 4)) == [2, 1]
     assert [r["pos"] for r in timeline.between_positions(media, [F.col("id")], 2, 1).collect()] == [1, 2]
 
 
 def test_smart_album_cover_falls_back(spark):
-    media = spark.sql("select id, uri, false as isHiddenByUser from values (1L, 'a'), (2L, 'b'), (3L, 'c') as m(id, uri)")
-    analysis = spark.createDataFrame([(1, 0.99)], "mediaId long, sensitiveScore float")
+    media = spark.sql("select id, uri from values (1L, 'a'), (2L, 'b'), (3L, 'c') as m(id, uri)").withColumn("isHiddenByUser", F.col("id") == 1)
     album = spark.createDataFrame([(10, "x", 1, 0), (11, "y", 3, 1), (12, "z", 1, 2)], "id long, name string, coverMediaId long, position int")
     member = spark.createDataFrame([(10, 1, 0), (10, 2, 1), (11, 2, 0), (11, 3, 1), (12, 1, 0)], "albumId long, mediaId long, position int")
-    assert [(r["albumId"], r["cover"], r["items"]) for r in timeline.smart_albums(album, member, media, analysis).collect()] == [(10, "b", 1), (11, "c", 2)]
+    assert [(r["albumId"], r["cover"], r["items"]) for r in timeline.smart_albums(album, member, media).collect()] == [(10, "b", 1), (11, "c", 2)]
+    items = timeline.smart_album_items(11, member, media.withColumn("dateTaken", F.lit(None).cast("timestamp")), spark.createDataFrame([(3, 0.9)], "mediaId long, sensitiveScore float"))
+    assert [r["id"] for r in items.collect()] == [2]
 
 
 def test_paths(spark):
     df = spark.createDataFrame([("DCIM/Camera/", 0), ("Movies/A/B/", 1), ("Movies/A/", 0), ("sync/", 1), ("DCIM/", 0)], "path string, kind int")
     got = df.select(text.renamed(F.col("path"), F.lit("Море")).alias("p"), text.may_move(F.col("path"), F.col("kind")).alias("ok")).collect()
     assert [tuple(r) for r in got] == [("DCIM/Море/", True), ("Movies/A/Море/", True), ("Movies/Море/", False), ("Pictures/Море/", False), ("Pictures/Море/", True)]
-    names = spark.createDataFrame([("  a \t b ",), ("",), ("a/b",), ("..",), ("x" * 101,), (None,)], "n string")
-    assert [r[0] for r in names.select(text.album_name(F.col("n"))).collect()] == ["a b", None, None, None, None, None]
+    names = spark.createDataFrame([("  a \t b ",), ("",), ("a/b",), ("..",), ("...",), ("x" * 101,), (None,)], "n string")
+    assert [r[0] for r in names.select(text.album_name(F.col("n"))).collect()] == ["a b", None, None, None, "...", None, None]
+    plan = {tuple(r) for r in snapshots.move_plan(df.select(F.col("path").alias("relativePath"), F.col("kind").alias("mediaType"), F.lit(1).alias("id")), F.lit(" Море ")).collect()}
+    assert (1, "Movies/A/", "Movies/Море/", True) in plan and (1, "sync/", "Pictures/Море/", False) in plan
+    assert {r["allowed"] for r in snapshots.move_to(df.select(F.col("path").alias("relativePath"), F.col("kind").alias("mediaType"), F.lit(1).alias("id")), "Movies/B/").collect()} == {True, False}
     where = spark.createDataFrame([("+55.7522+037.6156/",), ("+00.0000+000.0000/",), ("+95+010/",), ("x",), (None,)], "t string")
     assert [r[0] and tuple(r[0]) for r in where.select(text.iso6709(F.col("t"))).collect()] == [(55.7522, 37.6156), None, None, None, None]
 
@@ -96,9 +105,25 @@ def test_copies_and_groups(spark):
     h = 0x0F0F_1234_5678_9ABC
     rows = [(1, h, None, 10, 10), (2, h ^ 7, [1.0, 0.0], 20, 20), (3, h ^ 8, [1.0, 0.1], 20, 20), (4, h ^ 15, [0.0, 1.0], 20, 20), (5, h, None, 10, 30), (6, 1, None, 1, 1), (7, 1, None, 1, 1), (8, h, None, None, None)]
     df = spark.createDataFrame([(*r, 0, 0) for r in rows], "id long, hash long, vec array<float>, width int, height int, mediaType int, durationMs long")
-    assert {tuple(r) for r in cleanup.copy_pairs(df).collect()} == {(1, 2), (1, 3), (1, 8), (2, 8), (3, 8), (5, 8)}
+    assert {tuple(r) for r in cleanup.copy_pairs(cleanup.copy_classes(df)).collect()} == {(1, 2), (1, 3), (1, 8), (2, 8), (3, 8), (5, 8)}
     media = spark.sql("select id, false as isFavorite, 10L * id as size, 1 as width, 1 as height, cast('2020-01-01' as timestamp_ntz) as dateTaken from range(1, 9)")
-    assert [tuple(r) for r in cleanup.copy_groups(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long"), media).collect()] == [(1, 3, 3, 30)]
+    assert [tuple(r) for r in cleanup.copy_groups(df.where("id < 4"), media).collect()] == [(1, 3, 3, 30)]
+    # Equal rows are one class but all of them count; a rotated copy has the same shape; nulls equal nulls.
+    more = df.unionByName(df.where("id = 3").withColumn("id", F.lit(13).cast("long"))).unionByName(df.where("id = 3").withColumns({"id": F.lit(14).cast("long"), "width": F.lit(30), "height": F.lit(20)}))
+    wide = df.where("id = 3").withColumns({"id": F.lit(15).cast("long"), "width": F.lit(20), "height": F.lit(30)})
+    links = {r["id"]: r["links"] for r in cleanup.copy_links(more.unionByName(wide).where("id not in (1, 5, 8)")).collect()}
+    assert links == {3: 1, 13: 1, 14: 1, 15: 1}
+    assert cleanup.copy_links(df.limit(0)).count() == 0
+
+
+def test_near_hashes_are_exact_at_any_number_of_bands(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 62, 60)
+    code = sorted({int(b) ^ sum(1 << int(i) for i in rng.choice(62, rng.integers(0, 5), replace=False)) for b in base for _ in range(4)})
+    want = {(a, b) for i, a in enumerate(code) for b in code[i + 1 :] if bin(a ^ b).count("1") <= 3}
+    for n in (1, 1 << 30, 1 << 45):
+        got = [tuple(r) for r in cleanup.near_hashes(spark.createDataFrame([(c,) for c in code], "hash long"), 3, n).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_series(spark):
@@ -108,8 +133,14 @@ def test_series(spark):
     rows = [(i, 1, datetime.fromtimestamp(base.timestamp() + s), x) for i, (s, x) in enumerate(zip(at, v, strict=True))] + [(50, 1, base, None), (51, None, base, [1.0, 0.0]), (52, 1, None, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "id long, bucketId long, dateTaken timestamp_ntz, vec array<float>")
     runs = {r["id"]: r["run"] for r in cleanup.gap_series(df).collect()}
-    assert {i: runs[i] for i in range(6)} == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 2} and 51 not in runs and 52 not in runs
-    assert {tuple(r) for r in cleanup.leader_series(df).collect()} == {(0, 0), (1, 0), (3, 3), (4, 3)}
+    # All media are one sequence, whatever their bucket; rows without a date are no part of it.
+    assert {i: runs[i] for i in range(6)} == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 2} and runs[51] == 0 and 52 not in runs
+    # One without a vector is passed over entirely, and so doesn't bridge a gap; one like the last but not the first leaves.
+    assert {tuple(r) for r in cleanup.leader_series(df.where("id <> 51"), 2).collect()} == {(0, 0), (1, 0), (3, 3), (4, 3)}
+    turn = [(i, base, [float(np.cos(i / 4)), float(np.sin(i / 4))]) for i in range(7)]
+    drift = {r["id"]: r["series"] for r in cleanup.leader_series(spark.createDataFrame(turn, "id long, dateTaken timestamp_ntz, vec array<float>"), 2, least=0.8).collect()}
+    assert drift == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3}
+    assert cleanup.leader_series(df.limit(0), 2).count() == 0
 
 
 def test_statistics(spark):
@@ -144,6 +175,8 @@ def test_snapshots(spark):
     assert rows(snapshots.cascade(old.withColumnRenamed("id", "pid").withColumn("id", F.lit(1)), new, "pid", set_null=True).select("pid", "v")) == {(None, "a"), (2, "b")}
     face = spark.createDataFrame([(1, 10, None), (2, 20, 20), (3, None, None)], "id long, personId long, lockedPersonId long")
     assert rows(snapshots.merge_persons(face, 10, 20)) == {(1, 20, 20), (2, 20, 20), (3, None, None)}
+    stamped = spark.createDataFrame([(2, "z", 1), (2, "y", 5), (2, "x", 3)], "id long, v string, at long")
+    assert rows(snapshots.upsert(old.withColumn("at", F.lit(0).cast("long")), stamped, ["id"], "at")) == {(1, "a", 0), (2, "y", 5)}
     left, rejected = snapshots.detach(face, spark.createDataFrame([], "faceId long, personId long"), [2, 3], 20)
     assert rows(left) == {(1, 10, None), (2, None, None), (3, None, None)} and rows(rejected) == {(2, 20)}
 
