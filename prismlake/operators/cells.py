@@ -13,26 +13,42 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors the pivots are fitted on, at most about so many (those of smallest hash of their id).
-SAMPLE_ROWS = 16_384
-MAX_CELLS = 1_024
-#: A cell expected to hold more rows than this is split into blocks by a hash of the vector; visitors go to all of them.
+from prismlake.tables import cut
+
+#: Vectors the pivots are fitted on: about so many, or so many a cell (those of smallest hash of their id).
+SAMPLE_ROWS, SAMPLE_PER_CELL = 16_384, 16
+#: Beyond this many cells they hold more rows each, in more tiles: the work grows, the size of a task doesn't.
+MAX_CELLS = 8_192
+#: A cell expected to hold more rows than this, or to be visited by more, is compared tile by tile.
 BLOCK_ROWS = 32_768
+#: Bytes of placed vectors that a task should get.
+TASK_BYTES = 24 << 20
+#: A vector that more rows than this (and than 1/100,000 of all) have is compared once; see split_repeats.
+REPEATS = 1_024
 
 
 @dataclass(frozen=True)
 class Pivots:
     centre: np.ndarray
     gap: np.ndarray
+    #: By cell: in how many blocks its own rows are, and in how many chunks its visitors.
     blocks: np.ndarray
+    chunks: np.ndarray
+    #: Rows to expect after placing.
+    rows: int = 0
 
     @property
     def dim(self) -> int:
         return self.centre.shape[1]
 
+    def kind(self, group: pa.Table) -> str:
+        """What a group of placed rows is: `own` (a block with the first visitors), `inner` (two blocks), `outer` (a block and later visitors)."""
+        cell, block, tile = (group.column(c)[0].as_py() for c in ("cell", "block", "tile"))
+        return "own" if tile == block else "inner" if tile < self.blocks[cell] else "outer"
+
 
 def usable(vec: Column, dim: int) -> Column:
     """Not null, of length dim, without null or NaN, norm above 1e-12."""
@@ -87,17 +103,30 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 6, seed: int = 7) -> n
     return centre
 
 
-def fit(vectors: DataFrame, n: int, dim: int, cell_rows: int, sample_rows: int = SAMPLE_ROWS, max_cells: int = MAX_CELLS) -> Pivots:
-    """Pivots for vectors(id, vec), n rows, all usable: one for about cell_rows rows."""
-    part = min(1.0, sample_rows / max(n, 1))
-    sample = vectors if part == 1.0 else vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(part * (1 << 20)))
+def fit(vectors: DataFrame, n: int, dim: int, cell_rows: int, least: float = 1.0, spread: float = 0.0) -> Pivots:
+    """Pivots for vectors(id, vec), n rows, all usable: one for about cell_rows rows; least and spread as for place().
+
+    Equal vectors count once in the fit, so that one that many rows have doesn't draw pivots to itself.
+    """
+    wanted = int(min(MAX_CELLS, max(1, n // cell_rows)))
+    part = min(1.0, max(SAMPLE_ROWS, SAMPLE_PER_CELL * wanted) / max(n, 1))
+    sample = vectors if part == 1.0 else vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(np.ceil(part * (1 << 20))))
     found = sample.select("vec").toArrow()
     x = unit(matrix(found.column(0), dim), np.float32) if found.num_rows else np.zeros((0, dim), np.float32)
-    k = int(min(max_cells, max(1, n // cell_rows), max(1, len(x) // 8)))
-    centre = spherical_kmeans(x, k) if len(x) else np.eye(1, dim, dtype=np.float32)
+    once = x[np.unique(mixed(x), return_index=True)[1]] if len(x) else x
+    k = int(min(wanted, max(1, len(once) // 8)))
+    centre = spherical_kmeans(once, k) if len(x) else np.eye(1, dim, dtype=np.float32)
+    centre = centre.astype(np.float32)
     gap = np.sqrt(np.maximum(0, 2 - 2 * (centre @ centre.T))).astype(np.float32)
-    held = np.bincount((x @ centre.T).argmax(1), minlength=len(centre)) * (n / max(len(x), 1))
-    return Pivots(centre.astype(np.float32), gap, np.maximum(1, np.ceil(held / BLOCK_ROWS)).astype(np.int64))
+    scale = n / max(len(x), 1)
+    held, met = np.zeros(k), np.zeros(k)
+    for lo in range(0, len(x), 4096):
+        home, _, cell = visits(x[lo : lo + 4096], Pivots(centre, gap, held, held), least, spread)
+        held += np.bincount(home, minlength=k)
+        met += np.bincount(cell, minlength=k)
+    parts = lambda rows: np.maximum(1, np.ceil(rows * scale / BLOCK_ROWS)).astype(np.int64)
+    blocks, chunks = parts(held), parts(met - held)
+    return Pivots(centre, gap, blocks, chunks, int(scale * (held @ (blocks + chunks - 1) + (met - held) @ blocks)))
 
 
 def visits(x: np.ndarray, pivots: Pivots, least: float, spread: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,39 +147,98 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def place(vectors: DataFrame, pivots: Pivots, least: float, spread: float, keep: list[str] | None = None, visitors: str | None = None, half: bool = False) -> DataFrame:
-    """vectors(id, vec, ...) as rows (cell, block, home, id, vec, *keep): one for each vector's home, one for each visit.
+    """vectors(id, vec, ...) as rows (cell, block, tile, home, id, vec, *keep): each vector at home and in the cells it visits.
 
-    A visit to a cell of several blocks gives a row for each block. visitors: boolean column; rows where it is false
-    only go home. spread 0 sends every vector home alone. half: vec as unit vectors of half precision, see halves().
+    Groups of (cell, block, tile) have a bounded size: a cell's own rows are cut into blocks, its visitors into chunks.
+    Group (b, b) holds block b as home rows and the first chunk of visitors; group (b, c) with another block c > b holds
+    c's rows as visitors of b; further groups hold b and a later chunk of visitors. So every row meets every home row of
+    the cells it visits once. visitors: boolean column; rows where it is false only go home. spread 0 sends every vector
+    to its own block alone. half: vec as unit vectors of half precision, see halves().
     """
     keep = keep or []
     types = dict(vectors.dtypes)
-    schema = "cell int, block int, home boolean, id bigint, vec " + ("binary" if half else "array<float>") + "".join(f", {c} {types[c]}" for c in keep)
+    schema = "cell int, block int, tile int, home boolean, id bigint, vec " + ("binary" if half else "array<float>") + "".join(f", {c} {types[c]}" for c in keep)
+
+    def spans(row: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each row so many times, and which time it is."""
+        again = np.repeat(np.arange(len(row)), times)
+        return again, np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = matrix(batch.column("vec"), pivots.dim)
-            for lo in range(0, len(x), 4096):
-                part = x[lo : lo + 4096]
+            for lo in range(0, batch.num_rows, 4096):
+                part = matrix(batch.column("vec").slice(lo, 4096), pivots.dim)
+                score_of = unit(part, np.float32)
+                hashed = mixed(part)
                 if spread:
-                    home, row, cell = visits(unit(part, np.float32), pivots, least, spread)
+                    home, row, cell = visits(score_of, pivots, least, spread)
                 else:
-                    home = (unit(part, np.float32) @ pivots.centre.T).argmax(1)
-                    row, cell = np.arange(len(part)), home
+                    home = (score_of @ pivots.centre.T).argmax(1)
+                    row, cell = np.arange(0), np.arange(0)
                 if visitors:
-                    may = (cell == home[row]) | batch.column(visitors).to_numpy(zero_copy_only=False)[lo + row]
+                    may = batch.column(visitors).slice(lo, 4096).to_numpy(zero_copy_only=False).astype(bool)[row]
                     row, cell = row[may], cell[may]
-                own = (mixed(part) % pivots.blocks[home].astype(np.uint64)).astype(np.int64)
-                times = pivots.blocks[cell] if spread else np.ones(len(cell), np.int64)
-                again = np.repeat(np.arange(len(row)), times)
-                block = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times) if spread else own
-                row, cell = row[again], cell[again]
-                at_home = (cell == home[row]) & (block == own[row])
-                for i in range(0, len(row), 8192):
-                    r = slice(i, i + 8192)
-                    take = pa.array(lo + row[r])
-                    yield pa.RecordBatch.from_arrays([pa.array(cell[r].astype(np.int32)), pa.array(block[r].astype(np.int32)), pa.array(at_home[r]), batch.column("id").take(take), halves(unit(part[row[r]], np.float32)) if half else lists(part[row[r]]), *(batch.column(k).take(take) for k in keep)], names=["cell", "block", "home", "id", "vec", *keep])
+                out = cell != home[row]
+                row, cell = row[out], cell[out]
+                every, count = np.arange(len(part)), pivots.blocks[home]
+                own = (hashed % count.astype(np.uint64)).astype(np.int64)
+                found = [(every, home, own, own, True)]
+                if spread:
+                    again, nth = spans(every, count - 1)  # the other blocks of the cell
+                    other = nth + (nth >= own[again])
+                    low = np.minimum(other, own[again])
+                    for is_home in (True, False):
+                        side = (own[again] == low) == is_home
+                        found += [(again[side], home[again[side]], low[side], np.maximum(other, own[again])[side], is_home)]
+                    again, nth = spans(every, pivots.chunks[home] - 1)
+                    found += [(again, home[again], own[again], count[again] + nth, True)]
+                    again, nth = spans(row, pivots.blocks[cell])
+                    chunk = ((hashed[row] >> np.uint64(7)) % pivots.chunks[cell].astype(np.uint64)).astype(np.int64)[again]
+                    found += [(row[again], cell[again], nth, np.where(chunk == 0, nth, pivots.blocks[cell[again]] + chunk - 1), False)]
+                r, c, b, t = (np.concatenate([f[i] for f in found]) for i in range(4))
+                at_home = np.concatenate([np.full(len(f[0]), f[4]) for f in found])
+                for i in range(0, len(r), 8192):
+                    s = slice(i, i + 8192)
+                    take = pa.array(lo + r[s])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(v[s].astype(np.int32)) for v in (c, b, t)), pa.array(at_home[s]), batch.column("id").take(take), halves(score_of[r[s]]) if half else lists(part[r[s]]), *(batch.column(k).take(take) for k in keep)], names=["cell", "block", "tile", "home", "id", "vec", *keep])
 
     return vectors.select("id", "vec", *dict.fromkeys([*keep, *([visitors] if visitors else [])])).mapInArrow(run, schema)
+
+
+def tasks(spark, rows: int, row_bytes: int) -> int:
+    """How many partitions to shuffle so many rows into, at least the session's number."""
+    return int(min(200_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), np.ceil(rows * row_bytes / TASK_BYTES))))
+
+
+def tiled(placed: DataFrame, rows: int, row_bytes: int):
+    """Placed rows grouped by tile, in as many tasks as their size asks for."""
+    spark = placed.sparkSession
+    n = tasks(spark, rows, row_bytes)
+    if n > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        placed = placed.repartition(n, "cell", "block", "tile")
+    return placed.groupBy("cell", "block", "tile")
+
+
+def split_repeats(vectors: DataFrame, n: int, kept: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows that stand for all, and the rest: of a vector that very many ids of vectors(id, vec) have, the smallest ids stay.
+
+    The first table is vectors with a column weight: 1, or on the smallest id of such a vector the number of its ids less
+    the other `kept` - 1 that stay. The second is (id, rep), rep being that smallest id; None if no vector repeats so often.
+    Only numbers by hash (of 128 bits) are shuffled to find them; there are at most 100,000 such vectors, so what stays of
+    them is broadcast. Repeated rows of an id count once among them.
+    """
+    often = max(REPEATS, n // 100_000, kept)
+    key = ["_h", "_g"]
+    hashed = vectors.withColumns({"_h": F.xxhash64("vec"), "_g": F.xxhash64(F.lit(7), "vec")})
+    hot = cut(hashed.groupBy(*key).agg(F.count("*").alias("c")).where(F.col("c") > often).select(*key), "repeats")
+    if hot.isEmpty():
+        return vectors.withColumn("weight", F.lit(1).cast("long")), None
+    few = hashed.join(F.broadcast(hot), key, "left_anti").drop(*key).withColumn("weight", F.lit(1).cast("long"))
+    many = hashed.join(F.broadcast(hot), key)
+    ids = many.select(*key, "id").distinct()
+    first = ids.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy("id"))).where(F.col("_r") <= kept)
+    first = cut(first.join(ids.groupBy(*key).agg(F.count("*").alias("_n")), key), "repeats-first")
+    weight = F.when(F.col("_r") == 1, F.greatest(F.lit(1), F.col("_n") - (kept - 1))).otherwise(1).cast("long")
+    stay = many.join(F.broadcast(first.select("id", weight.alias("weight"))), "id").dropDuplicates(["id"])
+    rest = ids.join(F.broadcast(first.where("_r = 1").select(*key, F.col("id").alias("rep"))), key).join(F.broadcast(first.select("id")), "id", "left_anti")
+    return few.unionByName(stay.select(*few.columns)), cut(rest.select("id", "rep"), "repeats-rest")

@@ -1,13 +1,17 @@
-"""Density clusters over a similarity graph, and the albums made of them."""
+"""Density clusters of vectors or over a similarity graph, and the albums made of them."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismlake.conf import CONF
 from prismlake.functions.dates import span_label
+from prismlake.operators.cells import fit, matrix, place, tiled, unit
 from prismlake.operators.components import components
+from prismlake.operators.similarity import CELL_ROWS, sides, whole
 from prismlake.tables import cut, is_small
 
 
@@ -29,27 +33,120 @@ def dbscan(ids: DataFrame, edges: DataFrame, min_points: int = CONF.album_min_po
     return ids.select("id").join(core, "id", "left").join(border, "id", "left").select("id", F.coalesce("cluster", "near", F.lit(-1)).cast("long").alias("cluster"))
 
 
-def refine(ids: DataFrame, edges: DataFrame, labels: DataFrame, eps: float, min_points: int = 4, step: float = 0.02, floor: float = 0.04, rounds: int = 2, largest: int = CONF.refine_largest, share: float = CONF.refine_share) -> DataFrame:
-    """Clusters that are too large are clustered again, inside, with a smaller radius; up to `rounds` times.
+def density(vectors: DataFrame, n: int, dim: int, least: float, min_points: int = CONF.album_min_points, part: str | None = None) -> DataFrame:
+    """(id, cluster, links): density clusters of vectors(id, vec) without ever writing their pairs down.
 
-    Too large: more than `largest` rows and more than `share` of all. If nothing is found inside, the cluster stays.
-    edges need a score column.
+    links: partners of cosine (12 places) >= least; a core has min_points rows around it, itself included. cluster is the
+    smallest core id of the cluster, for a border row that of its smallest core neighbour, -1 for noise. part: a column;
+    only rows equal in it are partners. Exact: every tile of the vector cells counts its rows' partners, then tells which
+    of its cores it connects (a tree, not the pairs), and each other row's smallest core.
     """
-    n = ids.count()
-    limit = max(largest, int(share * n))
+    spread = whole(dim)
+    pivots = fit(vectors, n, dim, CELL_ROWS, least, spread)
+    keep = [part] if part else []
+    size = 4 * dim + 48
+
+    def near(group: pa.Table, ask: np.ndarray, at: np.ndarray, x: np.ndarray):
+        """Chunks of (rows, which of `at` are their partners); the decision is made in double precision."""
+        small, ids = x.astype(np.float32), group.column("id").to_numpy()
+        label = group.column(part).to_numpy() if part else None
+        for lo in range(0, len(ask), 512):
+            own = ask[lo : lo + 512]
+            score = small[own] @ small[at].T
+            hit = score >= least + 1e-5
+            row, column = np.nonzero((score >= least - 1e-5) & ~hit)
+            hit[row, column] = np.round(np.einsum("ij,ij->i", x[own[row]], x[at[column]]), 12) >= least
+            hit &= ids[own][:, None] != ids[at][None, :]
+            if part:
+                hit &= label[own][:, None] == label[at][None, :]
+            yield own, hit
+
+    def degrees(group: pa.Table) -> pa.Table:
+        x, ids = unit(matrix(group.column("vec"), dim)), group.column("id").to_numpy()
+        at, ask, _ = sides(group, pivots)
+        count, back = np.zeros(len(ids), np.int64), pivots.kind(group) == "inner"
+        for own, hit in near(group, ask, at, x):
+            count[at] += hit.sum(0)
+            if back:
+                count[own] += hit.sum(1)
+        seen = count > 0
+        return pa.table({"id": ids[seen], "links": count[seen]})
+
+    counted = tiled(place(vectors, pivots, least, spread, keep), pivots.rows, size).applyInArrow(degrees, "id bigint, links bigint")
+    counted = cut(counted.groupBy("id").agg(F.sum("links").alias("links")), "density-links")
+    core = F.col("links") + 1 >= min_points
+    touched = vectors.select("id", "vec", *keep).join(counted.select("id", core.alias("core")), "id")
+
+    def connect(group: pa.Table) -> pa.Table:
+        x, ids = unit(matrix(group.column("vec"), dim)), group.column("id").to_numpy()
+        is_core = group.column("core").to_numpy().astype(bool)
+        at, ask, own_tile = sides(group, pivots)
+        cores = at[is_core[at]]
+        label, least_core = np.arange(len(ids)), np.full(len(ids), np.iinfo(np.int64).max)
+        by = cores[np.argsort(ids[cores], kind="stable")]
+        if len(by):
+            for own, hit in near(group, ask, by, x):
+                mine = is_core[own]
+                touching = mine & hit.any(1)
+                _connected_on(hit[touching], own[touching], by, label)
+                some = hit.any(1) & ~mine
+                least_core[own[some]] = np.minimum(least_core[own[some]], ids[by[hit[some].argmax(1)]])
+        if pivots.kind(group) == "inner":  # border rows of the home block may touch cores of the other one only
+            others = ask[is_core[ask]]
+            others = others[np.argsort(ids[others], kind="stable")]
+            plain = at[~is_core[at]]
+            if len(others) and len(plain):
+                for own, hit in near(group, plain, others, x):
+                    some = hit.any(1)
+                    least_core[own[some]] = np.minimum(least_core[own[some]], ids[others[hit[some].argmax(1)]])
+        root = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(root, label, ids)
+        tree = np.flatnonzero(is_core & (ids != root[label]))
+        border = np.flatnonzero(least_core < np.iinfo(np.int64).max)
+        return pa.table({"a": np.r_[ids[tree], ids[border]], "b": np.r_[root[label[tree]], least_core[border]], "core": np.r_[np.ones(len(tree), bool), np.zeros(len(border), bool)]})
+
+    found = cut(tiled(place(touched, pivots, least, spread, [*keep, "core"]), pivots.rows, size).applyInArrow(connect, "a bigint, b bigint, core boolean"), "density-trees")
+    joined = components(found.where("core")).select(F.col("node").alias("id"), "component")
+    cores = counted.where(core).join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
+    if min_points <= 1:
+        alone = vectors.select("id").join(counted.select("id"), "id", "left_anti").select("id", F.col("id").alias("cluster"))
+        cores = cores.unionByName(alone)
+    cores = cut(cores, "density-cores")
+    # The smallest core neighbour over all tiles decides.
+    border = found.where("not core").groupBy("a").agg(F.min("b").alias("b")).join(cores.select(F.col("id").alias("b"), "cluster"), "b").select(F.col("a").alias("id"), "cluster")
+    named = cores.unionByName(border)
+    rows = vectors.select("id").join(counted, "id", "left").join(named, "id", "left")
+    return rows.select("id", F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
+def _connected_on(hit: np.ndarray, rows: np.ndarray, columns: np.ndarray, label: np.ndarray) -> None:
+    """Gives one label to each row and all columns it touches, and to whatever shares a label with them."""
+    for i in range(len(hit)):
+        some = np.unique(np.append(label[columns[hit[i]]], label[rows[i]]))
+        if len(some) > 1:
+            label[np.isin(label, some)] = some[0]
+
+
+def refine(vectors: DataFrame, labels: DataFrame, dim: int, eps: float, min_points: int = CONF.album_min_points, step: float = 0.02, floor: float = 0.04, rounds: int = 2, largest: int = CONF.refine_largest, share: float = CONF.refine_share) -> DataFrame:
+    """(id, cluster): clusters of labels(id, cluster) that are too large are clustered again, inside, with a smaller radius.
+
+    Too large: more than `largest` rows and more than `share` of all. Up to `rounds` times, while the radius keeps to the
+    floor. If nothing is found inside, the cluster stays; else rows outside the new ones are noise.
+    """
+    labels = cut(labels.select("id", "cluster"), "refine")
+    limit = max(largest, int(share * labels.count()))
     for _ in range(rounds):
         eps -= step
         if eps < floor - 1e-9:
             break
         big = labels.where("cluster >= 0").groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("cluster")
-        members = cut(labels.join(big, "cluster", "left_semi"), "refine")
-        if members.isEmpty():
+        members = cut(labels.join(big, "cluster", "left_semi").join(vectors.select("id", "vec"), "id"), "refine")
+        n = members.count()
+        if not n:
             break
-        of = lambda c: members.select(F.col("id").alias(c), F.col("cluster").alias(f"c{c}"))
-        inner = edges.where(F.col("score") >= 1 - eps).join(of("a"), "a").join(of("b"), "b").where("ca = cb").select("a", "b")
-        new = dbscan(members, inner, min_points).withColumnRenamed("cluster", "new").join(members, "id")
-        any_ = F.max("new").over(Window.partitionBy("cluster"))
-        new = new.select("id", F.when(any_ >= 0, F.col("new")).otherwise(F.col("cluster")).alias("new"))
+        new = density(members, n, dim, 1 - eps, min_points, "cluster").select("id", F.col("cluster").alias("new")).join(members.select("id", "cluster"), "id")
+        found = new.groupBy("cluster").agg(F.max("new").alias("any"))
+        new = new.join(found, "cluster").select("id", F.when(F.col("any") >= 0, F.col("new")).otherwise(F.col("cluster")).alias("new"))
         labels = cut(labels.join(new, "id", "left").select("id", F.coalesce("new", "cluster").alias("cluster")), "refine")
     return labels
 

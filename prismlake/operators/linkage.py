@@ -3,20 +3,33 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismlake.conf import CONF
+from prismlake.functions.vectors import dot
 from prismlake.operators.components import components
-from prismlake.tables import cut
+from prismlake.operators.people import centroids
+from prismlake.operators.similarity import neighbours
+from prismlake.tables import cut, is_small
+
+
+#: A connected set of up to so many rows is linked in one task; larger ones by rounds of joins.
+TASK_ROWS = 20_000
+#: A person with more examples than this is linked over a neighbour graph instead of all pairs.
+DENSE_ROWS = 2_048
 
 
 def average_linkage(x: np.ndarray, least: float, anchor: list[int | None] | None = None, bans: list[tuple[int, int]] = ()) -> np.ndarray:
     """Labels of unit vectors: groups of highest mean cosine merge while it is at least `least`.
 
-    Rows of one anchor start together, different anchors never merge, nor do groups that hold a banned pair.
+    Rows of one anchor start together, different anchors never merge, nor do groups that hold a banned pair. Merges follow
+    chains of nearest neighbours, which for mean linkage end in the same groups as always merging the best pair.
     """
     n = len(x)
     anchor = list(anchor or [None] * n)
@@ -25,29 +38,37 @@ def average_linkage(x: np.ndarray, least: float, anchor: list[int | None] | None
     k = len(start)
     onto = np.zeros((k, n))
     onto[group, np.arange(n)] = 1
-    cross, size = onto @ (x @ x.T) @ onto.T, onto.sum(1)
-    named = np.array([0 if key[0] == "a" else -1 for key in start])
-    never = np.zeros((k, k), bool)
-    never |= (named[:, None] >= 0) & (named[None, :] >= 0)
+    size = onto.sum(1)
+    mean = onto @ (x @ x.T) @ onto.T / np.outer(size, size)
+    named = np.array([key[0] == "a" for key in start], bool)
+    mean[named[:, None] & named[None, :]] = -np.inf
     for i, j in bans:
         if group[i] != group[j]:
-            never[group[i], group[j]] = never[group[j], group[i]] = True
-    np.fill_diagonal(never, True)
-    alive, label = np.ones(k, bool), np.arange(k)
-    while True:
-        mean = np.where(never | ~alive[:, None] | ~alive[None, :], -np.inf, cross / np.outer(size, size))
-        at = int(mean.argmax())
-        a, b = sorted(divmod(at, k))
-        if mean.flat[at] < least:
-            break
-        cross[a] += cross[b]
-        cross[:, a] += cross[:, b]
-        size[a] += size[b]
-        never[a] |= never[b]
-        never[:, a] |= never[:, b]
-        never[a, a] = True
-        alive[b] = False
-        label[label == b] = a
+            mean[group[i], group[j]] = mean[group[j], group[i]] = -np.inf
+    np.fill_diagonal(mean, -np.inf)
+    label, open_, chain = np.arange(k), np.ones(k, bool), []
+    while open_.any():
+        if not chain:
+            chain = [int(open_.argmax())]
+        tip = chain[-1]
+        to = int(mean[tip].argmax())
+        if mean[tip, to] < least:  # nothing can reach it any more, as means only average out
+            open_[tip] = False
+            mean[tip] = mean[:, tip] = -np.inf
+            chain.pop()
+            continue
+        if len(chain) > 1 and mean[tip, chain[-2]] >= mean[tip, to]:
+            a, b = sorted((tip, chain[-2]))
+            chain = chain[:-2]
+            both = (size[a] * mean[a] + size[b] * mean[b]) / (size[a] + size[b])
+            both[[a, b]] = -np.inf
+            mean[a], mean[:, a] = both, both
+            mean[b] = mean[:, b] = -np.inf
+            size[a] += size[b]
+            open_[b] = False
+            label[label == b] = a
+        else:
+            chain.append(to)
     return label[group]
 
 
@@ -126,35 +147,118 @@ def sparse_linkage(x: np.ndarray, edges: list[tuple[int, int]], least: float, me
     return np.array([find(i) for i in range(n)])
 
 
-def link(rows: DataFrame, edges: DataFrame, least: float) -> DataFrame:
+def _rounds(rows: DataFrame, edges: DataFrame, least: float, penalty: float, banned: DataFrame) -> DataFrame:
+    """(a, b): merges of groups by rounds, in each of which all pairs merge that prefer each other to anything else.
+
+    rows(id, vec, mediaId, anchor), edges(a, b), banned(id, personId). For mean linkage such merges never spoil a better
+    one, so the groups are those of merging the best pair each time. A round is a few joins and aggregations over group
+    sums; vectors of a group meet by partial sums only.
+    """
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
+    first = F.coalesce(F.min("id").over(Window.partitionBy("anchor")), F.col("id"))
+    rows = rows.withColumn("g", F.when(F.col("anchor").isNotNull(), first).otherwise(F.col("id")))
+    rows = cut(rows.select("id", "g", "mediaId", "anchor", F.transform("vec", lambda v: v / norm).alias("vec")), "rounds-rows")
+    sums = centroid_sums(rows.select("g", "vec"), "g", rows)
+    groups = cut(sums.join(rows.groupBy("g").agg(F.max("anchor").alias("anchor")), "g"), "rounds-groups")
+    media = cut(rows.where("mediaId is not null").groupBy("g", "mediaId").agg(F.count("*").alias("c")), "rounds-media")
+    never = cut(rows.select("id", "g").join(banned, "id").select("g", "personId").distinct(), "rounds-never")
+    of = rows.select("id", "g")
+    ends = edges.join(of.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(of.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
+    near = cut(ends.select(F.least("ga", "gb").alias("a"), F.greatest("ga", "gb").alias("b")).where("a <> b").distinct(), "rounds-near")
+    done = rows.where("id <> g").select(F.col("id").alias("a"), F.col("g").alias("b"))
+    while True:
+        side = lambda s: groups.select(F.col("g").alias(s), F.col("vec").alias(f"v{s}"), F.col("size").alias(f"n{s}"), F.col("anchor").alias(f"o{s}"))  # noqa: B023, E731
+        pairs = near.join(side("a"), "a").join(side("b"), "b").where("oa is null or ob is null or oa = ob")
+        for one, other in (("a", "b"), ("b", "a")):
+            bar = never.select(F.col("g").alias(one), F.col("personId").alias(f"o{other}"))
+            pairs = pairs.join(bar, [one, f"o{other}"], "left_anti")
+        both = near.join(media.select(F.col("g").alias("a"), "mediaId", F.col("c").alias("ca")), "a").join(media.select(F.col("g").alias("b"), "mediaId", F.col("c").alias("cb")), ["b", "mediaId"])
+        same = both.groupBy("a", "b").agg(F.sum(F.col("ca") * F.col("cb")).alias("same"))
+        dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+        score = (dot - penalty * F.coalesce("same", F.lit(0))) / (F.col("na") * F.col("nb"))
+        scored = pairs.join(same, ["a", "b"], "left").select("a", "b", score.alias("score")).where(F.col("score") >= least)
+        scored = cut(scored, "rounds-scored")
+        wish = scored.select("a", "b", "score").unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+        best = wish.groupBy("a").agg(F.max(F.struct("score", (-F.least("a", "b")).alias("l"), (-F.greatest("a", "b")).alias("h"), "b"))["b"].alias("b"))
+        merge = cut(best.alias("x").join(best.alias("y"), (F.col("x.a") == F.col("y.b")) & (F.col("x.b") == F.col("y.a"))).where("x.a > x.b").select("x.a", "x.b"), "rounds-merge")
+        if merge.isEmpty():
+            return done
+        done = done.unionByName(merge)
+        into = F.broadcast(merge) if is_small(merge, 100_000) else merge
+        moved = lambda df, c: df.join(into.select(F.col("a").alias(c), F.col("b").alias("_to")), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")  # noqa: B023, E731
+        joined = moved(groups, "g")
+        # At most two rows of a group: its own and the one that joins it.
+        add = F.when(F.count("*") == 1, F.min_by("vec", "size")).otherwise(F.zip_with(F.min_by("vec", F.struct("size", "vec")), F.max_by("vec", F.struct("size", "vec")), lambda x, y: x + y))
+        groups = cut(joined.groupBy("g").agg(add.alias("vec"), F.sum("size").alias("size"), F.max("anchor").alias("anchor")), "rounds-groups")
+        media = cut(moved(media, "g").groupBy("g", "mediaId").agg(F.sum("c").alias("c")), "rounds-media")
+        never = cut(moved(never, "g").distinct(), "rounds-never")
+        near = moved(moved(near, "a"), "b")
+        near = cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "rounds-near")
+
+
+def centroid_sums(vectors: DataFrame, key: str, rows: DataFrame) -> DataFrame:
+    """(key, vec, size): sums of vectors(key, vec) by group; each task adds up its own rows first."""
+    one = rows.select(F.size("vec").alias("n")).first()
+    dim = one["n"] if one else 1
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                k = batch.column(key).to_numpy()
+                x = batch.column("vec").flatten().to_numpy().reshape(-1, dim)
+                order = np.argsort(k, kind="stable")
+                starts = np.flatnonzero(np.r_[True, k[order][1:] != k[order][:-1]])
+                yield pa.RecordBatch.from_arrays([pa.array(k[order][starts]), pa.array(list(np.add.reduceat(x[order], starts, axis=0)), pa.list_(pa.float64())), pa.array(np.diff(np.r_[starts, len(k)]))], names=[key, "vec", "size"])
+
+    def total(group: pa.Table) -> pa.Table:
+        x = group.column("vec").combine_chunks().flatten().to_numpy().reshape(-1, dim)
+        return pa.table({key: group.column(key)[:1], "vec": pa.array([x.sum(0)], pa.list_(pa.float64())), "size": pa.array([int(group.column("size").to_numpy().sum())], pa.int64())})
+
+    schema = f"{key} bigint, vec array<double>, size bigint"
+    return vectors.select(key, "vec").mapInArrow(partial, schema).groupBy(key).applyInArrow(total, schema)
+
+
+def link(rows: DataFrame, edges: DataFrame, least: float, rejected: DataFrame | None = None, penalty: float = CONF.same_photo_penalty, task_rows: int = TASK_ROWS) -> DataFrame:
     """(id, cluster): sparse average linkage of rows(id, vec, mediaId, anchor), edges(a, b) being candidate pairs.
 
-    Groups can't cross components of the edges and shared anchors, so each component is linked by itself, in one task.
-    cluster is the smallest id.
+    rejected(faceId, personId): a row never joins a group anchored to that person. Groups can't cross components of the
+    edges and shared anchors. A component of up to task_rows rows is linked by itself in one task; larger ones, of any
+    size, by rounds over all of them. cluster is the smallest id.
     """
+    banned = (rejected if rejected is not None else rows.sparkSession.createDataFrame([], "faceId long, personId long")).select(F.col("faceId").alias("id"), "personId").distinct()
     anchored = rows.where("anchor is not null")
     star = anchored.join(anchored.groupBy("anchor").agg(F.min("id").alias("b")), "anchor").select(F.col("id").alias("a"), "b")
-    joined = cut(components(edges.select("a", "b").unionByName(star)), "link-components")
-    named = rows.join(joined.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    pairs = edges.join(joined.select(F.col("node").alias("a"), "component"), "a").groupBy("component").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
+    joined = cut(components(edges.select("a", "b").unionByName(star)).select(F.col("node").alias("id"), "component"), "link-components")
+    large = cut(joined.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > task_rows).select("component"), "link-large")  # at most rows / task_rows
+    named = rows.select("id", "vec", "mediaId", "anchor").join(joined, "id").join(banned.groupBy("id").agg(F.collect_set("personId").alias("banned")), "id", "left")
+    small = lambda df: df.join(F.broadcast(large), "component", "left_anti")
+    # Rows and edges of a component come together in one table: no list of edges is ever one value.
+    columns = "component bigint, id bigint, vec array<float>, mediaId bigint, anchor bigint, banned array<bigint>, other bigint"
+    nodes = small(named).select("component", "id", F.col("vec").cast("array<float>").alias("vec"), "mediaId", "anchor", "banned", F.lit(None).cast("long").alias("other"))
+    inner = small(edges.join(joined.withColumnRenamed("id", "a"), "a")).select("component", F.col("a").alias("id"), *[F.lit(None).cast(t).alias(c) for c, t in (("vec", "array<float>"), ("mediaId", "long"), ("anchor", "long"), ("banned", "array<bigint>"))], F.col("b").alias("other"))
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("id").reset_index(drop=True)
+        ends = df[df["vec"].isna()]
+        df = df[~df["vec"].isna()].sort_values("id").reset_index(drop=True)
         x = np.stack(df["vec"].to_numpy()).astype(float)
         x /= np.linalg.norm(x, axis=1)[:, None]
-        position = {i: k for k, i in enumerate(df["id"])}
-        given = [p for p in df["pairs"] if p is not None]
-        ends = [(position[p["a"]], position[p["b"]]) for p in given[0]] if given else []
-        label = sparse_linkage(x, ends, least, list(df["mediaId"]), [None if pd.isna(a) else int(a) for a in df["anchor"]])
+        ids = df["id"].to_numpy()
+        a, b = np.searchsorted(ids, ends["id"].to_numpy()), np.searchsorted(ids, ends["other"].to_numpy(dtype=np.int64))
+        media = [(-1, i) if pd.isna(m) else int(m) for i, m in enumerate(df["mediaId"])]
+        anchor = [None if pd.isna(v) else int(v) for v in df["anchor"]]
+        label = sparse_linkage(x, list(zip(a.tolist(), b.tolist(), strict=True)), least, media, anchor, [set() if v is None else {int(p) for p in v} for v in df["banned"]], penalty)
         low = df.groupby(label)["id"].min()
         return pd.DataFrame({"id": df["id"], "cluster": low.loc[label].to_numpy()})
 
-    first = named.withColumn("pairs_for", F.when(F.col("id") == F.col("component"), F.col("component")))
-    whole = first.join(pairs.withColumnRenamed("component", "pairs_for"), "pairs_for", "left").select("id", "component", "vec", "mediaId", "anchor", "pairs")
-    lone = whole.where("pairs is null and anchor is null").join(joined.select(F.col("node").alias("id")), "id", "left_anti").select("id", F.col("id").alias("cluster"))
-    more = whole.join(joined.select(F.col("node").alias("id")), "id", "left_semi").groupBy("component").applyInPandas(run, "id long, cluster long")
-    single = whole.where("anchor is not null").join(joined.select(F.col("node").alias("id")), "id", "left_anti").select("id", F.col("id").alias("cluster"))
-    return more.unionByName(lone).unionByName(single)
+    found = nodes.unionByName(inner).groupBy("component").applyInPandas(run, "id long, cluster long")
+    alone = rows.select("id").join(joined.select("id"), "id", "left_anti").select("id", F.col("id").alias("cluster"))
+    found = found.unionByName(alone)
+    if large.isEmpty():
+        return found
+    wide = named.join(F.broadcast(large), "component", "left_semi")
+    ends = edges.join(joined.withColumnRenamed("id", "a"), "a").join(F.broadcast(large), "component", "left_semi").select("a", "b")
+    merged = components(_rounds(wide.select("id", "vec", "mediaId", "anchor"), ends, least, penalty, banned)).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    return found.unionByName(wide.select("id").join(merged, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster")))
 
 
 def consistent_examples(x: np.ndarray, least: float = 0.35, mode: float = 0.45) -> np.ndarray:
@@ -170,13 +274,30 @@ def consistent_examples(x: np.ndarray, least: float = 0.35, mode: float = 0.45)
     return np.isin(label, kept)
 
 
-def trusted(examples: DataFrame) -> DataFrame:
-    """examples(personId, id, embedding) that agree with the rest of their person's."""
+def trusted(examples: DataFrame, dim: int, least: float = CONF.example_link, mode: float = CONF.example_mode_link) -> DataFrame:
+    """(personId, id) of examples(personId, id, embedding) that agree with the rest of their person's; ids are unique.
+
+    Persons of up to DENSE_ROWS examples are linked over all pairs in one task, larger ones over their nearest neighbours.
+    """
+    rows = examples.select("personId", "id", "embedding")
+    large = cut(rows.groupBy("personId").agg(F.count("*").alias("n")).where(F.col("n") > DENSE_ROWS).select("personId"), "trusted-large")
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("id")
         x = np.stack(df["embedding"].to_numpy()).astype(float)
         x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
-        return df[consistent_examples(x)][["personId", "id"]]
+        return df[consistent_examples(x, least, mode)][["personId", "id"]]
 
-    return examples.select("personId", "id", "embedding").groupBy("personId").applyInPandas(run, "personId long, id long")
+    found = rows.join(F.broadcast(large), "personId", "left_anti").groupBy("personId").applyInPandas(run, "personId long, id long")
+    if large.isEmpty():
+        return found
+    wide = cut(rows.join(F.broadcast(large), "personId", "left_semi").withColumnRenamed("embedding", "vec"), "trusted-wide")
+    near = neighbours(wide.select("id", "vec"), wide.count(), dim, CONF.face_neighbours, least)
+    of = wide.select("id", "personId")
+    edges = near.join(of, "id").join(of.select(F.col("id").alias("other"), F.col("personId").alias("p")), "other").where("personId = p")
+    edges = cut(edges.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "trusted-edges")
+    label = cut(link(wide.select("id", "vec", F.lit(None).cast("long").alias("mediaId"), F.lit(None).cast("long").alias("anchor")), edges, least).join(wide, "id"), "trusted-labels")
+    centre = label.select("cluster", "personId").distinct().join(centroids(label.select("cluster", "vec"), "cluster", dim), "cluster")
+    main = centre.groupBy("personId").agg(F.max_by("centroid", F.struct("n", -F.col("cluster"))).alias("main"), F.max_by("cluster", F.struct("n", -F.col("cluster"))).alias("first"))
+    kept = centre.join(main, "personId").where((F.col("cluster") == F.col("first")) | (dot(F.col("centroid"), F.col("main")) >= mode)).select("cluster")
+    return found.unionByName(label.join(kept, "cluster", "left_semi").select("personId", "id"))

@@ -1,6 +1,6 @@
 """People: counts and media of persons, assignment of faces by their nearest examples, overlaps and suggestions.
 
-Examples and artifacts are compared with faces over a grid of blocks, so that neither side is ever whole in one place.
+Examples and artifacts are compared with faces over a grid of tiles, so that neither side is ever whole in one place.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from prismlake.conf import CONF
 from prismlake.functions.vectors import cosine, dot
 from prismlake.operators.cells import matrix, unit
+from prismlake.tables import cut, is_small
 
 
 def person_media(face: DataFrame, tag: DataFrame) -> DataFrame:
@@ -77,7 +78,7 @@ def crowded(face: DataFrame, least: int = 6) -> DataFrame:
     return face.where("not isArtifact").groupBy("mediaId").agg(F.count("*").alias("faces")).where(F.col("faces") >= least)
 
 
-def collages(face: DataFrame, least: float = 0.8) -> DataFrame:
+def collages(face: DataFrame, least: float = CONF.collage_score) -> DataFrame:
     """Media on which two faces are so alike that they must be the same person; media have few faces."""
     a = face.select("mediaId", F.col("id").alias("a"), F.col("embedding").alias("va"))
     b = face.select("mediaId", F.col("id").alias("b"), F.col("embedding").alias("vb"))
@@ -117,75 +118,130 @@ def suppress(boxes: DataFrame, most: float = 0.3) -> DataFrame:
     return boxes.select("mediaId", "id", "score", "boxLeft", "boxTop", "boxRight", "boxBottom").groupBy("mediaId").applyInPandas(run, "mediaId long, id long")
 
 
-def _means(examples: DataFrame, faces: DataFrame, dim: int, k: int, blocks: int) -> DataFrame:
-    """(id, personId, score): mean of each face's k best cosines to a person's examples, itself left out.
+#: Rows of a side of a tile; a person with more examples than this is spread over several tiles.
+TILE_ROWS = 8_192
 
-    Faces are spread over blocks of rows, examples over blocks of persons; every pair of blocks is one task, so neither
-    side is ever whole in one place. Only the best two persons of each pair of blocks are passed on.
+
+def _tiles(rows: DataFrame, key: str, n: int, held: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """rows with the number of their tile by a hash of a key, and how many tiles there are.
+
+    held(key, n): rows of each key; keys of more than TILE_ROWS rows are spread over as many tiles as they need, and
+    flagged `wide`.
     """
-    e = examples.withColumn("eb", F.pmod(F.xxhash64("personId"), F.lit(blocks)).cast("int")).select(F.lit(True).alias("isExample"), "id", "personId", F.col("embedding").alias("vec"), "eb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("fb"))
-    f = faces.withColumn("fb", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).select(F.lit(False).alias("isExample"), "id", F.lit(None).cast("long").alias("personId"), F.col("embedding").alias("vec"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("eb"), "fb")
+    tiles = max(1, -(-n // TILE_ROWS))
+    spot = F.pmod(F.xxhash64(key), F.lit(tiles))
+    if held is None:
+        return rows.withColumns({"_tile": spot.cast("int"), "_wide": F.lit(False)}), tiles
+    large = held.where(F.col("n") > TILE_ROWS).select(key, F.ceil(F.col("n") / TILE_ROWS).alias("_parts"))  # at most n / TILE_ROWS rows
+    rows = rows.join(F.broadcast(large), key, "left")
+    spread = F.pmod(spot + F.pmod(F.xxhash64("id"), F.col("_parts")), F.lit(tiles))
+    return rows.withColumns({"_tile": F.coalesce(spread, spot).cast("int"), "_wide": F.col("_parts").isNotNull()}).drop("_parts"), tiles
+
+
+def _means(examples: DataFrame, faces: DataFrame, dim: int, k: int, rejected: DataFrame | None = None, best: int = 2) -> DataFrame:
+    """(id, personId, score): mean of each face's k best cosines to a person's examples, itself left out; the best persons.
+
+    rejected(id, personId): persons that don't count for a face; they are left out before any choice is made. Faces and
+    examples are cut into tiles by their numbers, and every pair of tiles is one task of bounded size; that is all pairs,
+    as a mean over few cosines this low bounds nothing. A person lies in one tile, which passes on its `best` persons
+    only; of one too large for that every tile passes on the k best cosines, which are then merged.
+    """
+    held = examples.groupBy("personId").agg(F.count("*").alias("n"))
+    n_examples, n_faces = examples.count(), faces.count()
+    e, e_tiles = _tiles(examples.select("id", "personId", F.col("embedding").alias("vec")), "personId", n_examples, held)
+    f, f_tiles = _tiles(faces.select("id", F.col("embedding").alias("vec")), "id", n_faces)
+    never = F.array().cast("array<bigint>")
+    if rejected is not None:
+        by = rejected.groupBy("id").agg(F.collect_set("personId").alias("never"))  # what a user rejected for one face
+        f = f.join(by, "id", "left").withColumn("never", F.coalesce("never", never))
+    else:
+        f = f.withColumn("never", never)
+    times = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    e = e.select(F.lit(True).alias("isExample"), "id", "personId", "vec", "_wide", never.alias("never"), F.col("_tile").alias("et"), times(f_tiles).alias("ft"))
+    f = f.select(F.lit(False).alias("isExample"), "id", F.lit(None).cast("long").alias("personId"), "vec", "_wide", "never", times(e_tiles).alias("et"), F.col("_tile").alias("ft"))
 
     def run(group: pa.Table) -> pa.Table:
         is_example, ids = group.column("isExample").to_numpy(), group.column("id").to_numpy()
         x = unit(matrix(group.column("vec"), dim))
         at_e, at_f = np.flatnonzero(is_example), np.flatnonzero(~is_example)
-        empty = pa.table({"id": pa.array([], pa.int64()), "personId": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        if not len(at_e) or not len(at_f):
-            return empty
-        person = group.column("personId").to_pandas().to_numpy(dtype=float)[at_e].astype(np.int64)
+        person = group.column("personId").take(pa.array(at_e)).to_numpy()
         order = np.argsort(person, kind="stable")
         at_e, person = at_e[order], person[order]
+        wide = group.column("_wide").to_numpy()[at_e]
         names, starts = np.unique(person, return_index=True)
-        out = []
-        for lo in range(0, len(at_f), 1024):
+        barred = group.column("never").to_pylist()
+        out, parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], []
+        for lo in range(0, len(at_f) if len(at_e) else 0, 1024):
             own = at_f[lo : lo + 1024]
             score = x[own] @ x[at_e].T
             score[ids[own][:, None] == ids[at_e][None, :]] = np.nan
-            for name, a, b in zip(names, starts, [*starts[1:], len(at_e)], strict=True):
-                part = score[:, a:b]
-                part = -np.sort(-part, axis=1)[:, : k + 1]  # nan goes last
-                part = part[:, :k] if part.shape[1] > k else part
-                known = ~np.isnan(part)
-                mean = np.where(known.any(1), np.where(known, part, 0).sum(1) / np.maximum(known.sum(1), 1), np.nan)
-                ok = ~np.isnan(mean)
-                out.append((ids[own][ok], np.full(ok.sum(), name), mean[ok]))
+            mean = np.full((len(own), len(names)), np.nan)
+            for j, (a, b) in enumerate(zip(starts, [*starts[1:], len(at_e)], strict=True)):
+                top = score[:, a:b] if b - a <= k else -np.partition(np.where(np.isnan(score[:, a:b]), np.inf, -score[:, a:b]), k - 1, axis=1)[:, :k]
+                top = np.where(np.isinf(top), np.nan, top)
+                if wide[a]:
+                    parts += [(int(ids[own[i]]), int(names[j]), t[~np.isnan(t)].tolist()) for i, t in enumerate(top) if names[j] not in barred[own[i]]]
+                else:
+                    known = ~np.isnan(top)
+                    with np.errstate(invalid="ignore"):
+                        mean[:, j] = np.where(known, top, 0).sum(1) / known.sum(1)
+            for i, at in enumerate(own):
+                if barred[at]:
+                    mean[i, np.isin(names, barred[at])] = np.nan
+            keep = ~np.isnan(mean)
+            row, column = np.nonzero(keep)
+            value = mean[row, column]
+            order = np.lexsort((names[column], -value, row))
+            row, column, value = row[order], column[order], value[order]
+            first = np.flatnonzero(np.r_[True, np.diff(row) != 0]) if len(row) else np.zeros(0, int)
+            rank = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
+            row, column, value = row[rank < best], column[rank < best], value[rank < best]
+            out.append((ids[own[row]], names[column], value))
         i, p, s = (np.concatenate(c) for c in zip(*out, strict=True))
-        order = np.lexsort((p, -s, i))
-        i, p, s = i[order], p[order], s[order]
-        first = np.flatnonzero(np.r_[True, np.diff(i) != 0])
-        rank = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)]))
-        keep = rank < 2
-        return pa.table({"id": i[keep], "personId": p[keep], "score": s[keep]})
-
-    return e.unionByName(f).groupBy("eb", "fb").applyInArrow(run, "id bigint, personId bigint, score double")
-
-
-def assign_by_examples(examples: DataFrame, faces: DataFrame, dim: int, k: int = 3, least: float = 0.42, margin: float = 0.05, rejected: DataFrame | None = None, blocks: int = 4) -> DataFrame:
+        m = len(i)
+        return pa.table({
+            "id": np.r_[i, np.array([t[0] for t in parts], np.int64)], "personId": np.r_[p, np.array([t[1] for t in parts], np.int64)],
+            "score": pa.array([*s, *[None] * len(parts)], pa.float64()), "top": pa.array([*[None] * m, *[t[2] for t in parts]], pa.list_(pa.float64())),
+        })
+
+    grouped = e.unionByName(f)
+    spark = grouped.sparkSession
+    if e_tiles * f_tiles > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        grouped = grouped.repartition(min(200_000, e_tiles * f_tiles), "et", "ft")
+    found = grouped.groupBy("et", "ft").applyInArrow(run, "id bigint, personId bigint, score double, top array<double>")
+    if is_small(held.where(F.col("n") > TILE_ROWS), 0):
+        return found.select("id", "personId", "score")
+    found = cut(found, "means")
+    merged = found.where("top is not null").groupBy("id", "personId").agg(F.slice(F.sort_array(F.flatten(F.collect_list("top")), False), 1, k).alias("top"))
+    merged = merged.where(F.size("top") > 0).select("id", "personId", (F.aggregate("top", F.lit(0.0), lambda s, x: s + x) / F.size("top")).alias("score"))
+    return found.where("top is null").select("id", "personId", "score").unionByName(merged)
+
+
+def assign_by_examples(examples: DataFrame, faces: DataFrame, dim: int, k: int = CONF.knn_neighbours, least: float = CONF.knn_min_score, margin: float = CONF.knn_margin, rejected: DataFrame | None = None) -> DataFrame:
     """(id, personId, score): the person of highest mean cosine to its k nearest examples, if clear enough.
 
-    Persons that were rejected for a face don't count; the best must reach `least` and lead the second by `margin`.
-    Ties go to the smaller person id. With rejections all candidates are kept, otherwise the best two of each block.
+    examples(id, personId, embedding), faces(id, embedding), rejected(faceId, personId). Persons rejected for a face don't
+    count at all; the best must reach `least` and lead the second by `margin`. Ties go to the smaller person id.
     """
-    found = _means(examples, faces, dim, k, blocks)
-    if rejected is not None:
-        found = found.join(rejected.select(F.col("faceId").alias("id"), "personId"), ["id", "personId"], "left_anti")
+    no = rejected.select(F.col("faceId").alias("id"), "personId").distinct() if rejected is not None else None
+    found = _means(examples, faces, dim, k, no)
     order = Window.partitionBy("id").orderBy(F.desc("score"), "personId")
     found = found.select("*", F.row_number().over(order).alias("r"), F.lead("score").over(order).alias("second")).where("r = 1")
     return found.where((F.col("score") >= least) & (F.col("second").isNull() | (F.col("score") - F.col("second") >= margin))).select("id", "personId", "score")
 
 
-def self_check(examples: DataFrame, dim: int, **kw) -> DataFrame:
-    """Outcome counts when each example is assigned by all the others: right, wrong, none."""
-    got = assign_by_examples(examples, examples, dim, **kw).select("id", F.col("personId").alias("got"))
+def self_check(examples: DataFrame, dim: int, checks: DataFrame | None = None, **kw) -> DataFrame:
+    """Outcome counts when each example (or each of checks) is assigned by all the others: right, wrong, none."""
+    checks = examples if checks is None else checks
+    got = assign_by_examples(examples, checks, dim, **kw).select("id", F.col("personId").alias("got"))
     outcome = F.when(F.col("got").isNull(), "none").when(F.col("got") == F.col("personId"), "right").otherwise("wrong")
-    return examples.select("id", "personId").join(got, "id", "left").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("faces"))
+    return checks.select("id", "personId").join(got, "id", "left").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("faces"))
 
 
-def like_artifacts(artifacts: DataFrame, faces: DataFrame, dim: int, k: int = 3, least: float = 0.5) -> DataFrame:
+def like_artifacts(artifacts: DataFrame, faces: DataFrame, dim: int, k: int = CONF.knn_neighbours, least: float = CONF.artifact_score) -> DataFrame:
     """(id, score) of unlocked faces whose k best cosines to artifacts have a mean of at least `least`."""
     one = artifacts.select("id", F.lit(0).cast("long").alias("personId"), "embedding")
-    return _means(one, faces.where("lockedPersonId is null"), dim, k, 4).groupBy("id").agg(F.max("score").alias("score")).where(F.col("score") >= least)
+    return _means(one, faces.where("lockedPersonId is null"), dim, k).select("id", "score").where(F.col("score") >= least)
 
 
 def centroids(vectors: DataFrame, key: str, dim: int) -> DataFrame:
@@ -214,7 +270,7 @@ def _summing(key: str, dim: int):
     return add
 
 
-def suggestions(centroid: DataFrame, person: int, dismissed: DataFrame | None = None, least: float = 0.5, most: int = 3) -> DataFrame:
+def suggestions(centroid: DataFrame, person: int, dismissed: DataFrame | None = None, least: float = CONF.suggestion_score, most: int = 3) -> DataFrame:
     """Persons whose centroid is near a person's own: (personId, score), best first, without those dismissed."""
     own = centroid.where(F.col("personId") == person).select(F.col("centroid").alias("own")).limit(1)
     rows = centroid.where(F.col("personId") != person).join(F.broadcast(own)).select("personId", dot(F.col("centroid"), F.col("own")).alias("score"))
@@ -224,19 +280,26 @@ def suggestions(centroid: DataFrame, person: int, dismissed: DataFrame | None =
     return rows.where(F.col("score") >= least).orderBy(F.desc("score"), "personId").limit(most)
 
 
-def inherit(clusters: list[tuple[int, int]], votes: list[tuple[int, int, int]], least: float = 0.4) -> dict[int, int]:
-    """cluster -> previous person: by falling size, the unused person with most faces, if it holds a share of at least `least`.
+def inherit(clusters: DataFrame, votes: DataFrame, least: float = CONF.inherit_share) -> DataFrame:
+    """(cluster, personId): by falling size each cluster takes the unused person with most of its faces, if it has enough.
 
-    clusters(cluster, size), votes(cluster, person, faces). Sequential by definition; its input is one row a cluster.
+    clusters(cluster, size, anchor): an anchor is the cluster's person, and used from the start. votes(cluster, personId,
+    n). A person must hold a share of at least `least`; ties go to the smaller cluster and person. As in a marriage of
+    ranked wishes, the order of size decides: every round the best remaining wish of each cluster is granted where no
+    larger cluster has it too, so nothing is walked one by one and rounds end with the longest chain of refusals.
     """
-    by: dict[int, list[tuple[int, int]]] = {}
-    for cluster, person, n in votes:
-        by.setdefault(cluster, []).append((-n, person))
-    used, out = set(), {}
-    for cluster, size in sorted(clusters, key=lambda c: (-c[1], c[0])):
-        for n, person in sorted(by.get(cluster, [])):
-            if person not in used and -n >= least * size:
-                used.add(person)
-                out[cluster] = person
-                break
-    return out
+    open_ = clusters.where("anchor is null").select("cluster", "size")
+    taken = clusters.where("anchor is not null").select(F.col("anchor").alias("personId"))
+    wish = votes.join(open_, "cluster").where(F.col("n") >= F.col("size") * least).join(taken, "personId", "left_anti").select("cluster", "size", "personId", "n")
+    wish = cut(wish, "heirs")
+    found = clusters.where("anchor is not null").select("cluster", F.col("anchor").alias("personId"))
+    while not wish.isEmpty():
+        own = Window.partitionBy("cluster").orderBy(F.desc("n"), "personId")
+        rival = Window.partitionBy("personId").orderBy(F.desc("size"), "cluster")
+        first = wish.withColumn("r", F.row_number().over(own))
+        # A wish is safe if it is the cluster's first and no larger cluster could still want the person.
+        safe = first.withColumn("q", F.row_number().over(rival)).where("r = 1 and q = 1").select("cluster", "personId")
+        safe = cut(safe, "heirs-safe")
+        found = found.unionByName(safe)
+        wish = cut(wish.join(safe.select("cluster"), "cluster", "left_anti").join(safe.select("personId"), "personId", "left_anti").select("cluster", "size", "personId", "n"), "heirs")
+    return found

@@ -2,37 +2,71 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismlake.conf import CONF
 from prismlake.functions.vectors import cosine, literal
-from prismlake.operators.cells import fit, matrix, place, unit
+from prismlake.operators.cells import Pivots, fit, matrix, place, tiled, unit
 
 CELL_ROWS = 4_096
 
 
+def _best(vectors: DataFrame, query: list[float], k: int, least: float) -> DataFrame:
+    """The k of highest cosine to a query, least at least: every batch is scored at once, every task passes on k rows."""
+    q = np.asarray(query, np.float64)
+    q = q / max(np.linalg.norm(q), 1e-300)
+    dim = len(q)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, scores = np.zeros(0, np.int64), np.zeros(0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = matrix(batch.column("vec"), dim).astype(np.float64)
+            norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                score = x @ q / norm
+            ok = score >= least
+            ids, scores = np.r_[ids, batch.column("id").to_numpy()[ok]], np.r_[scores, score[ok]]
+            if len(ids) > 4 * k + 4096:
+                keep = np.lexsort((ids, -scores))[:k]
+                ids, scores = ids[keep], scores[keep]
+        keep = np.lexsort((ids, -scores))[:k]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(scores[keep])], names=["id", "score"])
+
+    rows = vectors.where((F.size("vec") == dim) & F.col("id").isNotNull()).select(F.col("id").cast("long"), F.col("vec").cast("array<float>"))
+    return rows.mapInArrow(run, "id bigint, score double").orderBy(F.desc("score"), "id").limit(k)
+
+
 def topk(vectors: DataFrame, query: list[float], k: int, least: float = -1.0, include: DataFrame | None = None, exclude: list[int] | None = None) -> DataFrame:
     """(id, score): the k vectors of highest cosine to the query, at least `least`; ties go to the smaller id.
 
-    vectors(id, vec); only those as long as the query count; an empty query finds nothing. include(id) restricts the scan
-    before scoring, exclude leaves ids out. Each task keeps k rows.
+    vectors(id, vec); only those as long as the query count, and zero vectors don't; an empty query finds nothing.
+    include(id) restricts the scan before scoring, exclude leaves ids out. Each task keeps k rows.
     """
-    rows = vectors.where(F.size("vec") == len(query)) if query else vectors.limit(0)
+    rows = vectors if query else vectors.limit(0)
     if include is not None:
         rows = rows.join(include.select("id"), "id", "left_semi")
     if exclude:
         rows = rows.where(~F.col("id").isin(exclude))
-    score = cosine(F.col("vec"), literal(query)) if query else F.lit(0.0)
-    return rows.select("id", score.alias("score")).where(F.col("score") >= least).orderBy(F.desc("score"), "id").limit(k)
+    return _best(rows, query or [1.0], k, least)
 
 
-def similar(vectors: DataFrame, item: int, k: int = 60, least: float = 0.75) -> DataFrame:
-    """The k vectors most like an item's own; nothing if the item has none."""
-    own = vectors.where(F.col("id") == item).select(F.col("vec").alias("own")).limit(1)
-    rows = vectors.where(F.col("id") != item).join(F.broadcast(own)).where(F.size("vec") == F.size("own"))
-    return rows.select("id", cosine(F.col("vec"), F.col("own")).alias("score")).where(F.col("score") >= least).orderBy(F.desc("score"), "id").limit(k)
+def vector_of(vectors: DataFrame, item: int) -> list[float] | None:
+    """An item's vector; None if it has none. The only row that is read is pushed down to the scan."""
+    row = vectors.where(F.col("id") == item).select("vec").first()
+    return [float(x) for x in row["vec"]] if row and row["vec"] is not None else None
+
+
+def similar(vectors: DataFrame, item: int, k: int = CONF.similar_limit, least: float = CONF.similar_min_score) -> DataFrame:
+    """The k vectors most like an item's own, without it; nothing if the item has none."""
+    own = vector_of(vectors, item)
+    return topk(vectors, own or [], k, least, exclude=[item])
 
 
 def visible_after(hits: DataFrame, visible: DataFrame) -> DataFrame:
@@ -40,24 +74,42 @@ def visible_after(hits: DataFrame, visible: DataFrame) -> DataFrame:
     return hits.join(visible.select("id"), "id", "left_semi")
 
 
+def whole(dim: int) -> float:
+    """The spread at which no partner can be missed: its other part may lie wholly in the direction of the next cell; 1 % for rounding."""
+    return 1.01 * float(np.sqrt(dim))
+
+
+def sides(group: pa.Table, pivots: Pivots) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Positions of the home rows of a tile and of the rows to hold against them, and whether these include the home rows."""
+    home = group.column("home").to_numpy()
+    own = pivots.kind(group) == "own"
+    return np.flatnonzero(home), np.arange(len(home)) if own else np.flatnonzero(~home), own
+
+
 def pairs_within(vectors: DataFrame, n: int, dim: int, least: float, spread: float | None = None) -> DataFrame:
     """(a, b, score), a < b: pairs of vectors(id, vec) with cosine (12 places) >= least; vectors usable, one row an id.
 
     Exact: a vector visits every cell in which a partner can be, whatever its direction. With a `spread` it visits only
-    those where one could be with so many standard deviations of slack. least must be above 0.
+    those where one could be with so many standard deviations of slack. least must be above 0. The result is as large as
+    the number of pairs; see links() and dbscan.density() for what needs none of them written down.
     """
-    if spread is None:  # the whole of a partner's other part lies in the direction of the next cell; 1 % for rounding
-        spread = 1.01 * float(np.sqrt(dim))
-    pivots = fit(vectors, n, dim, CELL_ROWS)
+    exact = spread is None
+    spread = whole(dim) if exact else spread
+    pivots = fit(vectors, n, dim, CELL_ROWS, least, spread)
 
     def run(group: pa.Table) -> pa.Table:
-        x, ids, home = unit(matrix(group.column("vec"), dim)), group.column("id").to_numpy(), group.column("home").to_numpy()
-        small, at = x.astype(np.float32), np.flatnonzero(home)
+        x, ids = unit(matrix(group.column("vec"), dim)), group.column("id").to_numpy()
+        home = group.column("home").to_numpy()
+        at, ask, own = sides(group, pivots)
+        outer = pivots.kind(group) == "outer"
+        small = x.astype(np.float32)
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for lo in range(0, len(x), 512):
-            row, column = np.nonzero(small[lo : lo + 512] @ small[at].T >= least - 1e-5)
-            a, b = row + lo, at[column]
+        for lo in range(0, len(ask), 512):
+            row, column = np.nonzero(small[ask[lo : lo + 512]] @ small[at].T >= least - 1e-5)
+            a, b = ask[lo + row], at[column]
             keep = np.where(home[a], ids[a] < ids[b], True)
+            if exact and (own or outer):  # both ends visit each other: the pair is told where the smaller is at home
+                keep &= home[a] | (ids[b] < ids[a])
             a, b = a[keep], b[keep]
             score = np.round(np.einsum("ij,ij->i", x[a], x[b]), 12)
             ok = score >= least
@@ -65,37 +117,58 @@ def pairs_within(vectors: DataFrame, n: int, dim: int, least: float, spread: flo
         a, b, s = (np.concatenate(c) for c in zip(*found, strict=True))
         return pa.table({"a": a, "b": b, "score": s})
 
-    return place(vectors, pivots, least, spread).groupBy("cell", "block").applyInArrow(run, "a bigint, b bigint, score double").dropDuplicates(["a", "b"])
+    found = tiled(place(vectors, pivots, least, spread), pivots.rows, 4 * dim + 32).applyInArrow(run, "a bigint, b bigint, score double")
+    return found if exact else found.dropDuplicates(["a", "b"])
+
+
+def links(vectors: DataFrame, n: int, dim: int, least: float) -> DataFrame:
+    """(id, component, links): vectors(id, vec) with a partner of cosine >= least, their number of partners and connected set.
+
+    Exact, and no pair is ever written down: tiles count their rows' partners and pass on a tree of what they connect.
+    """
+    from prismlake.operators.dbscan import density
+
+    found = density(vectors, n, dim, least, 1)
+    return found.where("links > 0").select("id", F.col("cluster").alias("component"), "links")
 
 
 def neighbours(vectors: DataFrame, n: int, dim: int, k: int, least: float, spread: float = 2.0, seed: int = 41) -> DataFrame:
     """(id, other, score): up to k nearest others with cosine >= least, by random projection to 64 dimensions and exact re-rank.
 
-    The projection finds 2k candidates in each cell a vector visits, down to 0.12 below the threshold.
+    The projection finds 2k candidates in each tile, down to 0.12 below the threshold. Vectors of up to 256 dimensions
+    aren't projected, as they are compared as fast without.
     """
-    pivots = fit(vectors, n, dim, CELL_ROWS)
+    pivots = fit(vectors, n, dim, CELL_ROWS, least, spread)
     signs = np.where(np.random.default_rng(seed).random((dim, 64)) < 0.5, -1.0, 1.0).astype(np.float32) / 8.0
 
     def run(group: pa.Table) -> pa.Table:
-        x, ids, home = unit(matrix(group.column("vec"), dim)), group.column("id").to_numpy(), group.column("home").to_numpy()
-        low, at = x.astype(np.float32) @ signs, np.flatnonzero(home)
+        x, ids = unit(matrix(group.column("vec"), dim)), group.column("id").to_numpy()
+        at, ask, own = sides(group, pivots)
+        low = x.astype(np.float32) @ signs if dim > 256 else x.astype(np.float32)
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for lo in range(0, len(x) if len(at) else 0, 512):
-            score = low[lo : lo + 512] @ low[at].T
-            score[ids[lo : lo + 512][:, None] == ids[at][None, :]] = -9
-            take = min(2 * k, len(at))
-            best = np.argpartition(-score, take - 1, axis=1)[:, :take]
-            row = np.repeat(np.arange(len(score)), take)
-            column = best.ravel()
-            keep = score[row, column] >= least - 0.12
-            a, b = row[keep] + lo, at[column[keep]]
-            exact = np.round(np.einsum("ij,ij->i", x[a], x[b]), 12)
-            ok = exact >= least
-            found.append((ids[a][ok], ids[b][ok], exact[ok]))
+
+        def look(ask: np.ndarray, at: np.ndarray) -> None:
+            for lo in range(0, len(ask) if len(at) else 0, 512):
+                own = ask[lo : lo + 512]
+                score = low[own] @ low[at].T
+                score[ids[own][:, None] == ids[at][None, :]] = -9
+                take = min(2 * k, len(at))
+                best = np.argpartition(-score, take - 1, axis=1)[:, :take]
+                row = np.repeat(np.arange(len(score)), take)
+                column = best.ravel()
+                keep = score[row, column] >= least - (0.12 if dim > 256 else 1e-5)
+                a, b = own[row[keep]], at[column[keep]]
+                exact = np.round(np.einsum("ij,ij->i", x[a], x[b]), 12)
+                ok = exact >= least
+                found.append((ids[a][ok], ids[b][ok], exact[ok]))
+
+        look(ask, at)
+        if pivots.kind(group) == "inner":  # two blocks of one cell look at each other
+            look(at, ask)
         a, b, s = (np.concatenate(c) for c in zip(*found, strict=True))
         return pa.table({"id": a, "other": b, "score": s})
 
-    found = place(vectors, pivots, least, spread).groupBy("cell", "block").applyInArrow(run, "id bigint, other bigint, score double")
+    found = tiled(place(vectors, pivots, least, spread), pivots.rows, 4 * dim + 32).applyInArrow(run, "id bigint, other bigint, score double")
     rank = Window.partitionBy("id").orderBy(F.desc("score"), "other")
     return found.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k).drop("r")
 

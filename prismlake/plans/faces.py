@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from prismlake.conf import CONF
 from prismlake.operators import dbscan as density
 from prismlake.operators import linkage, people, pipeline, similarity, timeline
 from prismlake.plans.common import FACE_DIM, MEDIA_DIM, analysis, face, face_vectors, media, media_vectors, person, sql, tags
-from prismlake.tables import cut
+from prismlake.tables import cut, numbered
 
 EPS = 0.14
 TOPICS = [(f"topic {i}", [1.0 if j % 5 == i else -0.25 for j in range(MEDIA_DIM)]) for i in range(5)]
@@ -25,14 +27,21 @@ def open_faces(s, d):
     return face_vectors(s, d).where("lockedPersonId is null and not isArtifact").select("id", "embedding")
 
 
+def two_rejected(s, d):
+    """For two faces of three the one or two persons that are most like them are rejected."""
+    found = cut(people._means(examples(s, d), open_faces(s, d), FACE_DIM, 3, best=1 << 20), "two-rejected")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "personId"))
+    return found.withColumn("r", rank).where("r <= id % 3").select(F.col("id").alias("faceId"), "personId")
+
+
 def first_query(s, d):
     row = media_vectors(s, d).orderBy("id").first()
     return (row["id"], [float(x) for x in row["vec"]]) if row else (0, [])
 
 
-def edges(s, d, least=1 - EPS):
-    v = cut(media_vectors(s, d), "edges")
-    return v, cut(similarity.pairs_within(v, v.count(), MEDIA_DIM, least), "edges")
+def counted(s, d):
+    v = cut(media_vectors(s, d), "vectors")
+    return v, v.count()
 
 
 def first_person(s, d):
@@ -54,26 +63,46 @@ def all_of(s, d):
     return timeline.select_media(visible(s, d), timeline.Criteria(people=two), person_media=pm).select("id")
 
 
-def labels(s, d):
-    v, e = edges(s, d)
-    return v, e, cut(density.dbscan(v, e), "labels")
+def labels(s, d, points=4):
+    v, n = counted(s, d)
+    return v, cut(density.density(v, n, MEDIA_DIM, 1 - EPS, points).select("id", "cluster"), "labels")
 
 
 def refined(s, d):
-    v, e, found = labels(s, d)
-    return density.refine(v, e, found, EPS, largest=10, share=0.0)
+    v, found = labels(s, d)
+    return density.refine(v, found, MEDIA_DIM, EPS, largest=10, share=0.0)
 
 
 def albums(s, d):
-    v, _, found = labels(s, d)
-    return density.smart_albums(found, v, media(s, d), MEDIA_DIM, TOPICS)
+    """Albums of the visible media: clustered, refined where too large, named and ordered."""
+    v = cut(media_vectors(s, d).join(visible(s, d).select("id"), "id", "left_semi"), "albums")
+    found = density.density(v, v.count(), MEDIA_DIM, 1 - EPS, CONF.album_rebuild_points).select("id", "cluster")
+    return density.smart_albums(density.refine(v, found, MEDIA_DIM, EPS, CONF.album_rebuild_points), v, media(s, d), MEDIA_DIM, TOPICS)
 
 
 def linked(s, d):
     rows = cut(face_vectors(s, d).where("not isArtifact").select("id", F.col("embedding").alias("vec"), "mediaId", F.col("lockedPersonId").alias("anchor")), "linked")
-    near = similarity.neighbours(rows.select("id", "vec"), rows.count(), FACE_DIM, 50, 0.45)
+    near = similarity.neighbours(rows.select("id", "vec"), rows.count(), FACE_DIM, CONF.face_neighbours, CONF.face_link)
     pairs = near.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    return linkage.link(rows, cut(pairs, "linked"), 0.57)
+    return linkage.link(rows, cut(pairs, "linked"), CONF.face_link, rejections(s, d))
+
+
+def rejections(s, d):
+    """A rejection for each unchecked face that lies on a media with a confirmed face of its person."""
+    f = face(s, d)
+    sure = f.where("lockedPersonId is not null").select("mediaId", F.col("lockedPersonId").alias("personId"), F.col("id").alias("own"))
+    return f.where("lockedPersonId is null").join(sure, ["mediaId", "personId"]).select(F.col("id").alias("faceId"), "personId").distinct()
+
+
+def rebuilt(s, d):
+    boxes = people.visible_faces(face(s, d), media(s, d), analysis(s, d), 2).select("id", *pipeline.BOX)
+    known = face_vectors(s, d)
+    return pipeline.rebuild(known.join(boxes, "id"), known.where("isArtifact").select("id", "embedding"), FACE_DIM, rejections(s, d))
+
+
+def weighed(s, d):
+    rows = people.visible_faces(face(s, d), media(s, d), analysis(s, d), 2).where("score is not null")
+    return numbered(rows.select("id", "lockedPersonId", *pipeline.BOX), *pipeline.by_weight(), position="pos").select("id", "pos")
 
 
 def overlaps(s, d):
@@ -89,7 +118,7 @@ def centres(s, d):
 def suggested(s, d):
     c = cut(centres(s, d), "centres")
     row = c.orderBy(F.desc("n"), "personId").first()
-    return people.suggestions(c, row["personId"] if row else 0, least=0.1)
+    return people.suggestions(c, row["personId"] if row else 0, least=0.1).select("personId", F.round("score", 9).alias("score"))
 
 
 QUERIES = {
@@ -111,22 +140,30 @@ QUERIES = {
     "knn_assign": lambda s, d: people.assign_by_examples(examples(s, d), open_faces(s, d), FACE_DIM).select("id", "personId"),
     "knn_self_check": lambda s, d: people.self_check(examples(s, d), FACE_DIM),
     "artifact_filter": lambda s, d: people.like_artifacts(face_vectors(s, d).where("isArtifact"), face_vectors(s, d).where("not isArtifact"), FACE_DIM, least=0.15).select("id"),
-    "trusted_examples": lambda s, d: linkage.trusted(examples(s, d)),
+    "trusted_examples": lambda s, d: linkage.trusted(examples(s, d), FACE_DIM),
     "centroid_by_person": lambda s, d: centres(s, d).select("personId", "n", F.round(F.col("centroid")[0], 6).alias("c1"), F.round(F.col("centroid")[FACE_DIM - 1], 6).alias("c128")),
     "person_suggestions": suggested,
     "topk_cosine": lambda s, d: similarity.topk(media_vectors(s, d), first_query(s, d)[1], 200, 0.15).select("id", F.round("score", 9).alias("score")),
     "topk_filtered": lambda s, d: similarity.topk(media_vectors(s, d), first_query(s, d)[1], 50, -1.0, include=media(s, d).where("isFavorite")).select("id", F.round("score", 9).alias("score")),
     "similar_media": lambda s, d: similarity.visible_after(similarity.similar(media_vectors(s, d), first_query(s, d)[0], 60, 0.3), visible(s, d)).select("id", F.round("score", 9).alias("score")),
-    "eps_join": lambda s, d: edges(s, d)[1].select("a", "b", F.round("score", 9).alias("score")),
-    "knn_join": lambda s, d: similarity.neighbours(media_vectors(s, d), media_vectors(s, d).count(), MEDIA_DIM, 5, 0.5),
+    "eps_join": lambda s, d: similarity.links(*counted(s, d), MEDIA_DIM, 1 - EPS),
+    "knn_join": lambda s, d: similarity.neighbours(*counted(s, d), MEDIA_DIM, 5, 0.5).select("id", "other", F.round("score", 9).alias("score")),
     "topic_argmax": lambda s, d: similarity.nearest_topic(media_vectors(s, d), TOPICS).select("id", "topic"),
-    "dbscan_labels": lambda s, d: labels(s, d)[2],
+    "dbscan_labels": lambda s, d: labels(s, d)[1],
     "dbscan_refine": refined,
     "smart_albums": albums,
     "linkage_average": linked,
-    "people_rebuild": lambda s, d: pipeline.rebuild(face_vectors(s, d).join(face(s, d).select("id", "boxLeft", "boxTop", "boxRight", "boxBottom", "score"), "id"), FACE_DIM),
+    "people_rebuild": lambda s, d: rebuilt(s, d)[0],
+    "people_table": lambda s, d: pipeline.new_persons(cut(rebuilt(s, d)[0], "people-table"), person(s, d)),
+    "faces_by_weight": weighed,
+    "knn_rejected": lambda s, d: people.assign_by_examples(examples(s, d), open_faces(s, d), FACE_DIM, rejected=two_rejected(s, d)).select("id", "personId"),
 }
 
+CENTRES = """
+dims as (select personId, i, sum(v[i] / nm) as s from fv, range(1, 129) q(i) where personId is not null and not isArtifact group by 1, 2),
+cen as (select personId, list(s / len order by i) as c from dims join (select personId, sqrt(sum(s * s)) as len from dims group by 1) using (personId) group by 1),
+own as (select cen.* from cen join (select personId, count(*) as n from fv where personId is not null and not isArtifact group by 1 order by n desc, 1 limit 1) using (personId))
+"""
 KNN = """
 ex as (select id, lockedPersonId as pid, v, nm from fv where lockedPersonId is not null and not isArtifact),
 cand as (select id, v, nm from fv where lockedPersonId is null and not isArtifact),
@@ -168,13 +205,17 @@ select *, case when ao + an - i > 0 then i / (ao + an - i) else 0 end as iou fro
   (x.boxRight::double - x.boxLeft::double) * (x.boxBottom::double - x.boxTop::double) as ao, (y.boxRight::double - y.boxLeft::double) * (y.boxBottom::double - y.boxTop::double) as an
   from f x join f y on x.mediaId = y.mediaId where not x.checked and y.checked)) where iou >= 0.3::double) where rn = 1"""),
     "knn_assign": sql("select id, pid as personId from won", KNN.format(cand="cand")),
+    "knn_rejected": sql("select id, pid as personId from won", KNN.format(cand="cand").replace("ranked as (select *,", "two as (select id, pid from (select *, row_number() over (partition by id order by score desc, pid) as rn from top3 where id % 3 > 0) where rn <= id % 3), ranked as (select *,").replace("as second from top3)", "as second from top3 where (id, pid) not in (select (id, pid) from two))")),
+    "faces_by_weight": sql("select id, row_number() over (order by locked, weight desc, id) - 1 as pos from (select f.id, f.lockedPersonId is null as locked, sqrt(greatest(0, (f.boxRight - f.boxLeft)::double * case when v.width > 0 then v.width else 1 end * (f.boxBottom - f.boxTop)::double * case when v.height > 0 then v.height else 1 end)) * f.score as weight from f join visible v on v.id = f.mediaId where not f.isArtifact and f.embedVersion = 2 and f.score is not null)"),
     "knn_self_check": sql("select case when won.pid is null then 'none' when won.pid = ex.pid then 'right' else 'wrong' end as outcome, count(*) as faces from ex left join won on won.id = ex.id group by 1", KNN.format(cand="ex")),
     "artifact_filter": sql("select id from (select x.id, list_dot_product(x.v, y.v) / x.nm / y.nm as s, row_number() over (partition by x.id order by list_dot_product(x.v, y.v) / x.nm / y.nm desc) as rn from fv x join fv y on y.isArtifact and not x.isArtifact and x.lockedPersonId is null) where rn <= 3 group by id having avg(s) >= 0.15::double"),
     "centroid_by_person": sql("select personId, n, round(max(case when i = 1 then s end) / sqrt(sum(s * s)), 6) as c1, round(max(case when i = 128 then s end) / sqrt(sum(s * s)), 6) as c128 from (select personId, i, sum(v[i] / nm) as s, count(*) as n from fv, range(1, 129) q(i) where personId is not null and not isArtifact group by 1, 2) group by personId, n"),
     "topk_cosine": sql("select mv.id, round(list_dot_product(mv.v, q.v) / mv.nm / q.nm, 9) as score from mv, (select * from mv order by id limit 1) q where list_dot_product(mv.v, q.v) / mv.nm / q.nm >= 0.15::double order by list_dot_product(mv.v, q.v) / mv.nm / q.nm desc, mv.id limit 200"),
     "topk_filtered": sql("select mv.id, round(list_dot_product(mv.v, q.v) / mv.nm / q.nm, 9) as score from mv, (select * from mv order by id limit 1) q where mv.id in (select id from m where isFavorite) order by list_dot_product(mv.v, q.v) / mv.nm / q.nm desc, mv.id limit 50"),
     "similar_media": sql("select id, round(s, 9) as score from (select mv.id, list_dot_product(mv.v, q.v) / mv.nm / q.nm as s from mv, (select * from mv order by id limit 1) q where mv.id <> q.id and list_dot_product(mv.v, q.v) / mv.nm / q.nm >= 0.3::double order by s desc, mv.id limit 60) where id in (select id from visible)"),
-    "eps_join": sql("select a, b, round(score, 9) as score from edge", EDGE),
+    "eps_join": sql("select a as id, least(a, (select min(b) from reach where reach.a = link.a)) as component, count(*) as links from link group by a", EDGE + ", link as (select a, b from edge union all select b, a from edge), reach(a, b) as (select a, b from link union select r.a, l.b from reach r join link l on r.b = l.a)", recursive=True),
+    "knn_join": sql("select id, other, round(score, 9) as score from (select *, row_number() over (partition by id order by score desc, other) as rn from (select x.id, y.id as other, round(list_dot_product(x.v, y.v) / x.nm / y.nm, 12) as score from mv x join mv y on x.id <> y.id) where score >= 0.5::double) where rn <= 5"),
+    "person_suggestions": sql("select x.personId, round(list_dot_product(x.c, y.c), 9) as score from cen x, own y where x.personId <> y.personId and list_dot_product(x.c, y.c) >= 0.1::double order by score desc, x.personId limit 3", CENTRES),
     "topic_argmax": sql("select id, topic from (select mv.id, topic, row_number() over (partition by mv.id order by list_dot_product(mv.v, w) / sqrt(list_dot_product(w, w)) desc, topic desc) as rn from mv, (select 'topic ' || i as topic, list_transform(range(0, 96), lambda j: case when j % 5 = i then 1.0::double else -0.25::double end) as w from range(0, 5) q(i))) where rn = 1"),
     "dbscan_labels": sql("select mv.id, coalesce(named.cluster, border.cluster, -1) as cluster from mv left join named on named.id = mv.id left join border on border.id = mv.id", DENSE, recursive=True),
 }

@@ -18,7 +18,9 @@ def run_dbscan(spark, x, eps, min_points):
     v = frame(spark, x)
     e = similarity.pairs_within(v, len(x), x.shape[1], 1 - eps).cache()
     found = dbscan.dbscan(v, e, min_points)
-    return v, e, found, {r["id"]: r["cluster"] for r in found.collect()}
+    got = {r["id"]: r["cluster"] for r in found.collect()}
+    assert got == {r["id"]: r["cluster"] for r in dbscan.density(v, len(x), x.shape[1], 1 - eps, min_points).collect()}
+    return v, e, found, got
 
 
 def test_density_clusters_on_the_circle(spark):
@@ -31,7 +33,7 @@ def test_density_clusters_on_the_circle(spark):
 def test_refinement_splits_and_keeps(spark):
     v, e, found, got = run_dbscan(spark, circle(0, 1, 2, 3, 7, 8, 9, 10), 0.06, 3)
     assert set(got.values()) == {0}
-    fine = dbscan.refine(v, e.where("score >= 0.999"), found, 0.06, 3, step=0.0199, largest=5, share=0.0)
+    fine = dbscan.refine(v, found, 2, 0.06, 3, step=0.0295, floor=0.0, rounds=2, largest=5, share=0.0)
     assert {r["cluster"] for r in fine.collect()} == {0, 4}
 
 
@@ -99,7 +101,11 @@ def test_assignment_by_examples(spark):
     got = {r["id"]: r["personId"] for r in people.assign_by_examples(ex, ask.drop("personId"), 2, k=2).collect()}
     assert got == {100: 1, 102: 2}
     no = spark.createDataFrame([(102, 2)], "faceId long, personId long")
-    assert 102 not in {r["id"] for r in people.assign_by_examples(ex, ask.drop("personId"), 2, k=2, rejected=no).collect() if r["personId"] == 2}
+    assert {r["id"]: r["personId"] for r in people.assign_by_examples(ex, ask.drop("personId"), 2, k=2, rejected=no).collect()} == {100: 1}
+    # With the two nearest persons rejected the third still counts, however persons are spread.
+    three = ex.unionByName(faces(spark, [(20, 3, circle(170)[0]), (21, 3, circle(172)[0])]))
+    both = spark.createDataFrame([(102, 2), (102, 3), (100, 3)], "faceId long, personId long")
+    assert {r["id"]: r["personId"] for r in people.assign_by_examples(three, ask.drop("personId"), 2, k=2, least=-1.0, margin=0.0, rejected=both).collect()}[102] == 1
     assert {r["outcome"]: r["faces"] for r in people.self_check(ex, 2, k=1).collect()} == {"right": 6}
     assert people.assign_by_examples(ex.limit(0), ask.drop("personId"), 2).count() == 0
 
@@ -118,7 +124,6 @@ def test_centroids_overlap_and_identity(spark):
     a = spark.createDataFrame([(1, 1, 0.0, 0.0, 1.0, 1.0, 0.9), (2, 1, 0.0, 0.0, 1.0, 0.9, 0.8), (3, 1, 0.9, 0.9, 1.0, 1.0, 0.7)], box)
     assert {r["id"] for r in people.suppress(a).collect()} == {1, 3}
     assert [(r["oldId"], r["newId"]) for r in people.best_overlap(a.where("id = 2"), a.where("id <> 2")).collect()] == [(2, 1)]
-    assert people.inherit([(10, 5), (20, 5), (30, 2)], [(10, 1, 4), (20, 1, 5), (30, 2, 1), (20, 3, 1)]) == {10: 1, 30: 2}
 
 
 def test_search(spark):
