@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +35,37 @@ REPEATS = 1_024
 class Pivots:
     centre: np.ndarray
     gap: np.ndarray
-    #: By cell: in how many blocks its own rows are, and in how many chunks its visitors.
-    blocks: np.ndarray
-    chunks: np.ndarray
-    #: Rows to expect after placing.
-    rows: int = 0
+    #: By cell: rows to expect of its own, and visitors.
+    held: np.ndarray
+    met: np.ndarray
+
+    @cached_property
+    def blocks(self) -> np.ndarray:
+        """In how many blocks a cell's own rows are."""
+        return np.maximum(1, np.ceil(self.held / BLOCK_ROWS)).astype(np.int64)
+
+    @cached_property
+    def chunks(self) -> np.ndarray:
+        """In how many chunks a cell's visitors are."""
+        return np.maximum(1, np.ceil(self.met / BLOCK_ROWS)).astype(np.int64)
+
+    @property
+    def rows(self) -> int:
+        """Rows to expect after placing."""
+        return int(self.held @ (self.blocks + self.chunks - 1) + self.met @ self.blocks)
+
+    def share(self, part: float) -> Pivots:
+        """The same cells for a part of the rows, by which there are fewer tiles."""
+        return Pivots(self.centre, self.gap, self.held * part, self.met * part)
 
     @property
     def dim(self) -> int:
         return self.centre.shape[1]
 
+    @property
+    def tiles(self) -> int:
+        return int((self.blocks * (self.blocks + 1) // 2 + self.blocks * (self.chunks - 1)).sum())
+
     def kind(self, group: pa.Table) -> str:
         """What a group of placed rows is: `own` (a block with the first visitors), `inner` (two blocks), `outer` (a block and later visitors)."""
         cell, block, tile = (group.column(c)[0].as_py() for c in ("cell", "block", "tile"))
@@ -124,9 +146,7 @@ def fit(vectors: DataFrame, n: int, dim: int, cell_rows: int, least: float = 1.0
         home, _, cell = visits(x[lo : lo + 4096], Pivots(centre, gap, held, held), least, spread)
         held += np.bincount(home, minlength=k)
         met += np.bincount(cell, minlength=k)
-    parts = lambda rows: np.maximum(1, np.ceil(rows * scale / BLOCK_ROWS)).astype(np.int64)
-    blocks, chunks = parts(held), parts(met - held)
-    return Pivots(centre, gap, blocks, chunks, int(scale * (held @ (blocks + chunks - 1) + (met - held) @ blocks)))
+    return Pivots(centre, gap, held * scale, (met - held) * scale)
 
 
 def visits(x: np.ndarray, pivots: Pivots, least: float, spread: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,23 +225,41 @@ def place(vectors: DataFrame, pivots: Pivots, least: float, spread: float, keep:
     return vectors.select("id", "vec", *dict.fromkeys([*keep, *([visitors] if visitors else [])])).mapInArrow(run, schema)
 
 
-def tasks(spark, rows: int, row_bytes: int) -> int:
-    """How many partitions to shuffle so many rows into, at least the session's number."""
-    return int(min(200_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), np.ceil(rows * row_bytes / TASK_BYTES))))
+def visit(vectors: DataFrame, pivots: Pivots, least: float, spread: float, keep: list[str] | None = None) -> DataFrame:
+    """vectors(id, vec, ...) as rows (cell, block, id, vec, *keep): one for every block of every cell visited, home included."""
+    keep = keep or []
+    types = dict(vectors.dtypes)
+    schema = "cell int, block int, id bigint, vec array<float>" + "".join(f", {c} {types[c]}" for c in keep)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2048):
+                part = matrix(batch.column("vec").slice(lo, 2048), pivots.dim)
+                _, row, cell = visits(unit(part, np.float32), pivots, least, spread)
+                times = pivots.blocks[cell]
+                again = np.repeat(np.arange(len(row)), times)
+                block = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
+                row, cell = row[again], cell[again]
+                for i in range(0, len(row), 8192):
+                    s = slice(i, i + 8192)
+                    take = pa.array(lo + row[s])
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[s].astype(np.int32)), pa.array(block[s].astype(np.int32)), batch.column("id").take(take), lists(part[row[s]]), *(batch.column(k).take(take) for k in keep)], names=["cell", "block", "id", "vec", *keep])
 
-def tiled(placed: DataFrame, rows: int, row_bytes: int):
-    """Placed rows grouped by tile, in as many tasks as their size asks for."""
-    spark = placed.sparkSession
-    n = tasks(spark, rows, row_bytes)
-    if n > int(spark.conf.get("spark.sql.shuffle.partitions")):
-        placed = placed.repartition(n, "cell", "block", "tile")
+    return vectors.select("id", "vec", *keep).mapInArrow(run, schema)
+
+
+def tiled(placed: DataFrame, pivots: Pivots, row_bytes: int):
+    """Placed rows grouped by tile. Tiles go to about three times as many tasks, so that few share one; more if rows are many."""
+    if pivots.tiles > 2:
+        placed = placed.repartition(int(min(200_000, max(3 * pivots.tiles, np.ceil(pivots.rows * row_bytes / TASK_BYTES)))), "cell", "block", "tile")
     return placed.groupBy("cell", "block", "tile")
 
 
-def split_repeats(vectors: DataFrame, n: int, kept: int) -> tuple[DataFrame, DataFrame | None]:
+def split_repeats(vectors: DataFrame, n: int, kept: int, on: tuple[str, ...] = ("vec",)) -> tuple[DataFrame, DataFrame | None]:
     """Rows that stand for all, and the rest: of a vector that very many ids of vectors(id, vec) have, the smallest ids stay.
 
+    on: the columns in which rows must be equal, if others than the vector.
+
     The first table is vectors with a column weight: 1, or on the smallest id of such a vector the number of its ids less
     the other `kept` - 1 that stay. The second is (id, rep), rep being that smallest id; None if no vector repeats so often.
     Only numbers by hash (of 128 bits) are shuffled to find them; there are at most 100,000 such vectors, so what stays of
@@ -229,7 +267,7 @@ def split_repeats(vectors: DataFrame, n: int, kept: int) -> tuple[DataFrame, Dat
     """
     often = max(REPEATS, n // 100_000, kept)
     key = ["_h", "_g"]
-    hashed = vectors.withColumns({"_h": F.xxhash64("vec"), "_g": F.xxhash64(F.lit(7), "vec")})
+    hashed = vectors.withColumns({"_h": F.xxhash64(*on), "_g": F.xxhash64(F.lit(7), *on)})
     hot = cut(hashed.groupBy(*key).agg(F.count("*").alias("c")).where(F.col("c") > often).select(*key), "repeats")
     if hot.isEmpty():
         return vectors.withColumn("weight", F.lit(1).cast("long")), None

@@ -72,7 +72,7 @@ def density(vectors: DataFrame, n: int, dim: int, least: float, min_points: int
         seen = count > 0
         return pa.table({"id": ids[seen], "links": count[seen]})
 
-    counted = tiled(place(vectors, pivots, least, spread, keep), pivots.rows, size).applyInArrow(degrees, "id bigint, links bigint")
+    counted = tiled(place(vectors, pivots, least, spread, keep), pivots, size).applyInArrow(degrees, "id bigint, links bigint")
     counted = cut(counted.groupBy("id").agg(F.sum("links").alias("links")), "density-links")
     core = F.col("links") + 1 >= min_points
     touched = vectors.select("id", "vec", *keep).join(counted.select("id", core.alias("core")), "id")
@@ -105,7 +105,7 @@ def density(vectors: DataFrame, n: int, dim: int, least: float, min_points: int
         border = np.flatnonzero(least_core < np.iinfo(np.int64).max)
         return pa.table({"a": np.r_[ids[tree], ids[border]], "b": np.r_[root[label[tree]], least_core[border]], "core": np.r_[np.ones(len(tree), bool), np.zeros(len(border), bool)]})
 
-    found = cut(tiled(place(touched, pivots, least, spread, [*keep, "core"]), pivots.rows, size).applyInArrow(connect, "a bigint, b bigint, core boolean"), "density-trees")
+    found = cut(tiled(place(touched, pivots, least, spread, [*keep, "core"]), pivots, size).applyInArrow(connect, "a bigint, b bigint, core boolean"), "density-trees")
     joined = components(found.where("core")).select(F.col("node").alias("id"), "component")
     cores = counted.where(core).join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
     if min_points <= 1:

@@ -117,7 +117,7 @@ def pairs_within(vectors: DataFrame, n: int, dim: int, least: float, spread: flo
         a, b, s = (np.concatenate(c) for c in zip(*found, strict=True))
         return pa.table({"a": a, "b": b, "score": s})
 
-    found = tiled(place(vectors, pivots, least, spread), pivots.rows, 4 * dim + 32).applyInArrow(run, "a bigint, b bigint, score double")
+    found = tiled(place(vectors, pivots, least, spread), pivots, 4 * dim + 32).applyInArrow(run, "a bigint, b bigint, score double")
     return found if exact else found.dropDuplicates(["a", "b"])
 
 
@@ -168,7 +168,7 @@ def neighbours(vectors: DataFrame, n: int, dim: int, k: int, least: float, sprea
         a, b, s = (np.concatenate(c) for c in zip(*found, strict=True))
         return pa.table({"id": a, "other": b, "score": s})
 
-    found = tiled(place(vectors, pivots, least, spread), pivots.rows, 4 * dim + 32).applyInArrow(run, "id bigint, other bigint, score double")
+    found = tiled(place(vectors, pivots, least, spread), pivots, 4 * dim + 32).applyInArrow(run, "id bigint, other bigint, score double")
     rank = Window.partitionBy("id").orderBy(F.desc("score"), "other")
     return found.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k).drop("r")
 
