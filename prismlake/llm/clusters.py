@@ -1,59 +1,127 @@
 """Similarity clusters of vectors: mergeable cluster features, agglomerated, then one assignment of every vector.
 
-Every cell of vectors (or block of a large one) builds a small tree of cluster features on its own: leaves that hold
-(number, linear sum) and take a vector whose mean cosine to the leaf is high enough. The leaves' summaries are merged
-where they meet: in every cell that a leaf could share with its like, Ward agglomeration joins the leaves, and what
-cells agree on is closed over as connected components. A last pass holds every vector against the clusters' centres.
-Only summaries move between the steps; they are as many as there are clusters and stray vectors. Leaves are grown and
-merged at half precision; the last pass, which decides, uses the vectors as stored.
+Every block of a vector cell grows a cluster-feature tree of its own: a feature is a number and a linear sum; a vector
+goes down the branches nearest to it and into the leaf there whose mean cosine to it is high enough, or opens a new one;
+a branch with too many leaves is split. The trees of a cell's blocks are merged two by two, level by level. The leaves
+that remain meet in every cell that one could share with its like: Ward agglomeration joins them there, and what cells
+agree on is closed over as connected components. A last pass holds every vector against the clusters' centres. Only
+summaries move between the steps; they are as many as there are clusters and stray vectors. Leaves are grown and merged
+at half precision; the last pass, which decides, uses the vectors as stored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismlake.operators.cells import fit, from_halves, lists, matrix, place, unit
+from prismlake.operators.cells import fit, from_halves, lists, matrix, place, split_repeats, tiled, unit, visit
 from prismlake.operators.components import components
 from prismlake.tables import cut
 
 CELL_ROWS = 16_384
+#: Leaves of a branch at most, and branches a vector goes down.
+BRANCH, BEAM = 96, 3
+#: Connected leaves up to so many are agglomerated by a matrix of all pairs, more by their near pairs.
+DENSE_LEAVES = 1_024
+#: Where leaves look for their like: least cosine and spread for those of several vectors, and for single ones.
+MEET = ((True, 0.65, 2.0), (False, 0.80, 1.0))
 
 
-def leaves(x: np.ndarray, least: float, step: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Leaf of every unit vector of x, and the leaves' counts and linear sums."""
-    dim = x.shape[1]
-    sums, count, leaf = np.zeros((0, dim), np.float32), np.zeros(0, np.int64), np.full(len(x), -1)
-    for lo in range(0, len(x), step):
-        part, own = x[lo : lo + step], leaf[lo : lo + step]
-        if len(count):
-            score = part @ (sums / count[:, None].astype(np.float32)).T
+class Tree:
+    """Cluster features of unit vectors under branches; grown by batches, merged by inserting another tree's leaves."""
+
+    def __init__(self, dim: int, least: float):
+        self.least = least
+        self.sums, self.count = np.zeros((0, dim), np.float32), np.zeros(0, np.float64)
+        self.branch, self.branches = np.zeros(0, np.int64), np.zeros((0, dim), np.float32)
+
+    def nearest(self, x: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The leaf each vector may join, -1 for none."""
+        best, to = np.full(len(x), -np.inf, np.float32), np.full(len(x), -1)
+        if not len(self.count):
+            return to
+        mean = self.sums / self.count[:, None].astype(np.float32)
+        if len(self.branches) <= BEAM:
+            score = x @ mean.T
             to = score.argmax(1)
-            own[:] = np.where(score[np.arange(len(part)), to] >= least, to, -1)
-        free = np.flatnonzero(own < 0)
-        rest = part[free]
+            best = score[np.arange(len(x)), to]
+        else:
+            score = x @ (self.branches / np.maximum(np.linalg.norm(self.branches, axis=1, keepdims=True), 1e-12)).T
+            near = np.argpartition(-score, BEAM - 1, axis=1)[:, :BEAM]
+            row, node = np.repeat(np.arange(len(x)), BEAM), near.ravel()
+            order, under = np.argsort(node, kind="stable"), np.argsort(self.branch, kind="stable")
+            rows, leaves = np.split(row[order], np.searchsorted(node[order], np.arange(1, len(self.branches)))), np.split(under, np.searchsorted(self.branch[under], np.arange(1, len(self.branches))))
+            for r, own in zip(rows, leaves, strict=True):
+                if len(r) and len(own):
+                    score = x[r] @ mean[own].T
+                    at = score.argmax(1)
+                    top = score[np.arange(len(r)), at]
+                    up = top > best[r]
+                    best[r[up]], to[r[up]] = top[up], own[at[up]]
+        return np.where(best >= self.least, to, -1)
+
+    def insert(self, x: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The leaf of each of a batch of vectors (or of means, each of `weight` vectors)."""
+        leaf = self.nearest(x, weight)
+        free = np.flatnonzero(leaf < 0)
+        rest = x[free]
         near = rest @ rest.T
-        open_ = np.ones(len(free), bool)
-        new = []
+        open_, first, new = np.ones(len(free), bool), [], 0
         for i in range(len(free)):
             if not open_[i]:
                 continue
-            members = open_ & (near[i] >= least)
+            members = open_ & (near[i] >= self.least)
             members[i] = True
             if members.sum() > 1:  # once more, by the mean over the seed's neighbours
-                members |= open_ & (near[members].mean(0) >= least)
+                members |= open_ & (near[members].mean(0) >= self.least)
             open_ &= ~members
-            own[free[members]] = len(count) + len(new)
-            new.append(None)
+            leaf[free[members]] = len(self.count) + new
+            first.append(free[i])
+            new += 1
         if new:
-            sums, count = np.concatenate([sums, np.zeros((len(new), dim), np.float32)]), np.concatenate([count, np.zeros(len(new), np.int64)])
-        order = np.argsort(own, kind="stable")
-        starts = np.flatnonzero(np.r_[True, np.diff(own[order]) != 0])
-        sums[own[order][starts]] += np.add.reduceat(part[order], starts, axis=0)
-        count += np.bincount(own, minlength=len(count))
-    return leaf, count, sums
+            self.sums, self.count = np.concatenate([self.sums, np.zeros((new, x.shape[1]), np.float32)]), np.concatenate([self.count, np.zeros(new)])
+            to = (x[first] @ self.branches.T / np.maximum(np.linalg.norm(self.branches, axis=1), 1e-12)).argmax(1) if len(self.branches) else np.zeros(new, np.int64)
+            if not len(self.branches):
+                self.branches = np.zeros((1, x.shape[1]), np.float32)
+            self.branch = np.concatenate([self.branch, to])
+        order = np.argsort(leaf, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(leaf[order]) != 0])
+        more = np.add.reduceat(x[order] * weight[order, None].astype(np.float32), starts, axis=0)
+        at = leaf[order][starts]
+        self.sums[at] += more
+        np.add.at(self.branches, self.branch[at], more)
+        self.count += np.bincount(leaf, weight, minlength=len(self.count))
+        self._split()
+        return leaf
+
+    def _split(self) -> None:
+        """Branches with too many leaves part in two around their two leaves that are farthest from each other's side."""
+        while len(full := np.flatnonzero(np.bincount(self.branch, minlength=len(self.branches)) > BRANCH)):
+            for node in full:
+                own = np.flatnonzero(self.branch == node)
+                mean = unit(self.sums[own], np.float32)
+                a = (mean @ mean.sum(0)).argmin()
+                b = (mean @ mean[a]).argmin()
+                far = mean @ mean[b] > mean @ mean[a]
+                for _ in range(2):
+                    if far.all() or not far.any():
+                        break
+                    far = mean @ mean[far].mean(0) > mean @ mean[~far].mean(0)
+                if far.all() or not far.any():
+                    far = np.arange(len(own)) % 2 == 0
+                self.branch[own[far]] = len(self.branches)
+                self.branches = np.concatenate([self.branches, self.sums[own[far]].sum(0, keepdims=True)])
+                self.branches[node] = self.sums[own[~far]].sum(0)
+
+
+def leaves(x: np.ndarray, least: float, weight: np.ndarray | None = None, step: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leaf of every unit vector of x, and the leaves' counts and linear sums; weight: how many vectors each stands for."""
+    weight = np.ones(len(x)) if weight is None else np.asarray(weight, np.float64)
+    tree = Tree(x.shape[1], least)
+    leaf = [tree.insert(x[lo : lo + step], weight[lo : lo + step]) for lo in range(0, len(x), step)]
+    return np.concatenate(leaf) if leaf else np.zeros(0, np.int64), tree.count.astype(np.int64), tree.sums
 
 
 def ward(count: np.ndarray, sums: np.ndarray, least: float) -> np.ndarray:
@@ -82,7 +150,10 @@ def ward(count: np.ndarray, sums: np.ndarray, least: float) -> np.ndarray:
     order = np.argsort(root, kind="stable")
     starts = np.flatnonzero(np.r_[True, np.diff(root[order]) != 0]) if len(order) else []
     for live in np.split(order, starts[1:]) if len(order) else []:
-        if len(live) > 1:
+        if len(live) > DENSE_LEAVES:
+            inside = np.isin(ends[:, 0], live)
+            group[live] = live[_sparse(count[live].astype(np.float64), sums[live].astype(np.float64), np.searchsorted(live, ends[inside]), least)]
+        elif len(live) > 1:
             for m in _agglomerate(count[live].astype(np.float64), sums[live].astype(np.float64), least):
                 group[live[m]] = live[min(m)]
     return group
@@ -119,55 +190,103 @@ def _agglomerate(weight: np.ndarray, sums: np.ndarray, least: float) -> list[lis
         members = [members[i] for i in kept]
     return members
 
+def _sparse(weight: np.ndarray, sums: np.ndarray, pairs: np.ndarray, least: float) -> np.ndarray:
+    """Group of each leaf (the position of its first), merging along given pairs only: memory follows their number."""
+    group = np.arange(len(weight))
+    weight, sums = weight.copy(), sums.copy()
+    pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+    while len(pairs):
+        a, b = pairs.T
+        cross = np.concatenate([np.einsum("ij,ij->i", sums[a[i : i + 65536]], sums[b[i : i + 65536]]) for i in range(0, len(a), 65536)])
+        own = np.einsum("ij,ij->i", sums, sums) / weight**2
+        mean = cross / (weight[a] * weight[b])
+        distance = weight[a] * weight[b] / (weight[a] + weight[b]) * (own[a] + own[b] - 2 * mean)
+        ok = mean >= least
+        if not ok.any():
+            break
+        one, other, d = np.r_[a[ok], b[ok]], np.r_[b[ok], a[ok]], np.r_[distance[ok], distance[ok]]
+        order = np.lexsort((np.maximum(one, other), np.minimum(one, other), d, one))
+        first = order[np.flatnonzero(np.r_[True, np.diff(one[order]) != 0])]
+        choice = np.full(len(weight), -1)
+        choice[one[first]] = other[first]
+        held = np.flatnonzero(choice >= 0)
+        merge = held[(choice[choice[held]] == held) & (held < choice[held])]
+        to = np.arange(len(weight))
+        to[choice[merge]] = merge
+        sums[merge] += sums[choice[merge]]
+        weight[merge] += weight[choice[merge]]
+        group = to[group]
+        pairs = np.sort(to[pairs], axis=1)
+        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+    return group
 
 
 def clusters(vectors: DataFrame, n: int, dim: int, least: float = 0.57, smallest: int = 5) -> DataFrame:
     """(cluster_id, member_id, score): sets of at least `smallest` vectors, each with a mean cosine >= least to the others.
 
     vectors(id, vec): usable vectors; repeated rows of an id are equal and count once; n: their number. score is that mean; a vector goes to the cluster of
-    highest mean and to none where that is below least; cluster_id is the smallest member id. Equal vectors count singly.
+    highest mean and to none where that is below least; cluster_id is the smallest member id. Equal vectors count singly; of a
+    vector that very many ids have, one stands for all with their number until the end.
     No vectors, or no such set, give no rows. Further columns are ignored.
     """
-    pivots = fit(vectors, n, dim, CELL_ROWS)
-    placed = place(vectors, pivots, least, 0, half=True)
+    rows, rest = split_repeats(vectors.select("id", "vec"), n, 1)
+    pivots = fit(rows, n, dim, CELL_ROWS, MEET[0][1], MEET[0][2])
+    placed = place(rows, pivots, least, 0, keep=["weight"], half=True)
 
     def grow(group: pa.Table) -> pa.Table:
         group = group.take(pa.array(np.unique(group.column("id").to_numpy(), return_index=True)[1]))
         x = unit(from_halves(group.column("vec"), dim), np.float32)
-        leaf, count, sums = leaves(x, least)
-        key = (group.column("cell")[0].as_py() << 44) | (group.column("block")[0].as_py() << 28)
-        first = np.unique(leaf, return_index=True)[1]
-        at = np.full(len(x), -1)
-        at[first] = np.arange(len(first))
-        has = at >= 0
-        sizes = np.where(has, dim, 0)
-        total = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(sums[at[has]].ravel()), mask=pa.array(~has))
-        return pa.table({"cell": group.column("cell"), "block": group.column("block"), "id": group.column("id"), "leaf": pa.array(key | leaf), "count": pa.array(np.where(has, count[leaf], 0)), "vec": total})
-
-    grown = cut(placed.groupBy("cell", "block").applyInArrow(grow, "cell int, block int, id bigint, leaf bigint, count bigint, vec array<float>"), "clusters-leaves")
-    summaries = grown.where("count > 0").select(F.col("leaf").alias("id"), "count", "vec")
+        leaf, count, sums = leaves(x, least, group.column("weight").to_numpy())
+        key = (group.column("cell")[0].as_py() << 44) | (group.column("block")[0].as_py() << 20)
+        return _leaf_rows(group, key | leaf, np.unique(leaf, return_index=True)[1], count, sums)
+
+    columns = "cell int, block int, id bigint, leaf bigint, count bigint, vec array<float>"
+    grown = cut(tiled(placed, pivots, 2 * dim + 40).applyInArrow(grow, columns), "clusters-leaves")
+    summaries = grown.where("count > 0").select("cell", "block", "leaf", "count", "vec")
+    moved = []
+    level, width = 0, int(pivots.blocks.max())
+
+    def merge(group: pa.Table) -> pa.Table:
+        """The trees of two neighbouring blocks as one: the leaves of both are inserted into a new tree."""
+        count, key = group.column("count").to_numpy(), group.column("leaf").to_numpy()
+        x = matrix(group.column("vec"), dim)
+        own, total, sums = leaves(unit(x, np.float32), least, count)
+        first = np.unique(own, return_index=True)[1]
+        return pa.table({"cell": group.column("cell"), "block": group.column("block"), "leaf": key, "into": key[first][own], "count": np.where(np.isin(np.arange(len(own)), first), total[own], 0), "vec": lists(sums[own])})
+
+    while width > 1:
+        pairs = summaries.withColumn("block", F.shiftright("block", 1))
+        merged = cut(pairs.groupBy("cell", "block").applyInArrow(merge, "cell int, block int, leaf bigint, `into` bigint, count bigint, vec array<float>"), f"clusters-level-{level}")
+        moved.append(merged.where("leaf <> into").select(F.col("leaf").alias("a"), F.col("into").alias("b")))
+        summaries = merged.where("count > 0").select("cell", "block", "leaf", "count", "vec")
+        level, width = level + 1, -(-width // 2)
 
     def meet(group: pa.Table) -> pa.Table:
         key, count = group.column("id").to_numpy(), group.column("count").to_numpy()
         into = ward(count, from_halves(group.column("vec"), dim) * (group.column("length").to_numpy() * count)[:, None].astype(np.float32), least)
-        moved = np.flatnonzero(into != np.arange(len(into)))
-        return pa.table({"a": key[moved], "b": key[into[moved]]})
+        away = np.flatnonzero(into != np.arange(len(into)))
+        return pa.table({"a": key[away], "b": key[into[away]]})
 
     # Leaves of several vectors look far for their like; single vectors, mostly strays, are found by those or by the last pass.
     length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))) / F.col("count")
-    sized = summaries.withColumn("length", length)
-    many, single = (place(sized.where(which), pivots, least_, spread, keep=["count", "length"], half=True) for which, least_, spread in (("count > 1", 0.65, 2.0), ("count = 1", 0.80, 1.0)))
-    links = many.unionByName(single).groupBy("cell", "block").applyInArrow(meet, "a bigint, b bigint")
-    joined = components(links).select(F.col("node").alias("leaf"), F.col("component").alias("cluster"))
-    named = cut(grown.select("cell", "block", "id", "leaf", "count").join(joined, "leaf", "left").select("cell", "block", "id", F.coalesce("cluster", "leaf").alias("cluster"), "leaf"), "clusters-named")
+    sized = cut(summaries.select(F.col("leaf").alias("id"), "count", "vec", length.alias("length")), "clusters-summaries")
+    fewer = pivots.share(min(1.0, sized.count() / max(n, 1)))
+    many, single = (place(sized.where("count > 1" if several else "count = 1"), fewer, near, spread, keep=["count", "length"], half=True) for several, near, spread in MEET)
+    links = tiled(many.unionByName(single), fewer, 2 * dim + 60).applyInArrow(meet, "a bigint, b bigint")
+    for more in moved:
+        links = links.unionByName(more)
+    joined = cut(components(links).select(F.col("node").alias("leaf"), F.col("component").alias("cluster")), "clusters-joined")
+    named = cut(grown.select("cell", "block", "id", "leaf").join(joined, "leaf", "left").select("cell", "block", "id", F.coalesce("cluster", "leaf").alias("cluster")), "clusters-named")
 
+    # A cluster's leaves are added up part by part, so that one of any number of leaves falls to several tasks first.
     def add(group: pa.Table) -> pa.Table:
-        return pa.table({"id": group.column("cluster")[:1], "count": pa.array([int(group.column("count").to_numpy().sum())]), "vec": lists(matrix(group.column("vec"), dim).sum(0, dtype=np.float64)[None, :])})
+        return pa.table({"cluster": group.column("cluster")[:1], "part": group.column("part")[:1], "count": pa.array([int(group.column("count").to_numpy().sum())]), "vec": lists(matrix(group.column("vec"), dim).sum(0, dtype=np.float64)[None, :])})
 
-    totals = summaries.withColumnRenamed("id", "leaf").join(joined, "leaf", "left").select(F.coalesce("cluster", "leaf").alias("cluster"), "count", "vec")
-    lone = totals.where("count >= 2").join(joined.select(F.col("cluster").alias("c")).distinct(), F.col("cluster") == F.col("c"), "left_anti").select(F.col("cluster").alias("id"), "count", "vec")
-    merged = totals.join(joined.select("cluster").distinct(), "cluster", "left_semi").groupBy("cluster").applyInArrow(add, "id bigint, count bigint, vec array<float>")
-    centres = cut(merged.unionByName(lone), "clusters-centres")
+    totals = sized.withColumnRenamed("id", "leaf").join(joined, "leaf", "left").select(F.coalesce("cluster", "leaf").alias("cluster"), F.col("cluster").isNotNull().alias("several"), F.pmod(F.xxhash64("leaf"), F.lit(256)).cast("int").alias("part"), "count", "vec")
+    sums = totals.where("several").groupBy("cluster", "part").applyInArrow(add, "cluster bigint, part int, count bigint, vec array<float>")
+    sums = sums.withColumn("part", F.lit(0)).groupBy("cluster", "part").applyInArrow(add, "cluster bigint, part int, count bigint, vec array<float>")
+    centres = sums.select(F.col("cluster").alias("id"), "count", "vec").unionByName(totals.where("not several and count >= 2").select(F.col("cluster").alias("id"), "count", "vec"))
+    centres = cut(centres, "clusters-centres")
 
     def assign(group: pa.Table) -> pa.Table:
         what, key, count = (group.column(c).to_numpy() for c in ("what", "id", "count"))
@@ -176,7 +295,7 @@ def clusters(vectors: DataFrame, n: int, dim: int, least: float = 0.57, smallest
         at_v = at_v[np.unique(key[at_v], return_index=True)[1]]
         if not len(at_c) or not len(at_v):
             return pa.table({"cluster": pa.array([], pa.int64()), "member_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        order = at_c[np.argsort(key[at_c], kind="stable")]
+        order = at_c[np.unique(key[at_c], return_index=True)[1]]
         centre, size, name = matrix(vec.take(pa.array(order)), dim).astype(np.float64), count[order].astype(np.float64), key[order]
         ids = key[at_v]
         x = matrix(vec.take(pa.array(at_v)), dim)
@@ -197,18 +316,41 @@ def clusters(vectors: DataFrame, n: int, dim: int, least: float = 0.57, smallest
         ok = score >= least
         return pa.table({"cluster": name[best[ok]], "member_id": ids[ok], "score": score[ok]})
 
-    sides = place(vectors, pivots, least, 0).select("cell", "block", F.lit(1).alias("what"), "id", F.lit(0).cast("long").alias("count"), "vec")
+    sides = place(rows, pivots, least, 0).select("cell", "block", F.lit(1).alias("what"), "id", F.lit(0).cast("long").alias("count"), "vec")
     sides = sides.unionByName(named.select("cell", "block", F.lit(2).alias("what"), "id", F.col("cluster").alias("count"), F.lit(None).cast("array<float>").alias("vec")))
-    # A member of mean cosine 0.57 has a cosine of about 0.65 to the centre of a usual cluster.
-    sides = sides.unionByName(place(centres, pivots, 0.65, 2.0, keep=["count"]).select("cell", "block", F.lit(0).alias("what"), "id", "count", "vec"))
-    found = cut(sides.groupBy("cell", "block").applyInArrow(assign, "cluster bigint, member_id bigint, score double"), "clusters-found")
+    # A member of mean cosine 0.57 has a cosine of about 0.65 to the centre of a usual cluster; besides, a centre is held
+    # against every block in which a vector of its cluster lies.
+    here = named.select("cell", "block", F.col("cluster").alias("id")).distinct().join(centres, "id").select("cell", "block", "id", "count", "vec")
+    near = visit(centres, pivots, *MEET[0][1:], keep=["count"]).select("cell", "block", "id", "count", "vec").unionByName(here)
+    sides = sides.unionByName(near.select("cell", "block", F.lit(0).alias("what"), "id", "count", "vec"))
+    if len(pivots.centre) > 2:
+        sides = sides.repartition(3 * int(pivots.blocks.sum()), "cell", "block")
+    found = sides.groupBy("cell", "block").applyInArrow(assign, "cluster bigint, member_id bigint, score double")
+    if rest is not None:
+        found = cut(found, "clusters-first")
+        # Equal vectors are in one cluster, with one score.
+        reps = F.broadcast(rest.select(F.col("rep").alias("member_id")).distinct())
+        same = rest.join(F.broadcast(found.join(reps, "member_id", "left_semi").withColumnRenamed("member_id", "rep")), "rep")
+        found = found.unionByName(same.select("cluster", F.col("id").alias("member_id"), "score"))
+    found = cut(found, "clusters-found")
     heads = found.groupBy("cluster").agg(F.min("member_id").alias("cluster_id"), F.count("*").alias("size")).where(F.col("size") >= smallest)
     return found.join(heads, "cluster").select("cluster_id", "member_id", "score")
 
 
+def _leaf_rows(group: pa.Table, key: np.ndarray, first: np.ndarray, count: np.ndarray, sums: np.ndarray) -> pa.Table:
+    """The rows of a group with their leaf; the first row of each leaf also carries its feature, others a count of 0."""
+    at = np.full(len(key), -1)
+    at[first] = np.arange(len(first))
+    has = at >= 0
+    dim = sums.shape[1]
+    total = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(has, dim, 0))].astype(np.int32)), pa.array(sums[at[has]].ravel()), mask=pa.array(~has))
+    return pa.table({"cell": group.column("cell"), "block": group.column("block"), "id": group.column("id"), "leaf": pa.array(key), "count": pa.array(np.where(has, count[np.maximum(at, 0)], 0)), "vec": total})
+
+
 def describe(members: DataFrame, typical: int = 3) -> DataFrame:
     """(cluster_id, size, typical): each cluster's size and its members of highest score, ties to the smaller id."""
-    best = F.struct((-F.col("score")).alias("s"), "member_id")
-    # Partial aggregates of bounded size: a cluster of any size never comes together.
-    part = members.withColumn("part", F.pmod(F.xxhash64("member_id"), F.lit(64))).groupBy("cluster_id", "part").agg(F.count("*").alias("size"), F.slice(F.array_sort(F.collect_list(best)), 1, typical).alias("top"))
-    return part.groupBy("cluster_id").agg(F.sum("size").alias("size"), F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, typical).alias("top")).select("cluster_id", "size", F.transform("top", lambda t: t["member_id"]).alias("typical"))
+    # The window keeps `typical` rows of a cluster in each task before anything is shuffled.
+    rank = Window.partitionBy("cluster_id").orderBy(F.desc("score"), "member_id")
+    top = members.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= typical)
+    top = top.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "member_id"))), lambda t: t["member_id"]).alias("typical"))
+    return members.groupBy("cluster_id").agg(F.count("*").alias("size")).join(top, "cluster_id").select("cluster_id", "size", "typical")

@@ -13,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismlake.operators.cells import fit, matrix, place, unit, usable
 from prismlake.llm.trie import near_codes
+from prismlake.operators.cells import fit, matrix, place, split_repeats, tiled, unit, usable
+from prismlake.operators.components import components
 from prismlake.tables import cut
 
 #: A hash of more usable rows than this (or than 1/4096 of all) is compared in tiles of about TILE_ROWS rows a side.
@@ -29,30 +30,35 @@ def dot(a: Column, b: Column) -> Column:
 
 def _by_vector(rows: DataFrame, n: int, dim: int, bits: int, with_hash: float, without_hash: float, spread: float) -> DataFrame:
     """Pairs of which one side is flagged `asks`; rows(id, vec, hash, asks)."""
-    pivots = fit(rows, n, dim, CELL_ROWS)
     least = min(with_hash, without_hash)
+    pivots = fit(rows, n, dim, CELL_ROWS, least, spread)
 
     def run(group: pa.Table) -> pa.Table:
         x, ids = unit(matrix(group.column("vec"), dim)), group.column("id").to_numpy()
         hashed = group.column("hash").combine_chunks()
         known, code = hashed.is_valid().to_numpy(zero_copy_only=False), hashed.fill_null(0).to_numpy().view(np.uint64)
         asks, home = (group.column(c).to_numpy() for c in ("asks", "home"))
-        at, askers = np.flatnonzero(home), np.flatnonzero(asks)
-        small = x.astype(np.float32)
+        small, kind = x.astype(np.float32), pivots.kind(group)
         found = []
-        for lo in range(0, len(askers), 512):
-            own = askers[lo : lo + 512]
-            row, column = np.nonzero(small[own] @ small[at].T >= least - 1e-5)
-            a, b = own[row], at[column]
-            cosine = np.einsum("ij,ij->i", x[a], x[b])
-            both = known[a] & known[b]
-            keep = (ids[a] != ids[b]) & np.where(both, (cosine >= with_hash) & (np.bitwise_count(code[a] ^ code[b]) <= bits), cosine >= without_hash)
-            found.append(np.stack([np.minimum(ids[a], ids[b])[keep], np.maximum(ids[a], ids[b])[keep]], 1))
+
+        def look(askers: np.ndarray, at: np.ndarray) -> None:
+            for lo in range(0, len(askers) if len(at) else 0, 512):
+                own = askers[lo : lo + 512]
+                row, column = np.nonzero(small[own] @ small[at].T >= least - 1e-5)
+                a, b = own[row], at[column]
+                cosine = np.einsum("ij,ij->i", x[a], x[b])
+                both = known[a] & known[b]
+                keep = (ids[a] != ids[b]) & np.where(both, (cosine >= with_hash) & (np.bitwise_count(code[a] ^ code[b]) <= bits), cosine >= without_hash)
+                found.append(np.stack([np.minimum(ids[a], ids[b])[keep], np.maximum(ids[a], ids[b])[keep]], 1))
+
+        look(np.flatnonzero(asks if kind == "own" else asks & ~home), np.flatnonzero(home))
+        if kind == "inner":  # two blocks of one cell: those of the first ask the second too
+            look(np.flatnonzero(asks & home), np.flatnonzero(~home))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return pa.table({"media_a": pairs[:, 0], "media_b": pairs[:, 1]})
 
     cells = place(rows, pivots, least, spread, keep=["hash", "asks"], visitors="asks")
-    return cells.groupBy("cell", "block").applyInArrow(run, "media_a bigint, media_b bigint").distinct()
+    return tiled(cells, pivots, 4 * dim + 48).applyInArrow(run, "media_a bigint, media_b bigint").distinct()
 
 
 def _by_tiles(near: DataFrame, rows: DataFrame, dim: int, least: float) -> DataFrame:
@@ -114,21 +120,32 @@ def copies(rows: DataFrame, dim: int, bits: int = 6, with_hash: float = 0.95, wi
     same = codes.where("n_good + n_bad > 1").select(F.col("code").alias("code_a"), F.col("code").alias("code_b"), F.lit(0).alias("bits"))
     near = cut(near.unionByName(same).join(side("a"), "code_a").join(side("b"), "code_b"), "copies-near")
 
-    ids = narrow.where(detailed)
-    left = ids.select(F.col("hash").alias("code_a"), F.col("id").alias("id_a"), F.col("good").alias("g_a"))
-    right = ids.select(F.col("hash").alias("code_b"), F.col("id").alias("id_b"), F.col("good").alias("g_b"))
+    # Rows of a code that very many have are cut into parts, and its pairs into pairs of parts: no key of a join is large.
+    part_of = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    ids = narrow.where(detailed).join(codes.select(F.col("code").alias("hash"), F.ceil((F.col("n_good") + F.col("n_bad")) / TILE_ROWS).alias("parts")), "hash")
+    left, right = (ids.select(F.col("hash").alias(f"code_{s}"), part_of(F.col("parts")).alias(f"part_{s}"), F.col("id").alias(f"id_{s}"), F.col("good").alias(f"g_{s}")) for s in "ab")
+
+    def met(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+        for s in "ab":
+            parts = F.ceil((F.col(f"good_{s}") + F.col(f"bad_{s}")) / TILE_ROWS).cast("int")
+            pairs = pairs.withColumn(f"part_{s}", F.explode(F.sequence(F.lit(0), parts - 1)))
+        pairs = pairs.select("code_a", "part_a", "code_b", "part_b")
+        return pairs.join(left, ["code_a", "part_a"]).join(right, ["code_b", "part_b"]).where(once)
+
     once = (F.col("code_a") != F.col("code_b")) | (F.col("id_a") < F.col("id_b"))
     ordered = lambda df: df.select(F.least("id_a", "id_b").alias("media_a"), F.greatest("id_a", "id_b").alias("media_b"))
 
     # A vector is missing: the hashes alone decide.
-    blind = near.where((F.col("bits") <= hash_only_bits) & ((F.col("bad_a") > 0) | (F.col("bad_b") > 0))).select("code_a", "code_b")
-    blind = ordered(blind.join(left, "code_a").join(right, "code_b").where(once & ~(F.col("g_a") & F.col("g_b"))))
+    blind = near.where(F.col("bits") <= hash_only_bits)
+    bad_first = met(blind.where("bad_a > 0"), left.where("not g_a"), right)
+    bad_next = met(blind.where("bad_b > 0 and good_a > 0"), left.where("g_a"), right.where("not g_b"))
+    blind = ordered(bad_first).unionByName(ordered(bad_next))
 
     # Both are there: the trie's pairs are candidates, the vectors decide.
     both = near.where((F.col("good_a") > 0) & (F.col("good_b") > 0))
     crowded = both.where((F.col("good_a") > hot_from) | (F.col("good_b") > hot_from))
-    both = both.where((F.col("good_a") <= hot_from) & (F.col("good_b") <= hot_from)).select("code_a", "code_b")
-    both = ordered(both.join(left.where("g_a"), "code_a").join(right.where("g_b"), "code_b").where(once))
+    both = both.where((F.col("good_a") <= hot_from) & (F.col("good_b") <= hot_from))
+    both = ordered(met(both, left.where("g_a"), right.where("g_b")))
     vec = rows.where("vec is not null")
     both = both.join(vec.select(F.col("id").alias("media_a"), F.col("vec").alias("va")), "media_a").join(vec.select(F.col("id").alias("media_b"), F.col("vec").alias("vb")), "media_b")
     both = both.where(dot(F.col("va"), F.col("vb")) / F.sqrt(dot(F.col("va"), F.col("va"))) / F.sqrt(dot(F.col("vb"), F.col("vb"))) >= with_hash).select("media_a", "media_b")
@@ -137,3 +154,32 @@ def copies(rows: DataFrame, dim: int, bits: int = 6, with_hash: float = 0.95, wi
         both = both.unionByName(_by_tiles(crowded, vec.where(detailed), dim, with_hash))
     asking = vec.select("id", "vec", "hash", (~detailed).alias("asks"))
     return both.unionByName(blind).unionByName(_by_vector(asking, n_good, dim, bits, with_hash, without_hash, spread))
+
+
+def copy_groups(rows: DataFrame, dim: int, detail: tuple[int, int] = (5, 59)) -> DataFrame:
+    """(media_id, group_id, links): every row of rows(id, hash, vec) that has a copy, its group, and how many copies it has.
+
+    Groups are the connected components of copies(), group_id is the smallest id. Of rows equal in hash and vector that are
+    very many, one stands for all: its pairs count for each, and no pair among them is written.
+    """
+    rows = rows.select("id", "hash", F.when(usable(F.col("vec"), dim), F.col("vec")).alias("vec"))
+    # Without a usable vector and a detailed hash a row is no copy of anything.
+    rows = cut(rows.where(F.col("vec").isNotNull() | F.coalesce(F.bit_count("hash").between(*detail), F.lit(False))), "copy-groups")
+    stay, rest = split_repeats(rows, rows.count(), 1, ("hash", "vec"))
+    pairs = cut(copies(stay, dim, detail=detail), "copy-pairs")
+    both = pairs.unionByName(pairs.select(F.col("media_b").alias("media_a"), F.col("media_a").alias("media_b")))
+    if rest is None:
+        links = both.groupBy(F.col("media_a").alias("media_id")).agg(F.count("*").alias("links"))
+    else:
+        heavy = F.broadcast(stay.where("weight > 1").select(F.col("id").alias("media_b"), F.col("weight")))  # at most 100,000
+        far = both.join(heavy, "media_b", "left").groupBy(F.col("media_a").alias("media_id")).agg(F.sum(F.coalesce("weight", F.lit(1))).alias("far"))
+        own = stay.where("weight > 1").select(F.col("id").alias("media_id"), (F.col("weight") - 1).alias("own"))
+        links = far.join(own, "media_id", "full").select("media_id", (F.coalesce("far", F.lit(0)) + F.coalesce("own", F.lit(0))).alias("links"))
+    found = components(pairs.select(F.col("media_a").alias("a"), F.col("media_b").alias("b"))).select(F.col("node").alias("media_id"), F.col("component").alias("group_id"))
+    found = links.join(found, "media_id", "left").select("media_id", F.coalesce("group_id", "media_id").alias("group_id"), "links")
+    if rest is None:
+        return found
+    found = cut(found, "copy-groups-found")
+    reps = F.broadcast(rest.select(F.col("rep").alias("media_id")).distinct())
+    same = F.broadcast(found.join(reps, "media_id", "left_semi").withColumnRenamed("media_id", "rep"))
+    return found.unionByName(rest.join(same, "rep").select(F.col("id").alias("media_id"), "group_id", "links"))

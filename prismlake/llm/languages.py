@@ -1,9 +1,10 @@
 """Languages of short texts and of the passages in them.
 
 A sparse multinomial logistic regression over TF-IDF character n-grams, trained by follow-the-regularised-leader with
-elastic net on a bounded sample of labelled lines (document frequencies are those of all lines), whose labels may be wrong: after a first round, lines of which the
-model is sure that they are of another language are set aside, and it is trained again. Confidences are calibrated by a
-temperature on held-out lines. Passages of one language are found as the best path through a line's words.
+elastic net on a bounded sample of labelled lines (document frequencies are those of all lines), whose labels may be
+wrong: after a first round, lines whose label the model doesn't share are set aside, right or wrong, and it is trained
+again. Confidences are calibrated by a temperature, fitted together with the share of wrong labels on all held-out
+lines. Passages of one language are found as the best path through a line's words.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ THREE = {"deu": "de", "ger": "de", "eng": "en", "spa": "es", "fra": "fr", "fre":
 TRAIN_LINES = 12_000
 BUCKETS = 1 << 16
 GRAMS = (1, 2, 3, 4)
+#: Words a worker remembers the evidence of.
+REMEMBERED = 1 << 16
 #: Cost of changing the language within a line, in nats.
 SWITCH = 6.0
 
@@ -72,14 +75,27 @@ class Model:
     temperature: float = 1.0
     names: tuple[str, ...] = LANGUAGES
     idf: np.ndarray = field(default=None, repr=False)
-
-    def words(self, found: list[str]) -> np.ndarray:
-        """Evidence of each word for each language, not normalised."""
-        sizes = [len(grams(w)) for w in found]
-        if not sizes:
-            return np.zeros((0, len(self.names)))
-        rows = self.weight[np.concatenate([grams(w) for w in found])]
-        return np.add.reduceat(rows, np.r_[0, np.cumsum(sizes)[:-1]], axis=0) if min(sizes) else rows
+    #: Share of wrong labels, and the calibration error of the confidences, as found on held-out lines.
+    noise: float = 0.0
+    error: float = 0.0
+    known: dict = field(default_factory=dict, repr=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": {}}
+
+    def word(self, w: str) -> tuple[np.ndarray, np.ndarray]:
+        """A word's evidence for each language, and its say in nats as if it were a text by itself; remembered."""
+        found = self.known.get(w)
+        if found is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            evidence = self.weight[grams(w)].sum(0, dtype=np.float64)
+            local = evidence / self.norm([w]) / self.temperature
+            local = local - local.max()
+            local -= np.log(np.exp(local).sum())
+            local *= min(1.0 + 0.5 * len(w) if CJK.match(w) else 0.25 + 0.15 * len(w), 4.0)
+            found = self.known[w] = (evidence, local)
+        return found
 
     def norm(self, found: list[str]) -> float:
         key, count = np.unique(np.concatenate([grams(w) for w in found]), return_counts=True)
@@ -171,21 +187,43 @@ def fit(texts: list[str], labels: list[str], seen: tuple[np.ndarray, int] | None
 
     order = np.random.default_rng(1).permutation(len(rows))
     held, used = order[: len(order) // 8], order[len(order) // 8 :]
+    held = held if len(held) else used
     w, b = ftrl([rows[i] for i in used], y[used], len(LANGUAGES), rounds=2)
-    s = scores(w, b, np.arange(len(rows)))
-    agrees = s.argmax(1) == y
-    used = used[agrees[used]]
+    used = used[scores(w, b, used).argmax(1) == y[used]]
     w, b = ftrl([rows[i] for i in used], y[used], len(LANGUAGES))
-    clean = held[agrees[held]] if len(held) else used
-    s = scores(w, b, clean)
+    temperature, noise, error = calibrate(scores(w, b, held), y[held])
+    return Model((w * idf[:, None]).astype(np.float32), b, temperature, idf=idf, noise=noise, error=error)
+
 
-    def loss(t: float) -> float:
-        z = s / t
-        z = z - z.max(1, keepdims=True)
-        return float(np.mean(np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), y[clean]]))
+def softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
 
-    temperature = min(np.geomspace(0.05, 5, 40), key=loss) if len(clean) else 1.0
-    return Model((w * idf[:, None]).astype(np.float32), b, float(temperature), idf=idf)
+
+def calibrate(scores: np.ndarray, labels: np.ndarray) -> tuple[float, float, float]:
+    """(temperature, share of wrong labels, calibration error) of scores whose labels are partly wrong.
+
+    A label is taken to be the true language or, with the share of wrong ones, any by how common it is; both numbers are
+    those of highest likelihood. The error is the mean gap, over tenths of confidence, between how often the label agrees
+    with the model and how often it should by its confidence and the share of wrong labels.
+    """
+    if not len(labels):
+        return 1.0, 0.0, 0.0
+    common = np.bincount(labels, minlength=scores.shape[1]) / len(labels)
+    best = (-np.inf, 1.0, 0.0)
+    for t in np.geomspace(0.05, 5, 40):
+        own = softmax(scores / t)[np.arange(len(labels)), labels]
+        for noise in np.linspace(0, 0.6, 61):
+            fit_ = float(np.log((1 - noise) * own + noise * common[labels] + 1e-12).sum())
+            if fit_ > best[0]:
+                best = (fit_, float(t), float(noise))
+    _, t, noise = best
+    p = softmax(scores / t)
+    top = p.argmax(1)
+    due, agrees = (1 - noise) * p.max(1) + noise * common[top], top == labels
+    tenth = np.minimum((p.max(1) * 10).astype(int), 9)
+    error = sum(abs(due[tenth == k].sum() - agrees[tenth == k].sum()) for k in range(10)) / len(labels)
+    return t, noise, float(error)
 
 
 def train(lines: DataFrame, most: int = TRAIN_LINES) -> Model:
@@ -211,22 +249,13 @@ def cut_up(text: str, model: Model, switch: float = SWITCH) -> list[tuple[int, i
     found = [text[a:b] for a, b in at]
     if not running(found):
         return []
-    evidence = model.words(found)
-    # Each word's evidence in nats, as if it were a text by itself.
-    single = np.array([model.norm([w]) for w in found])
-    local = evidence / single[:, None] / model.temperature
-    local = local - np.log(np.exp(local - local.max(1, keepdims=True)).sum(1, keepdims=True)) - local.max(1, keepdims=True)
-    local *= np.array([min(1.0 + 0.5 * len(w) if CJK.match(w) else 0.25 + 0.15 * len(w), 4.0) for w in found])[:, None]
-    cost, back = local[0].copy(), []
-    for row in local[1:]:
-        best = int(cost.argmax())
-        stay = cost >= cost[best] - switch
-        back.append(np.where(stay, np.arange(len(cost)), best))
-        cost = np.where(stay, cost, cost[best] - switch) + row
-    path = [int(cost.argmax())]
-    for step in reversed(back):
-        path.append(int(step[path[-1]]))
-    path.reverse()
+    say = [model.word(w) for w in found]
+    evidence, local = np.array([x[0] for x in say]), np.array([x[1] for x in say])
+    whole = local.sum(0)
+    if local.max(1).sum() - switch <= whole.max():  # no path that changes the language can be better
+        path = [int(whole.argmax())] * len(found)
+    else:
+        path = _path(local, switch)
     edges = [i for i in range(len(path)) if i == 0 or path[i] != path[i - 1]] + [len(path)]
     parts = [(a, b) for a, b in zip(edges, edges[1:], strict=False)]
     parts = [(a, b) for a, b in parts if running(found[a:b])] or [(0, len(found))]
@@ -240,6 +269,20 @@ def cut_up(text: str, model: Model, switch: float = SWITCH) -> list[tuple[int, i
     return [x[:4] for x in out]
 
 
+def _path(local: np.ndarray, switch: float) -> list[int]:
+    """The language of each word on the path of most evidence, less the cost of every change."""
+    cost, back = local[0].copy(), []
+    for row in local[1:]:
+        best = int(cost.argmax())
+        stay = cost >= cost[best] - switch
+        back.append(np.where(stay, np.arange(len(cost)), best))
+        cost = np.where(stay, cost, cost[best] - switch) + row
+    path = [int(cost.argmax())]
+    for step in reversed(back):
+        path.append(int(step[path[-1]]))
+    return path[::-1]
+
+
 def running(found: list[str]) -> bool:
     solid = sum(len(w) for w in found if CJK.match(w))
     return solid >= 4 or sum(len(w) >= 2 for w in found if not CJK.match(w)) >= 2

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismlake.llm.clusters import clusters, describe
-from prismlake.llm.copies import copies
+from prismlake.llm.copies import copies, copy_groups
 from prismlake.llm.languages import documents as document_languages
 from prismlake.llm.languages import known, passages, train
 from prismlake.llm.leaks import clean, leaks
 from prismlake.llm.mixture import mix, plan, shares, token_counts
 from prismlake.llm.neighbours import nearest
 from prismlake.llm.sentences import sentences
-from prismlake.llm.survivors import groups, survivors, truths
+from prismlake.llm.survivors import survivors, truths
 from prismlake.llm.vectors import FACE_DIM, MEDIA_DIM, face_vectors, media_vectors
 from prismlake.tables import cut, latest, table
 
@@ -28,20 +28,26 @@ face_vec as (select id, embedding::double[] as v, sqrt(list_dot_product(embeddin
 """
 
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = latest(table(spark, sf_dir, "media_analysis").select("mediaId", "sourceModified", "perceptualHash", "embedding"), "mediaId", "sourceModified")
-    return copies(rows.select(F.col("mediaId").alias("id"), F.col("perceptualHash").alias("hash"), F.col("embedding").alias("vec")), MEDIA_DIM)
+    return rows.select(F.col("mediaId").alias("id"), F.col("perceptualHash").alias("hash"), F.col("embedding").alias("vec"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies(_hashed(spark, sf_dir), MEDIA_DIM)
 
 
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every media of a group of copies, its group, and its number of direct links."""
-    pairs = cut(p1_found(spark, sf_dir), "p1")
-    links = pairs.select(F.explode(F.array("media_a", "media_b")).alias("media_id")).groupBy("media_id").agg(F.count("*").alias("links"))
-    return groups(pairs).join(links, "media_id")
+    return copy_groups(_hashed(spark, sf_dir), MEDIA_DIM)
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(p1_groups(spark, sf_dir).select("media_id", "group_id"), "p2-groups")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = groups(cut(p1_found(spark, sf_dir), "p2-pairs"))
+    members = _members(spark, sf_dir)
     analysis = latest(table(spark, sf_dir, "media_analysis").select("mediaId", "sourceModified", "sharpness", "brightness", "qualityVersion"), "mediaId", "sourceModified")
     media = latest(table(spark, sf_dir, "media").select("id", "dateTaken", "dateModified", "size", "width", "height"), "id", "dateModified")
     return survivors(members, analysis, media)
@@ -49,7 +55,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of each group's fields judged true; a value's source is the pass that measured it, or the kind of file."""
-    members = groups(cut(p1_found(spark, sf_dir), "p2-pairs"))
+    members = _members(spark, sf_dir)
     analysis = latest(table(spark, sf_dir, "media_analysis").select("mediaId", "sourceModified", "sharpness", "brightness", "qualityVersion"), "mediaId", "sourceModified")
     media = latest(table(spark, sf_dir, "media").select("id", "dateTaken", "dateModified", "mimeType"), "id", "dateModified")
     rows = members.join(analysis.withColumnRenamed("mediaId", "media_id"), "media_id").join(media.withColumnRenamed("id", "media_id"), "media_id")
@@ -121,7 +127,7 @@ def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     name = F.lower(F.trim("source")).alias("source")
     targets = table(spark, sf_dir, "mix_target").select(name, "weight", "max_repeat")
-    wanted = table(spark, sf_dir, "documents").select("doc_id", name, "text").join(F.broadcast(targets.limit(100_000).select("source").distinct()), "source", "left_semi")
+    wanted = table(spark, sf_dir, "documents").select("doc_id", name, "text").join(targets.select("source").distinct(), "source", "left_semi")
     counts = cut(token_counts(wanted), "p8-counts")
     planned = plan(counts, targets)
     return mix(counts, planned), planned
@@ -186,6 +192,27 @@ item as (select item_id, regexp_extract_all(lower(regexp_replace(text, '[-\x{201
 dg as (select doc_id, array_to_string(list_slice(w, i, i + 11), ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 10)) as i from doc)),
 ig as (select item_id, array_to_string(list_slice(w, i, i + 11), ' ') as g from (select item_id, w, unnest(range(1, len(w) - 10)) as i from item))
 select distinct doc_id, item_id from dg join ig using (g)
+""",
+    "p7_clean": r"""
+with doc as (select doc_id, text, regexp_extract_all(text, '[\p{L}\p{N}]+(?:[-\x{2010}][ \t]*\r?\n[ \t]*[\p{L}\p{N}]+)*') as w from documents where text is not null),
+dw as (select doc_id, text, w, i, lower(regexp_replace(w[i], '[-\x{2010}][ \t]*\r?\n[ \t]*', '', 'g')) as plain from (select *, unnest(range(1, len(w) + 1)) as i from doc)),
+item as (select item_id, regexp_extract_all(lower(regexp_replace(text, '[-\x{2010}][ \t]*\r?\n[ \t]*', '', 'g')), '[\p{L}\p{N}]+') as w from (select distinct item_id, text from eval_item)),
+plain as (select doc_id, list(plain order by i) as p, any_value(text) as text, any_value(w) as w from dw group by doc_id),
+dg as (select doc_id, i, array_to_string(list_slice(p, i, i + 11), ' ') as g from (select doc_id, p, unnest(range(1, len(p) - 10)) as i from plain)),
+ig as (select distinct item_id, array_to_string(list_slice(w, i, i + 11), ' ') as g from (select item_id, w, unnest(range(1, len(w) - 10)) as i from item)),
+hit as (select distinct doc_id, item_id, i from dg join ig using (g)),
+run as (select *, sum(new) over (partition by doc_id, item_id order by i) as run from (select *, case when i - lag(i) over (partition by doc_id, item_id order by i) <= 12 then 0 else 1 end as new from hit)),
+stretch as (select doc_id, item_id, min(i) as a, max(i) + 11 as b from run group by doc_id, item_id, run),
+before as (select doc_id, text, w, split_part(text, chr(0), 1) as t from plain where doc_id in (select doc_id from hit)),
+parts as (select doc_id, text, w, regexp_split_to_array(text, '[\p{L}\p{N}]+(?:[-\x{2010}][ \t]*\r?\n[ \t]*[\p{L}\p{N}]+)*') as s from before),
+offs as (select doc_id, i, sum(len(s[i]) + case when i > 1 then len(w[i - 1]) else 0 end) over (partition by doc_id order by i) as start, len(w[i]) as size from (select doc_id, s, w, unnest(range(1, len(w) + 1)) as i from parts)),
+placed as (select x.doc_id, x.item_id, f.start::bigint as first, (l.start + l.size)::bigint as past from stretch x join offs f on f.doc_id = x.doc_id and f.i = x.a join offs l on l.doc_id = x.doc_id and l.i = x.b),
+step as (select distinct doc_id, first, past, max(past) over (partition by doc_id order by first, past rows between unbounded preceding and 1 preceding) as reach from placed),
+isle as (select *, sum(case when reach is null or first > reach then 1 else 0 end) over (partition by doc_id order by first, past) as nth from step),
+gone as (select doc_id, nth, min(first) as a, max(past) as b from isle group by 1, 2),
+piece as (select doc_id, nth, a, b, coalesce(lag(b) over (partition by doc_id order by nth), 0) as prior from gone),
+rest as (select p.doc_id, string_agg(substr(b.text, p.prior + 1, p.a - p.prior), '' order by nth) || substr(any_value(b.text), max(p.b) + 1) as kept from piece p join before b using (doc_id) group by p.doc_id)
+select placed.*, rest.kept from placed join rest using (doc_id)
 """,
     "p6_found": "with " + VECTORS_SQL.format(more="1 as one") + """, pairs as (
   select 'media' as kind, a.id as item_id, b.id as neighbour_id, round(list_dot_product(a.v, b.v) / a.nm / b.nm, 12) as c

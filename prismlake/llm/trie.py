@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 LEAF_PAIRS = 64
 #: Code pairs compared, or node pairs expanded, in one step.
 STEP = 1 << 20
+#: Codes that a task should get.
+TASK_CODES = 1 << 20
 
 
 def bands(budget: int, exact: int) -> list[tuple[int, int]]:
@@ -125,4 +127,6 @@ def near_codes(codes: DataFrame, budget: int, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.bitwise_count(differs[keep]).astype(np.int32))], names=["code_a", "code_b", "bits"])
 
     rows = codes.select("code").select("code", F.explode(F.array(*keys)).alias("k")).select("code", F.col("k.c").alias("c"), F.col("k.key").alias("key"))
-    return rows.repartition("c", "key").mapInArrow(run, "code_a bigint, code_b bigint, bits int")
+    # A task holds its subtries' codes in memory, so there are more tasks where there are more codes.
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * len(chosen) // TASK_CODES))
+    return rows.repartition(min(200_000, tasks), "c", "key").mapInArrow(run, "code_a bigint, code_b bigint, bits int")

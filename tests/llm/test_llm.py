@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("prismlake.llm")
+import prismlake.llm.leaks as leaks_module  # noqa: E402
 from prismlake.llm import languages, mixture, sentences  # noqa: E402
 from prismlake.llm.clusters import clusters, describe, leaves, ward  # noqa: E402
 from prismlake.llm.copies import copies  # noqa: E402
@@ -247,34 +248,52 @@ def test_passages_of_odd_lines(spark):
 ITEM = "a lamp maker from Kroujond lent 353 brass compasses to a stranger met at Josaven fair"
 
 
-def test_leaks_need_twelve_words_and_join_hyphens(spark):
-    assert words("Foo-\nbar, BAZ_1") == ["foobar", "baz", "1"]
+def test_leaks_need_twelve_words_and_join_hyphens(spark, monkeypatch):
+    assert words("Foo-\nbar, BAZ_1") == ["foobar", "baz", "1"] and len(words("İstanbul")) == 1
     docs = [(1, f"x. {ITEM.upper()}!"), (2, "so a lamp ma-\n  ker from Kroujond lent 353 brass comp-\nasses to a stranger met. End"), (3, " ".join(ITEM.split()[:11])), (4, None), (5, ""), (6, f"{ITEM} {ITEM}")]
     df = spark.createDataFrame([(*d, 0) for d in docs], "doc_id bigint, text string, item_id int")
     items = spark.createDataFrame([(9, ITEM), (9, ITEM), (10, "short one"), (11, None)], "item_id bigint, text string")
     want = {(1, 9), (2, 9), (6, 9)}
     assert {tuple(r) for r in leaks(df.drop("item_id"), items).collect()} == want
-    from prismlake.llm import leaks as module
-
-    module.BROADCAST_ITEMS, old = 0, module.BROADCAST_ITEMS
-    try:
-        assert {tuple(r) for r in leaks(df.drop("item_id"), items).collect()} == want
-    finally:
-        module.BROADCAST_ITEMS = old
-    kept = {r["doc_id"]: r["kept"] for r in clean(df.drop("item_id"), items).collect()}
+    cleaned = {tuple(r) for r in clean(df.drop("item_id"), items).collect()}
+    # However many the items are, the result is the same.
+    monkeypatch.setattr(leaks_module, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(leaks_module, "MAP_BITS", 1 << 21)
+    assert {tuple(r) for r in leaks(df.drop("item_id"), items).collect()} == want
+    assert {tuple(r) for r in clean(df.drop("item_id"), items).collect()} == cleaned
+    kept = {r[0]: r[4] for r in cleaned}
     assert kept[1] == "x. !" and leaks(df.limit(0).drop("item_id"), items).count() == 0
     w = Windows([(9, ITEM)], 12)
-    assert spans(docs[0][1], w) == [(9, 3, 3 + len(ITEM))] and without("nothing here", w) == "nothing here"
+    assert spans(docs[0][1], w) == [(9, 3, 3 + len(ITEM))] and without("nothing here", []) == "nothing here" and without("abcdef", [(1, 3), (2, 4)]) == "aef"
 
 
 # --- 8
 
 
-def test_water_filling_clamps_and_redistributes():
-    got = mixture.fill({"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 10, "b": 1000, "c": 1000}, 100)
+def test_water_filling_clamps_and_redistributes(spark):
+    def fill(weight, most, total):
+        counts = spark.createDataFrame([(s, m) for s, m in most.items()], "source string, tokens bigint")
+        targets = spark.createDataFrame([(s, w, 1) for s, w in weight.items()], "source string, weight double, max_repeat int")
+        return {r["source"]: r["planned"] for r in mixture.plan(counts, targets, total).collect()}
+
+    got = fill({"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 10, "b": 1000, "c": 1000}, 100)
     assert got["a"] == 10 and got["b"] == pytest.approx(54) and got["c"] == pytest.approx(36)
-    assert mixture.fill({"a": 1.0, "b": 0.0}, {"a": 5, "b": 9}, 100) == {"a": 5, "b": 0}
-    assert mixture.fill({}, {}, 10) == {}
+    assert fill({"a": 1.0, "b": 0.0}, {"a": 5, "b": 9}, 100) == {"a": 5, "b": 0}
+    assert fill({}, {}, 10) == {} and fill({"a": 2.0, "b": 1.0}, {"a": 4, "b": 0}, 9) == {"a": 4, "b": 0}
+    rng = np.random.default_rng(2)
+    for _ in range(3):
+        names = [f"s{i:02}" for i in range(12)]
+        weight, most = {s: float(rng.random()) for s in names}, {s: int(rng.integers(1, 60)) for s in names}
+        total = float(rng.integers(20, 400))
+        level, left, free = {}, total, set(names)
+        while free:  # clamp whoever goes over, share out again
+            over = {s for s in free if weight[s] / sum(weight[t] for t in free) * left >= most[s]}
+            if not over:
+                level |= {s: weight[s] / sum(weight[t] for t in free) * left for s in free}
+                break
+            level |= {s: most[s] for s in over}
+            left, free = left - sum(most[s] for s in over), free - over
+        assert fill(weight, most, total) == pytest.approx(level)
 
 
 def test_mix_reaches_its_plan(spark):
