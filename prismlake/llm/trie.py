@@ -84,10 +84,11 @@ def self_join(code: np.ndarray, roots: list[tuple[int, int]] | np.ndarray, budge
         stack.append((depth + 1, *(v[alive] for v in (alo, ahi, blo, bhi, acc))))
 
 
-def near_codes(codes: DataFrame, budget: int, n: int) -> DataFrame:
+def near_codes(codes: DataFrame, budget: int, n: int, tasks: int | None = None) -> DataFrame:
     """(code_a, code_b, bits) with code_a < code_b of the distinct, non-null codes(code) that differ in at most budget bits.
 
-    n: number of codes, from which the number of bands to fix is chosen, so that a subtrie keeps to some hundred codes.
+    n: number of codes, from which the number of bands to fix is chosen, so that a subtrie keeps to some hundred codes, and
+    the number of tasks unless it is given.
     An empty table gives an empty result; other columns are ignored.
     """
     exact = 1
@@ -128,5 +129,5 @@ def near_codes(codes: DataFrame, budget: int, n: int) -> DataFrame:
 
     rows = codes.select("code").select("code", F.explode(F.array(*keys)).alias("k")).select("code", F.col("k.c").alias("c"), F.col("k.key").alias("key"))
     # A task holds its subtries' codes in memory, so there are more tasks where there are more codes.
-    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * len(chosen) // TASK_CODES))
+    tasks = tasks or max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * len(chosen) // TASK_CODES))
     return rows.repartition(min(200_000, tasks), "c", "key").mapInArrow(run, "code_a bigint, code_b bigint, bits int")

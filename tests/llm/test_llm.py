@@ -45,7 +45,7 @@ def test_near_codes_on_spark(spark):
     code = np.unique(np.concatenate([base, base ^ 1, base ^ 0b1011, [0, -1, 1]]))
     df = spark.createDataFrame([(int(c), "x") for c in code], "code bigint, extra string")
     for n in (len(code), 1 << 40):  # few and many bands
-        got = {(r[0], r[1]) for r in near_codes(df, 3, n).collect()}
+        got = {(r[0], r[1]) for r in near_codes(df, 3, n, tasks=8).collect()}
         u = code.view(np.uint64)
         assert got == {tuple(sorted((int(code[i]), int(code[j])))) for i, j in brute_codes(u, 3)}
     assert near_codes(df.limit(0), 3, 0).count() == 0
