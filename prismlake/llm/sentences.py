@@ -1,9 +1,11 @@
 """Sentence boundaries across languages, scripts and layouts.
 
-Scripts with terminators: every terminator is a node of a lattice that is kept or passed over by what stands before it
-(abbreviation, initial, ordinal, decimal), after it (case, number, opening sign) and around it (quotation, bracket).
-Scripts without terminators: the text between blanks is read as a lattice of dictionary words; a gap is a boundary if
-the clause before it is complete by its words or final particle, and what follows opens a new one.
+Scripts with blanks between words: a paragraph is a lattice of its terminators, quotation marks and brackets. Evidence for
+and against each terminator (what stands before it: abbreviation, initial, ordinal, decimal; and after it: case, number,
+opening sign) is the cost of passing it over or of cutting there; a quotation or bracket that opens hides the terminators
+up to its close, and costs something if it is never closed or is taken for none. The path of least cost through all of it
+gives the sentences. Scripts without blanks: the text between gaps is read as a lattice of dictionary words; a gap is a
+boundary if the clause before it is complete by its words or final particle, and what follows opens a new one.
 Before that, the layout is resolved: caption, headings, page headers and signature are units of their own, and a page
 header that stands inside a sentence is taken out of it.
 """
@@ -17,7 +19,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from prismlake.llm import thai
+from prismlake.llm import cjk, thai
 
 # Abbreviations that never end a sentence, by language.
 NEVER = {
@@ -66,6 +68,7 @@ CLOSERS = "”“»」』\")]）’"
 OPENER = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』", '"': '"'}
 CASED = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿĀ-žЀ-ӿ]")
 THAI = re.compile(r"[฀-๿]")
+KANA = re.compile(r"[぀-ヿ]")
 OTHER = re.compile(r"[Ѐ-鿿]")
 SCRIPTS = [("th", re.compile(r"[฀-๿]+")), ("hi", re.compile(r"[ऀ-ॿ]+")), ("ar", re.compile(r"[؀-ۿ]+")), ("ru", re.compile(r"[Ѐ-ӿ]+")), ("zh", re.compile(r"[぀-鿿]+"))]
 
@@ -83,10 +86,15 @@ def script(text: str) -> str | None:
     return most if count[most] > len(text) * 0.2 else None
 
 
+def commonest(text: str) -> dict[str, int]:
+    """How often very common words of each language occur in a text in Latin letters."""
+    low = f" {text.lower()} "
+    return {name: sum(low.count(w) for w in words) for name, words in COMMON.items()}
+
+
 def latin(text: str) -> str:
     """The rules of a text in Latin letters, from its commonest words."""
-    low = f" {text.lower()} "
-    count = {name: sum(low.count(w) for w in words) for name, words in COMMON.items()}
+    count = commonest(text)
     return max(count, key=count.get)
 
 
@@ -96,9 +104,14 @@ def language(text: str) -> str:
 
 
 def paragraph_language(part: str, lang: str) -> str:
-    """Which rules a paragraph goes by in a text of rules lang: its own if it is plainly of another script."""
+    """Which rules a paragraph goes by in a text of rules lang: its own if it is plainly of another script or language."""
     if lang in COMMON:
-        return script(part) or lang
+        other = script(part)
+        if other:
+            return other
+        count = commonest(part)
+        own = max(count, key=count.get)
+        return own if count[own] >= 5 and count[own] > 3 * count[lang] else lang
     if part.isascii():
         return latin(part) if CASED.search(part) else lang
     own = dict(SCRIPTS)[lang]
@@ -192,38 +205,43 @@ def opens(text: str, at: int, end: int) -> bool:
     return c not in ",;:.)]}»”%/&=+"
 
 
-def is_boundary(text: str, start: int, p: int, q: int, at: int, end: int, lang: str) -> bool:
-    """Whether the terminator text[p:q] ends a sentence; at: the next sign that isn't a blank or a closing sign."""
+#: Evidence in nats: a terminator as such, a strong one, reasons against that outweigh it, and those that outweigh even strong ones.
+STOP, STRONG, AGAINST, NEVER_SO = 3.0, 3.0, -9.0, -20.0
+#: What it costs to take an opening sign for none, and to leave one open at the end of a paragraph.
+IGNORED, UNCLOSED = 4.0, 6.0
+
+
+def evidence(text: str, start: int, p: int, q: int, at: int, end: int, lang: str) -> float:
+    """How much speaks for a boundary after the terminator text[p:q]; at: the next sign that isn't a blank or a closing sign."""
     mark = text[q - 1]
     if mark in "。！？।؟":
-        return text[at] not in ",;:，、；：)）"
+        return STOP + STRONG + (NEVER_SO if text[at] in ",;:，、；：)）" else 0.0)
     if not opens(text, at, end):
-        return False
+        return NEVER_SO
     if mark in "!?":
-        return True
+        return STOP + STRONG
     if lang in ("zh", "hi") and not (at < end and text[at].isascii() and text[at].isalpha() and text[p - 1].isascii() and text[p - 1].islower()):
-        return False
+        return STOP + NEVER_SO
     if q - p > 1 or mark == "…":
-        return text[p - 1 : p] != "["
+        return STOP + (AGAINST if text[p - 1 : p] == "[" else 0.0)
     i = p
     while i > start and not text[i - 1].isspace() and text[i - 1] not in "([“„«\"'’/":
         i -= 1
     word = text[i:p]
     if not word:
-        return True
-    low = word.lower()
-    adjacent = at == q
-    if adjacent and (text[at].isdigit() or (len(word.rpartition(".")[2]) == 1 and text[at + 1 : at + 2] == ".")):
-        return False
-    if low in NEVER[lang]:
-        return False
+        return STOP
+    low, found = word.lower(), STOP
     after_digit = text[at].isdigit() or (text[at] in "([" and text[at + 1 : at + 2].isdigit())
+    if at == q and (text[at].isdigit() or (len(word.rpartition(".")[2]) == 1 and text[at + 1 : at + 2] == ".")):
+        return found + NEVER_SO
+    if low in NEVER[lang]:
+        return found + AGAINST
     if low in MAYBE[lang] and (len(word) > 1 or word == low):
-        return not after_digit
+        return found + (AGAINST if after_digit else 0.0)
     if len(word) == 1 and word.isalpha():
-        return word == "X" and lang not in ("ar", "th") and not after_digit
+        return found + (0.0 if word == "X" and lang not in ("ar", "th") and not after_digit else AGAINST)
     if re.fullmatch(r"(?:\w\.)+\w", word) and word[0].isalpha():
-        return lang not in ("ar", "th") and not after_digit
+        return found + (0.0 if lang not in ("ar", "th") and not after_digit else AGAINST)
     if word[-1].isdigit():
         if lang == "de" and word.isdigit():
             following = re.match(r"\w+", text[at:end])
@@ -234,46 +252,103 @@ def is_boundary(text: str, start: int, p: int, q: int, at: int, end: int, lang:
             while k > start and text[k - 1].isalpha():
                 k -= 1
             if (following and following.group().lower() in MONTHS) or text[k:j].lower() in BEFORE_ORDINAL:
-                return False
-        return not text[at].isdigit()
-    return True
+                found += AGAINST
+        return found + (AGAINST if text[at].isdigit() else 0.0)
+    return found
+
+
+def closing(text: str, p: int, at: int, end: int, lang: str) -> float:
+    """How much speaks for a boundary after the closing sign text[p] of a quotation that stands in no bracket."""
+    if lang in ("zh", "hi", "ar"):
+        return AGAINST
+    inside = text[p - 1 : p]
+    if inside not in ".!?…" and not (inside == " " and text[p - 2 : p - 1] in ".!?…"):
+        return AGAINST
+    return STOP if at < end and opens(text, at, end) else AGAINST
 
 
 def paragraph_starts(text: str, start: int, end: int, lang: str) -> list[int]:
-    """Starts of the sentences after the first in a paragraph text[start:end]."""
+    """Starts of the sentences after the first in a paragraph text[start:end]: the path of least cost through its lattice."""
     if lang == "th":
         return thai_starts(text, start, end)
-    out, close, depth = [], "", 0
+    # A state is the closing sign that is waited for, and the depth of brackets; it keeps its cost and its boundaries.
+    states: dict[tuple[str, int], tuple[float, tuple | None]] = {("", 0): (0.0, None)}
+
+    def cut(cost: float, path: tuple | None, at: int, found: float) -> tuple[float, tuple | None]:
+        """A node is cut or passed, whichever costs less: evidence that is ignored is what costs."""
+        return (cost + max(0.0, -found), (at, path)) if found > 0 else (cost + max(0.0, found), path)
+
     for m in TOKEN.finditer(text, start, end):
         p, q = m.span()
         c = text[p]
-        if close:
-            if c != close:
-                continue
-            close = ""
-            if depth or text[p - 1 : p] not in ".!?…" or lang in ("zh", "hi", "ar"):
-                if not (text[p - 2 : p - 1] in ".!?…" and text[p - 1 : p] == " "):
-                    continue
-                if depth or lang in ("zh", "hi", "ar"):
+        after: dict[tuple[str, int], tuple[float, tuple | None]] = {}
+        known: dict[str, tuple[int, float]] = {}
+
+        def reach(state: tuple[str, int], cost: float, path: tuple | None, after=after) -> None:
+            if state not in after or cost < after[state][0]:
+                after[state] = (cost, path)
+
+        for (close, depth), (cost, path) in states.items():
+            if close and c != close:
+                reach((close, depth), cost, path)
+            elif close:
+                if depth:
+                    reach(("", depth), cost, path)
                     continue
-            at = q
-            while at < end and (text[at].isspace() or text[at] in CLOSERS and text[at] != "“"):
-                at += 1
-            if at < end and opens(text, at, end):
-                out.append(at)
+                at = q
+                while at < end and (text[at].isspace() or text[at] in CLOSERS and text[at] != "“"):
+                    at += 1
+                reach(("", 0), *cut(cost, path, at, closing(text, p, at, end, lang)))
+            elif c in OPENER:
+                reach((OPENER[c], depth), cost, path)
+                reach(("", depth), cost + IGNORED, path)
+            elif c in "([（":
+                reach(("", depth + 1), cost, path)
+                reach(("", depth), cost + IGNORED, path)
+            elif c in ")]）":
+                reach(("", max(0, depth - 1)), cost, path)
+            elif c in "”»」』" or depth:
+                reach(("", depth), cost, path)
+            else:
+                if "node" not in known:
+                    at = q
+                    while at < end and (text[at].isspace() or (text[at] in CLOSERS and at == q and text[at] not in "“\"")):
+                        at += 1
+                    known["node"] = (at, evidence(text, start, p, q, at, end, lang) if at < end else AGAINST)
+                reach(("", 0), *cut(cost, path, *known["node"]))
+        if len(after) > BEAM:
+            after = dict(sorted(after.items(), key=lambda x: x[1][0])[:BEAM])
+        states = after
+    _, path = min(((cost + UNCLOSED * (bool(close) + depth), path) for (close, depth), (cost, path) in states.items()), key=lambda x: x[0])
+    out = []
+    while path:
+        out.append(path[0])
+        path = path[1]
+    out.reverse()
+    return sorted({*out, *cjk_starts(text, start, end)}) if lang in ("zh", "ja") else out
+
+
+#: States of a paragraph that are followed at once; more than this would need as many signs open within each other.
+BEAM = 64
+CJK_GAP = re.compile(r"[ \t\u3000]+")
+
+
+def cjk_starts(text: str, start: int, end: int) -> list[int]:
+    """Starts after gaps of a Chinese or Japanese paragraph that no terminator marks.
+
+    A blank (never a line end) is a boundary if the words before it end in a final particle, those after it begin with an
+    opening word, and none of them joins the two sides.
+    """
+    out = []
+    for gap in CJK_GAP.finditer(text, start, end):
+        a, b = gap.span()
+        if a <= start or b >= end or text[a - 1] in "。！？!?.…\n，、,;；:：（(「『“" or text[b] == "\n":
             continue
-        if c in OPENER:
-            close = OPENER[c]
-        elif c in "([（":
-            depth += 1
-        elif c in ")]）":
-            depth = max(0, depth - 1)
-        elif c not in "”»」』" and not depth:
-            at = q
-            while at < end and (text[at].isspace() or (text[at] in CLOSERS and at == q and text[at] not in "“\"")):
-                at += 1
-            if at < end and is_boundary(text, start, p, q, at, end, lang):
-                out.append(at)
+        lang = "ja" if KANA.search(text, max(start, a - 40), min(end, b + 40)) else "zh"
+        before = cjk.lattice(text[max(start, a - 8) : a].split("\n")[-1].rsplit(" ")[-1], lang)
+        after = cjk.lattice(text[b : min(end, b + 8)], lang)
+        if before and after and before[-1][1] == "final" and after[0][1] == "open":
+            out.append(b)
     return out
 
 
@@ -313,7 +388,8 @@ def starts(text: str) -> list[int]:
 
     # Paragraphs as runs of lines; a page header leaves the run open.
     runs: list[list[tuple[int, int]]] = []
-    open_, header, expected, style = False, False, 1, ""
+    open_, expected, style = False, 1, ""
+    last = max((j for j in range(n) if lines[j][2]), default=-1)
     for k in range(i, n):
         a, b, line = lines[k]
         if not line:
@@ -327,7 +403,7 @@ def starts(text: str) -> list[int]:
             units.add(first(a, b))
             open_ = "header" if open_ else False
             continue
-        if line in HEADINGS or SIGNED.match(line) and k == max(j for j in range(n) if lines[j][2]):
+        if line in HEADINGS or k == last and SIGNED.match(line):
             units.add(first(a, b))
             open_ = False
             continue
@@ -344,31 +420,25 @@ def starts(text: str) -> list[int]:
         else:
             runs.append([(a, b)])
         open_ = True
-    # One copy of the text in which everything but the run at hand is blank keeps all offsets.
     for run in runs:
-        a, b = run[0][0], run[-1][1]
-        if len(run) == 1 or all(x[1] + 1 == y[0] for x, y in zip(run, run[1:], strict=False)):
-            body = text
-        else:
-            body = list(text[:b])
-            for x, y in zip(run, run[1:], strict=False):
-                body[x[1] : y[0]] = "\n" * (y[0] - x[1])
-            body = "".join(body)
-        start = first(a, run[0][1])
-        end = b
-        while end > start and text[end - 1].isspace():
+        # The run by itself, with line ends where a header or an empty line parts it; offsets are those from its begin.
+        a, gaps = run[0][0], [y[0] - x[1] for x, y in zip(run, run[1:], strict=False)]
+        body = "".join(text[x:y] + "\n" * gap for (x, y), gap in zip(run, [*gaps, 0], strict=True))
+        start = first(a, run[0][1]) - a
+        end = len(body)
+        while end > start and body[end - 1].isspace():
             end -= 1
-        units.add(start)
+        units.add(a + start)
         m = NUMBER.match(body, start)
         inner = m.end() if m and m.end() < end and body[start : m.end()].strip() else start
-        units.update(s for s in paragraph_starts(body, inner, end, paragraph_language(body[start:end], lang)) if s < end)
+        units.update(a + s for s in paragraph_starts(body, inner, end, paragraph_language(body[start:end], lang)) if s < end)
     return sorted(units)
 
 
 def _ends(line: str, lang: str) -> bool:
     """Whether a line's last stop would end a sentence if a new one followed."""
     p = len(line) - 1
-    return is_boundary(line + " Xx", 0, p, p + 1, p + 2, p + 4, lang)
+    return evidence(line + " Xx", 0, p, p + 1, p + 2, p + 4, lang) > 0
 
 
 def sentences(documents: DataFrame) -> DataFrame:

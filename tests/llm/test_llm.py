@@ -357,6 +357,46 @@ def test_sentences_of_everyday_thai(text, parts):
     assert len(cut(text)) == parts, cut(text)
 
 
+def test_paragraphs_go_by_their_own_language():
+    english = "The vote of May 3. It was the end of that, and the owner of the house paid to see it."
+    german = "Am 3. Mai ist der Zeuge nicht in die Halle gekommen und das Gericht wird nach der Akte entscheiden. Das ist die Regel."
+    text = "\n\n".join([english.strip()] * 30 + [german] * 30)
+    assert len(cut(text)) == 119  # the first line stands where a caption does
+    assert len(cut("\n\n".join([german] * 30 + [english.strip()] * 30))) == 119
+
+
+@pytest.mark.parametrize(
+    "text, parts",
+    [
+        ("She wrote “It is late. We left. The shop was shut.", 3),  # a quotation that is never closed is none
+        ("He paid (see the list. Nobody minded. It was done.", 3),  # nor is a bracket
+        ("He paid (see the list. Nobody minded). It was done.", 2),
+        ("“Go. Now.” “Why? Where?” he asked. She left.", 3),
+        ("Das Buch heißt „Ende. Anfang.“ und liegt dort. Es regnet.", 2),
+        ("我昨天到家了 今天下雨", 2),
+        ("我买了苹果 香蕉 和 梨", 1),
+        ("昨日は雨が降りました しかし今日は晴れです", 2),
+        ("りんご バナナ と みかんを買った", 1),
+        ("Les chats dorment. Il pleut ! Où vas-tu ? Nulle part.", 4),
+        ("Кошка спит. Идёт дождь! Куда ты идёшь? Т. е. никуда.", 4),
+    ],
+)
+def test_lattices_of_texts_that_are_no_rulings(text, parts):
+    assert len(cut(text)) == parts, cut(text)
+
+
+def test_a_long_paragraph_takes_linear_time():
+    import time
+
+    took = []
+    for n in (2_000, 8_000):
+        text = "He said (it is “so. And so”) and left. " * n + "\nCourt | Page 2 of 3\n" + "more of it. " * n
+        began = time.perf_counter()
+        assert len(cut(text)) > n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
 def test_layout_of_a_document():
     text = "A v. B\nCourt\nAA 1/2\n\n\nREASONS\n\n1. The first one\nwraps here. It goes on over\nCourt | Page 2 of 3\nthe page. See fig.\n2.5 there.\n- 3 -\n\n\n2. Last.\n\nSigned: Me"
     got = [text[a : a + 8] for a in sentences.starts(text)]
