@@ -29,5 +29,18 @@ def softmax(v: Column) -> Column:
     return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
 
 
+def sigmoid(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
+def share_of(logits: Column, positive: list[int]) -> Column:
+    """The share of some positions in the softmax of logits."""
+    p = softmax(logits)
+    total = F.lit(0.0)
+    for i in positive:
+        total = total + p[i]
+    return total
+
+
 def literal(values: list[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])

@@ -266,11 +266,13 @@ def split_repeats(vectors: DataFrame, n: int, kept: int, on: tuple[str, ...] = (
     them is broadcast. Repeated rows of an id count once among them.
     """
     often = max(REPEATS, n // 100_000, kept)
+    once = cut(vectors.groupBy(F.xxhash64(*on).alias("_h")).agg(F.count("*").alias("c")).where(F.col("c") > often).select("_h"), "repeats")
+    if once.isEmpty():
+        return vectors.withColumn("weight", F.lit(1).cast("long")), None
     key = ["_h", "_g"]
     hashed = vectors.withColumns({"_h": F.xxhash64(*on), "_g": F.xxhash64(F.lit(7), *on)})
-    hot = cut(hashed.groupBy(*key).agg(F.count("*").alias("c")).where(F.col("c") > often).select(*key), "repeats")
-    if hot.isEmpty():
-        return vectors.withColumn("weight", F.lit(1).cast("long")), None
+    hot = hashed.join(F.broadcast(once), "_h", "left_semi").groupBy(*key).agg(F.count("*").alias("c")).where(F.col("c") > often)
+    hot = cut(hot.select(*key), "repeats-both")
     few = hashed.join(F.broadcast(hot), key, "left_anti").drop(*key).withColumn("weight", F.lit(1).cast("long"))
     many = hashed.join(F.broadcast(hot), key)
     ids = many.select(*key, "id").distinct()

@@ -44,8 +44,10 @@ def write_tsv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("sep", "\t").csv(path)
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(path, group, size, sha256) of a manifest's files."""
+def read_manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(path, group, size, sha256) of a manifest's files: one object that lists them all, or one a line."""
+    if lines:
+        return spark.read.schema("path string, `group` string, size bigint, sha256 string").json(path)
     schema = "files array<struct<path: string, `group`: string, size: bigint, sha256: string>>"
     return spark.read.schema(schema).json(path, multiLine=True).select(F.explode("files").alias("f")).select("f.*")
 
@@ -103,17 +105,35 @@ def fingerprint(path: str) -> str:
     return f"{s.st_size}-{int(s.st_mtime)}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def cached(spark: SparkSession, folder: str, parts: list[str], build) -> DataFrame:
-    """The table built for these parts, from the folder if it is there under their hash; other parts are a miss."""
+    """The table built for these parts, from the folder if it is there whole under their hash; other parts are a miss.
+
+    A table that is there but can't be read is an error, not a miss.
+    """
     key = hashlib.sha256("\0".join(parts).encode()).hexdigest()
     path = f"{folder.rstrip('/')}/{key}"
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001
+    if not exists(spark, f"{path}/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)
+
+
+def write_manifest(rows: DataFrame, path: str) -> None:
+    """rows(path, size, sha256, group) as JSON, one file a line."""
+    rows.write.mode("overwrite").json(path)
 
 
 def export_faces(face: DataFrame, path: str) -> None:
     """Faces as a table, with their vectors as bytes."""
     face.write.mode("overwrite").parquet(path)
+
+
+def export_all(tables: dict[str, DataFrame], path: str) -> None:
+    """Each of faces, rejections, media and persons below a folder: faces as parquet, the rest as tab-separated text."""
+    for name, rows in tables.items():
+        where = f"{path.rstrip('/')}/{name}"
+        export_faces(rows, where) if name == "faces" else write_tsv(rows, where)
