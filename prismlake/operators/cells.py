@@ -26,7 +26,7 @@ MAX_CELLS = 8_192
 #: A cell expected to hold more rows than this, or to be visited by more, is compared tile by tile.
 BLOCK_ROWS = 32_768
 #: Bytes of placed vectors that a task should get.
-TASK_BYTES = 24 << 20
+TASK_BYTES = 4 << 20
 #: A vector that more rows than this (and than 1/100,000 of all) have is compared once; see split_repeats.
 REPEATS = 1_024
 
@@ -249,9 +249,10 @@ def visit(vectors: DataFrame, pivots: Pivots, least: float, spread: float, keep:
 
 
 def tiled(placed: DataFrame, pivots: Pivots, row_bytes: int):
-    """Placed rows grouped by tile. Tiles go to about three times as many tasks, so that few share one; more if rows are many."""
+    """Placed rows grouped by tile, in about three times as many tasks as tiles, so that few share one; in fewer if tiles are small."""
     if pivots.tiles > 2:
-        placed = placed.repartition(int(min(200_000, max(3 * pivots.tiles, np.ceil(pivots.rows * row_bytes / TASK_BYTES)))), "cell", "block", "tile")
+        least = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        placed = placed.repartition(int(min(200_000, 3 * pivots.tiles, max(least, np.ceil(pivots.rows * row_bytes / TASK_BYTES)))), "cell", "block", "tile")
     return placed.groupBy("cell", "block", "tile")
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismlake.tables import cut
+from prismlake.tables import cut, discard
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,7 +56,8 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = cut(small.where("a <> b").distinct(), "components")
+        old, now = now, cut(small.where("a <> b").distinct(), "components")
+        discard(old)
         after = _state(now)
         if after == before:
             break

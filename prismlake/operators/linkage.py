@@ -16,7 +16,7 @@ from prismlake.functions.vectors import dot
 from prismlake.operators.components import components
 from prismlake.operators.people import centroids
 from prismlake.operators.similarity import neighbours
-from prismlake.tables import cut, is_small
+from prismlake.tables import cut, discard, is_small
 
 
 #: A connected set of up to so many rows is linked in one task; larger ones by rounds of joins.
@@ -189,11 +189,13 @@ def _rounds(rows: DataFrame, edges: DataFrame, least: float, penalty: float, ban
         joined = moved(groups, "g")
         # At most two rows of a group: its own and the one that joins it.
         add = F.when(F.count("*") == 1, F.min_by("vec", "size")).otherwise(F.zip_with(F.min_by("vec", F.struct("size", "vec")), F.max_by("vec", F.struct("size", "vec")), lambda x, y: x + y))
+        old = groups, media, never, near, scored
         groups = cut(joined.groupBy("g").agg(add.alias("vec"), F.sum("size").alias("size"), F.max("anchor").alias("anchor")), "rounds-groups")
         media = cut(moved(media, "g").groupBy("g", "mediaId").agg(F.sum("c").alias("c")), "rounds-media")
         never = cut(moved(never, "g").distinct(), "rounds-never")
         near = moved(moved(near, "a"), "b")
         near = cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "rounds-near")
+        discard(*old)
 
 
 def centroid_sums(vectors: DataFrame, key: str, rows: DataFrame) -> DataFrame:

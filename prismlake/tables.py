@@ -35,7 +35,18 @@ def cut(df: DataFrame, name: str = "cut", partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._cut_path = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables written by cut() that no pending plan reads any more; other frames are left alone."""
+    for table_ in tables:
+        path = getattr(table_, "_cut_path", None)
+        if path:
+            where = table_.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(table_.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def latest(df: DataFrame, key: str, stamp: str | None = None) -> DataFrame:
