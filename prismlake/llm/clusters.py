@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from prismlake.operators.cells import fit, from_halves, lists, matrix, place, split_repeats, tiled, unit, visit
 from prismlake.operators.components import components
-from prismlake.tables import cut
+from prismlake.tables import cut, discard
 
 CELL_ROWS = 16_384
 #: Leaves of a branch at most, and branches a vector goes down.
@@ -243,7 +243,7 @@ def clusters(vectors: DataFrame, n: int, dim: int, least: float = 0.57, smallest
     columns = "cell int, block int, id bigint, leaf bigint, count bigint, vec array<float>"
     grown = cut(tiled(placed, pivots, 2 * dim + 40).applyInArrow(grow, columns), "clusters-leaves")
     summaries = grown.where("count > 0").select("cell", "block", "leaf", "count", "vec")
-    moved = []
+    moved, levels = [], []
     level, width = 0, int(pivots.blocks.max())
 
     def merge(group: pa.Table) -> pa.Table:
@@ -257,6 +257,7 @@ def clusters(vectors: DataFrame, n: int, dim: int, least: float = 0.57, smallest
     while width > 1:
         pairs = summaries.withColumn("block", F.shiftright("block", 1))
         merged = cut(pairs.groupBy("cell", "block").applyInArrow(merge, "cell int, block int, leaf bigint, `into` bigint, count bigint, vec array<float>"), f"clusters-level-{level}")
+        levels.append(merged)
         moved.append(merged.where("leaf <> into").select(F.col("leaf").alias("a"), F.col("into").alias("b")))
         summaries = merged.where("count > 0").select("cell", "block", "leaf", "count", "vec")
         level, width = level + 1, -(-width // 2)
@@ -269,7 +270,7 @@ def clusters(vectors: DataFrame, n: int, dim: int, least: float = 0.57, smallest
 
     # Leaves of several vectors look far for their like; single vectors, mostly strays, are found by those or by the last pass.
     length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))) / F.col("count")
-    sized = cut(summaries.select(F.col("leaf").alias("id"), "count", "vec", length.alias("length")), "clusters-summaries")
+    sized = summaries.select(F.col("leaf").alias("id"), "count", "vec", length.alias("length"))
     fewer = pivots.share(min(1.0, sized.count() / max(n, 1)))
     many, single = (place(sized.where("count > 1" if several else "count = 1"), fewer, near, spread, keep=["count", "length"], half=True) for several, near, spread in MEET)
     links = tiled(many.unionByName(single), fewer, 2 * dim + 60).applyInArrow(meet, "a bigint, b bigint")
@@ -287,6 +288,7 @@ def clusters(vectors: DataFrame, n: int, dim: int, least: float = 0.57, smallest
     sums = sums.withColumn("part", F.lit(0)).groupBy("cluster", "part").applyInArrow(add, "cluster bigint, part int, count bigint, vec array<float>")
     centres = sums.select(F.col("cluster").alias("id"), "count", "vec").unionByName(totals.where("not several and count >= 2").select(F.col("cluster").alias("id"), "count", "vec"))
     centres = cut(centres, "clusters-centres")
+    discard(grown, joined, *levels)
 
     def assign(group: pa.Table) -> pa.Table:
         what, key, count = (group.column(c).to_numpy() for c in ("what", "id", "count"))
