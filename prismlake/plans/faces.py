@@ -207,6 +207,13 @@ select *, case when ao + an - i > 0 then i / (ao + an - i) else 0 end as iou fro
     "knn_assign": sql("select id, pid as personId from won", KNN.format(cand="cand")),
     "knn_rejected": sql("select id, pid as personId from won", KNN.format(cand="cand").replace("ranked as (select *,", "two as (select id, pid from (select *, row_number() over (partition by id order by score desc, pid) as rn from top3 where id % 3 > 0) where rn <= id % 3), ranked as (select *,").replace("as second from top3)", "as second from top3 where (id, pid) not in (select (id, pid) from two))")),
     "faces_by_weight": sql("select id, row_number() over (order by locked, weight desc, id) - 1 as pos from (select f.id, f.lockedPersonId is null as locked, sqrt(greatest(0, (f.boxRight - f.boxLeft)::double * case when v.width > 0 then v.width else 1 end * (f.boxBottom - f.boxTop)::double * case when v.height > 0 then v.height else 1 end)) * f.score as weight from f join visible v on v.id = f.mediaId where not f.isArtifact and f.embedVersion = 2 and f.score is not null)"),
+    "box_suppress": sql("select mediaId, unnest(kept) as id from (select mediaId, kept, row_number() over (partition by mediaId order by n desc) as r from walk) where r = 1", """
+b as (select mediaId, id, row_number() over (partition by mediaId order by score desc, id) as n, boxLeft::double as l, boxTop::double as t, boxRight::double as r, boxBottom::double as d from f where boxRight > boxLeft and boxBottom > boxTop and score is not null),
+ov as (select x.mediaId, x.n, coalesce(list(y.id) filter (where greatest(0, least(x.r, y.r) - greatest(x.l, y.l)) * greatest(0, least(x.d, y.d) - greatest(x.t, y.t)) > 0.3::double * ((x.r - x.l) * (x.d - x.t) + (y.r - y.l) * (y.d - y.t) - greatest(0, least(x.r, y.r) - greatest(x.l, y.l)) * greatest(0, least(x.d, y.d) - greatest(x.t, y.t)))), []) as over
+  from b x left join b y on y.mediaId = x.mediaId and y.n < x.n group by x.mediaId, x.n),
+walk(mediaId, n, kept) as (select mediaId, n, [id] from b where n = 1 union all
+  select b.mediaId, b.n, case when list_has_any(walk.kept, ov.over) then walk.kept else list_append(walk.kept, b.id) end
+  from walk join b on b.mediaId = walk.mediaId and b.n = walk.n + 1 join ov on ov.mediaId = b.mediaId and ov.n = b.n)""", recursive=True),
     "knn_self_check": sql("select case when won.pid is null then 'none' when won.pid = ex.pid then 'right' else 'wrong' end as outcome, count(*) as faces from ex left join won on won.id = ex.id group by 1", KNN.format(cand="ex")),
     "artifact_filter": sql("select id from (select x.id, list_dot_product(x.v, y.v) / x.nm / y.nm as s, row_number() over (partition by x.id order by list_dot_product(x.v, y.v) / x.nm / y.nm desc) as rn from fv x join fv y on y.isArtifact and not x.isArtifact and x.lockedPersonId is null) where rn <= 3 group by id having avg(s) >= 0.15::double"),
     "centroid_by_person": sql("select personId, n, round(max(case when i = 1 then s end) / sqrt(sum(s * s)), 6) as c1, round(max(case when i = 128 then s end) / sqrt(sum(s * s)), 6) as c128 from (select personId, i, sum(v[i] / nm) as s, count(*) as n from fv, range(1, 129) q(i) where personId is not null and not isArtifact group by 1, 2) group by personId, n"),
