@@ -122,7 +122,8 @@ def copies(rows: DataFrame, dim: int, bits: int = 6, with_hash: float = 0.95, wi
 
     # Rows of a code that very many have are cut into parts, and its pairs into pairs of parts: no key of a join is large.
     part_of = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    ids = narrow.where(detailed).join(codes.select(F.col("code").alias("hash"), F.ceil((F.col("n_good") + F.col("n_bad")) / TILE_ROWS).alias("parts")), "hash")
+    large = cut(codes.where(F.col("n_good") + F.col("n_bad") > TILE_ROWS).select(F.col("code").alias("hash"), F.ceil((F.col("n_good") + F.col("n_bad")) / TILE_ROWS).alias("parts")), "copies-large")
+    ids = narrow.where(detailed).join(large, "hash", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     left, right = (ids.select(F.col("hash").alias(f"code_{s}"), part_of(F.col("parts")).alias(f"part_{s}"), F.col("id").alias(f"id_{s}"), F.col("good").alias(f"g_{s}")) for s in "ab")
 
     def met(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
