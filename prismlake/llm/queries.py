@@ -53,21 +53,35 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors(members, analysis, media)
 
 
-def p2_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values of each group's fields judged true; a value's source is the pass that measured it, or the kind of file."""
-    members = _members(spark, sf_dir)
+def _claims(spark: SparkSession, sf_dir: str, members: DataFrame) -> DataFrame:
+    """(subject, field, value, source, media_id): what each member of a group says; a value's source is the pass that measured it, or the kind of file."""
     analysis = latest(table(spark, sf_dir, "media_analysis").select("mediaId", "sourceModified", "sharpness", "brightness", "qualityVersion"), "mediaId", "sourceModified")
     media = latest(table(spark, sf_dir, "media").select("id", "dateTaken", "dateModified", "mimeType"), "id", "dateModified")
     rows = members.join(analysis.withColumnRenamed("mediaId", "media_id"), "media_id").join(media.withColumnRenamed("id", "media_id"), "media_id")
     known = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.col(c) >= 0)
     measure = F.concat(F.lit("quality "), F.col("qualityVersion"))
     claim = lambda field, value, source, ok: F.when(ok, F.struct(F.lit(field).alias("field"), value.cast("string").alias("value"), source.alias("source")))
-    claims = rows.select(F.col("group_id").alias("subject"), F.explode(F.array_compact(F.array(
+    return rows.select(F.col("group_id").alias("subject"), "media_id", F.explode(F.array_compact(F.array(
         claim("sharpness", F.round(F.log1p("sharpness"), 1), measure, known("sharpness") & (F.col("qualityVersion") > 0)),
         claim("brightness", F.round("brightness", 2), measure, known("brightness") & (F.col("brightness") <= 1) & (F.col("qualityVersion") > 0)),
         claim("dateTaken", F.to_date("dateTaken"), F.coalesce("mimeType", F.lit("none")), F.col("dateTaken") <= F.col("dateModified")),
-    ))).alias("c")).select("subject", "c.*")
-    return truths(claims).select(F.col("subject").alias("group_id"), "field", "value", F.round("belief", 6).alias("belief"), "kept")
+    ))).alias("c")).select("subject", "media_id", "c.*")
+
+
+def p2_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of each group's fields with the belief that they are true."""
+    found = truths(_claims(spark, sf_dir, _members(spark, sf_dir)).drop("media_id"))
+    return found.select(F.col("subject").alias("group_id"), "field", "value", F.round("belief", 6).alias("belief"), "kept")
+
+
+def p2_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By field: survivors of p2_found, those whose value the truth model keeps, and those whose value it believes in most."""
+    claims = cut(_claims(spark, sf_dir, _members(spark, sf_dir)), "p2-claims")
+    found = cut(truths(claims.drop("media_id")), "p2-truths")
+    top = found.groupBy("subject", "field").agg(F.max("belief").alias("top"))
+    kept = p2_found(spark, sf_dir).select(F.col("group_id").alias("subject"), "field", "media_id").join(claims.drop("source"), ["subject", "field", "media_id"])
+    rated = kept.join(found, ["subject", "field", "value"]).join(top, ["subject", "field"])
+    return rated.groupBy("field").agg(F.count("*").alias("survivors"), F.count(F.when(F.col("kept"), 1)).alias("kept"), F.count(F.when(F.col("belief") >= F.col("top") - 1e-9, 1)).alias("first"))
 
 
 def _clusters(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -145,7 +159,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(table(spark, sf_dir, "documents")).select("doc_id", "start_pos")
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_truth": p2_truth, "p4_found": p4_found, "p4_summary": p4_summary, "p5_found": p5_found, "p5_passages": p5_passages, "p5_documents": p5_documents, "p6_found": p6_found, "p7_found": p7_found, "p7_clean": p7_clean, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_truth": p2_truth, "p2_agreement": p2_agreement, "p4_found": p4_found, "p4_summary": p4_summary, "p5_found": p5_found, "p5_passages": p5_passages, "p5_documents": p5_documents, "p6_found": p6_found, "p7_found": p7_found, "p7_clean": p7_clean, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
 
 PAIRS_SQL = VECTORS_SQL.format(more="sharpness, brightness, qualityVersion") + """,
 good as (select * from media_vec where nm > 1e-12),
@@ -192,6 +206,15 @@ item as (select item_id, regexp_extract_all(lower(regexp_replace(text, '[-\x{201
 dg as (select doc_id, array_to_string(list_slice(w, i, i + 11), ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 10)) as i from doc)),
 ig as (select item_id, array_to_string(list_slice(w, i, i + 11), ' ') as g from (select item_id, w, unnest(range(1, len(w) - 10)) as i from item))
 select distinct doc_id, item_id from dg join ig using (g)
+""",
+    "p4_found": "with recursive " + VECTORS_SQL.format(more="1 as one") + """,
+v as (select 'media' as kind, id, v, nm from media_vec where nm > 1e-12 union all select 'face', id, v, nm from face_vec where nm > 1e-12),
+edge as (select x.kind, x.id as a, y.id as b from v x join v y on x.kind = y.kind and x.id <> y.id where list_dot_product(x.v, y.v) / x.nm / y.nm >= 0.65),
+reach(kind, a, b) as (select kind, a, b from edge union select r.kind, r.a, e.b from reach r join edge e on e.kind = r.kind and e.a = r.b),
+part as (select kind, a as id, least(a, min(b)) as c from reach group by kind, a),
+mean as (select x.kind, x.id, p.c, avg(list_dot_product(x.v, y.v) / x.nm / y.nm) as m from v x join part p on p.kind = x.kind and p.id <> x.id join v y on y.kind = p.kind and y.id = p.id group by x.kind, x.id, p.c),
+best as (select * from (select *, row_number() over (partition by kind, id order by m desc, c) as rn from mean) where rn = 1 and m >= 0.57)
+select kind, min(id) over (partition by kind, c) as cluster_id, id as member_id from best qualify count(*) over (partition by kind, c) >= 5
 """,
     "p7_clean": r"""
 with doc as (select doc_id, text, regexp_extract_all(text, '[\p{L}\p{N}]+(?:[-\x{2010}][ \t]*\r?\n[ \t]*[\p{L}\p{N}]+)*') as w from documents where text is not null),

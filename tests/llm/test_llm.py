@@ -131,6 +131,33 @@ def test_truth_model_trusts_the_better_source(spark):
     assert truths(spark.createDataFrame([], "subject bigint, field string, value string, source string")).count() == 0
 
 
+def test_truth_model_equals_expectation_maximisation_by_hand(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for subject in range(60):
+        for source, says, lies in (("a", 0.9, 0.05), ("b", 0.7, 0.3), ("c", 0.5, 0.5)):
+            rows += [(subject, "f", f"v{k}", source) for k in range(3) if rng.random() < (says if k < 2 else lies)]
+    votes = {}
+    for s, _, v, src in rows:
+        votes.setdefault((s, v), set()).add(src)
+    speak = {s: {src for t, _, _, src in rows if t == s} for s in range(60)}
+    belief = {k: len(by) / len(speak[k[0]]) for k, by in votes.items()}
+    for _ in range(8):
+        sens, spec = {}, {}
+        for src in "abc":
+            mine = [k for k in votes if src in speak[k[0]]]
+            said = lambda k, yes: (src in votes[k]) == yes  # noqa: B023, E731
+            mass = lambda yes, true: sum(belief[k] if true else 1 - belief[k] for k in mine if said(k, yes))  # noqa: B023, E731
+            sens[src] = (mass(True, True) + 5) / (mass(True, True) + mass(False, True) + 10)
+            spec[src] = (mass(False, False) + 9) / (mass(True, False) + mass(False, False) + 10)
+        belief = {k: 1 / (1 + np.exp(-sum(np.log(sens[x] / (1 - spec[x])) if x in by else np.log((1 - sens[x]) / spec[x]) for x in speak[k[0]]))) for k, by in votes.items()}
+    got = {(r["subject"], r["value"]): r["belief"] for r in truths(spark.createDataFrame(rows, "subject bigint, field string, value string, source string")).collect()}
+    assert got == pytest.approx(belief, abs=1e-9)
+    # A field may have several true values: both that the good source asserts are kept, what it denies isn't.
+    kept = lambda test: np.mean([belief[k] >= 0.5 for k in votes if test(k)])
+    assert kept(lambda k: k[1] != "v2" and "a" in votes[k]) > 0.7 and kept(lambda k: k[1] == "v2" and "a" not in votes[k]) < 0.2
+
+
 # --- 4
 
 
