@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+
 import regex
 
+# Fixed value: how the pair tokenizer parts a text into words.
 WORDS = regex.compile(r"<\|startoftext\|>|<\|endoftext\|>|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
@@ -26,19 +29,34 @@ class PairTokenizer:
         self.known: dict[str, list[str]] = {}
 
     def merge(self, word: str) -> list[str]:
-        if word not in self.known:
-            parts = [*word[:-1], word[-1] + "</w>"]
-            while len(parts) > 1:
-                rank, at = min((self.ranks.get(p, 1 << 30), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
-                if rank == 1 << 30:
-                    break
-                pair, out, i = (parts[at], parts[at + 1]), [], 0
-                while i < len(parts):
-                    both = i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair
-                    out.append(parts[i] + parts[i + 1] if both else parts[i])
-                    i += 2 if both else 1
-                parts = out
-            self.known[word] = parts
+        """The pieces of a word: neighbours joined by rising rank, from the left among equal ones.
+
+        Pieces are a chain of positions; a heap holds the ranked pairs, and those of pieces that have changed are passed by.
+        """
+        if word in self.known:
+            return self.known[word]
+        piece = [*word[:-1], word[-1] + "</w>"]
+        after, before = [*range(1, len(piece)), -1], [-1, *range(len(piece) - 1)]
+        heap: list[tuple[int, int, str, str]] = []
+
+        def offer(i: int) -> None:
+            if i >= 0 and after[i] >= 0 and (rank := self.ranks.get((piece[i], piece[after[i]]))) is not None:
+                heapq.heappush(heap, (rank, i, piece[i], piece[after[i]]))
+
+        for i in range(len(piece)):
+            offer(i)
+        while heap:
+            _, i, left, right = heapq.heappop(heap)
+            j = after[i]
+            if piece[i] != left or j < 0 or piece[j] != right:
+                continue
+            piece[i], piece[j] = left + right, ""
+            after[i] = after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            offer(before[i])
+            offer(i)
+        self.known[word] = [p for p in piece if p]
         return self.known[word]
 
     def encode(self, text: str) -> tuple[list[int], list[int]]:

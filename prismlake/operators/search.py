@@ -50,45 +50,43 @@ class Query:
     words: tuple[tuple[str, str], ...] = field(default=())
 
 
-def is_form(word: str, name: str) -> bool:
-    """Whether a word is some case of a name: its stem and a case ending."""
-    stem = name[:-1] if name[-1] in VOWELS else name
-    return len(stem) >= 2 and word.startswith(stem) and word[len(stem) :] in ENDINGS
-
-
-def _named(word: str, names) -> object | None:
-    if len(word) >= 3:
-        for key, name in names:
-            if any(word == p or is_form(word, p) for p in re.split(r"[ -]", name.lower()) if len(p) >= 3):
-                return key, name
-    return None
+def forms(name: str) -> set[str]:
+    """The words of a name (of three letters at least) in all cases: as they are, and their stems with every ending."""
+    out = set()
+    for word in re.split(r"[ -]", name.lower()):
+        if len(word) >= 3:
+            stem = word[:-1] if word[-1] in VOWELS else word
+            out |= {word} | ({stem + e for e in ENDINGS} if len(stem) >= 2 else set())
+    return out
+
+
+def vocabulary(people: dict[int, str], places: list[tuple[str, set[int]]]) -> dict[str, tuple[str, object]]:
+    """form -> (kind, value) of all that a query may name; of a form with several meanings the first kind, then name, counts."""
+    table: dict[str, tuple[str, object]] = {form: ("months", months) for form, months in MONTH_OF.items()}
+    for kind, named in (("person", people.items()), ("place", [(frozenset(ids), name) for name, ids in places])):
+        for value, name in named:
+            for form in forms(name):
+                if len(form) >= 3:
+                    table.setdefault(form, (kind, value))
+    return table
 
 
 def parse(query: str, people: dict[int, str] | None = None, places: list[tuple[str, set[int]]] | None = None, ignored: frozenset[str] | set[str] = frozenset(), this_year: int | None = None) -> Query:
     """Years, months, people and places out of a query; the rest stays text.
 
-    Each word is tried as a year (1990 to next year), months, a person, a place. Ignored words stay text, and a
+    A word is a year (1990 to next year), months, a person or a place, in this order. Ignored words stay text, and a
     preposition right before a recognised word goes with it. Of several years the first counts.
     """
-    last_year = (this_year or date.today().year) + 1
-    words, seen = query.split(), []
-    for raw in words:
-        word, found = raw.strip(",.!?;:"), None
-        low = word.lower()
-        if low not in ignored:
-            if (m := YEAR.fullmatch(word)) and 1990 <= int(m[1]) <= last_year:
-                found = ("year", int(m[1]))
-            elif low in MONTH_OF:
-                found = ("months", MONTH_OF[low])
-            elif hit := _named(low, (people or {}).items()):
-                found = ("person", hit[0])
-            elif hit := _named(low, [(frozenset(ids), name) for name, ids in places or []]):
-                found = ("place", hit[0])
-        seen.append(found)
-    keep = [w for i, w in enumerate(words) if seen[i] is None and not (i + 1 < len(words) and seen[i + 1] is not None and w.lower() in PREPOSITIONS)]
-    of = lambda kind: [f[1] for f in seen if f and f[0] == kind]
-    years = of("year")
-    return Query(" ".join(keep), tuple(dict.fromkeys(of("person"))), years[0] if years else None, frozenset(m for ms in of("months") for m in ms), frozenset(c for cs in of("place") for c in cs), tuple((w, f[0]) for w, f in zip(words, seen, strict=True) if f))
+    now = this_year or date.today().year
+    table = vocabulary(people or {}, places or [])
+    words = query.split()
+    bare = [w.strip(",.!?;:") for w in words]
+    year = [int(m[1]) if (m := YEAR.fullmatch(w)) and 1990 <= int(m[1]) <= now + 1 else None for w in bare]
+    seen = [None if w.lower() in ignored else ("year", y) if y else table.get(w.lower()) for w, y in zip(bare, year, strict=True)]
+    ahead = [*seen[1:], None][: len(seen)]
+    text = " ".join(w for w, own, then in zip(words, seen, ahead, strict=True) if own is None and not (then and w.lower() in PREPOSITIONS))
+    of = lambda kind: [s[1] for s in seen if s and s[0] == kind]
+    return Query(text, tuple(dict.fromkeys(of("person"))), next(iter(of("year")), None), frozenset(m for ms in of("months") for m in ms), frozenset(c for cs in of("place") for c in cs), tuple((w, s[0]) for w, s in zip(words, seen, strict=True) if s))
 
 
 def full_text(texts: DataFrame, query: str, most: int = CONF.text_limit) -> DataFrame:
