@@ -52,6 +52,9 @@ COMMON = {
     "fr": (" le ", " les ", " des ", " du ", " est ", " la ", " une ", " il "),
     "es": (" el ", " los ", " del ", " que ", " por ", " la ", " una ", " se "),
 }
+EVERY = tuple(dict.fromkeys(w for words in COMMON.values() for w in words))
+#: So many very common words tell a paragraph's language.
+TELLING = 5
 # Months, and words before an ordinal number, in German.
 MONTHS = frozenset("januar februar märz april mai juni juli august september oktober november dezember".split())
 BEFORE_ORDINAL = frozenset("im am vom zum beim der die das dem den des ein eine einem einen einer und bis ab seit nach vor".split())
@@ -86,32 +89,51 @@ def script(text: str) -> str | None:
     return most if count[most] > len(text) * 0.2 else None
 
 
-def commonest(text: str) -> dict[str, int]:
-    """How often very common words of each language occur in a text in Latin letters."""
+def occurrences(text: str) -> dict[str, int]:
+    """How often each very common word occurs in a text in Latin letters."""
     low = f" {text.lower()} "
-    return {name: sum(low.count(w) for w in words) for name, words in COMMON.items()}
+    return {w: low.count(w) for w in EVERY}
+
+
+def commonest(count: dict[str, int]) -> dict[str, int]:
+    """The same by language."""
+    return {name: sum([count[w] for w in words]) for name, words in COMMON.items()}
 
 
 def latin(text: str) -> str:
     """The rules of a text in Latin letters, from its commonest words."""
-    count = commonest(text)
-    return max(count, key=count.get)
+    by = commonest(occurrences(text))
+    return max(by, key=by.get)
+
 
+def language(text: str) -> tuple[str, bool]:
+    """Which rules a text goes by, from the scripts and commonest words of all of it, and whether paragraphs may differ.
+
+    They may if words of a second language that aren't the first one's too are common enough to tell a paragraph by.
+    """
+    other = script(text)
+    if other:
+        return other, False
+    count = occurrences(text)
+    by = commonest(count)
+    lang = max(by, key=by.get)
+    return lang, any(sum([count[w] for w in words if w not in COMMON[lang]]) >= TELLING for words in COMMON.values())
 
-def language(text: str) -> str:
-    """Which rules a text goes by, from the scripts and commonest words of all of it."""
-    return script(text) or latin(text)
 
+def paragraph_language(part: str, lang: str, mixed: bool = True) -> str:
+    """Which rules a paragraph goes by in a text of rules lang: its own if it is plainly of another script or language.
 
-def paragraph_language(part: str, lang: str) -> str:
-    """Which rules a paragraph goes by in a text of rules lang: its own if it is plainly of another script or language."""
+    mixed: whether the text has enough common words of a second language for a paragraph of it.
+    """
     if lang in COMMON:
         other = script(part)
         if other:
             return other
-        count = commonest(part)
+        if not mixed:
+            return lang
+        count = commonest(occurrences(part))
         own = max(count, key=count.get)
-        return own if count[own] >= 5 and count[own] > 3 * count[lang] else lang
+        return own if count[own] >= TELLING and count[own] > 3 * count[lang] else lang
     if part.isascii():
         return latin(part) if CASED.search(part) else lang
     own = dict(SCRIPTS)[lang]
@@ -272,60 +294,77 @@ def paragraph_starts(text: str, start: int, end: int, lang: str) -> list[int]:
     if lang == "th":
         return thai_starts(text, start, end)
     # A state is the closing sign that is waited for, and the depth of brackets; it keeps its cost and its boundaries.
-    states: dict[tuple[str, int], tuple[float, tuple | None]] = {("", 0): (0.0, None)}
-
-    def cut(cost: float, path: tuple | None, at: int, found: float) -> tuple[float, tuple | None]:
-        """A node is cut or passed, whichever costs less: evidence that is ignored is what costs."""
-        return (cost + max(0.0, -found), (at, path)) if found > 0 else (cost + max(0.0, found), path)
-
+    # While nothing is open there is but one, whose cost doesn't matter.
+    path: tuple | None = None
+    states: dict[tuple[str, int], tuple[float, tuple | None]] = {}
     for m in TOKEN.finditer(text, start, end):
         p, q = m.span()
         c = text[p]
-        after: dict[tuple[str, int], tuple[float, tuple | None]] = {}
-        known: dict[str, tuple[int, float]] = {}
-
-        def reach(state: tuple[str, int], cost: float, path: tuple | None, after=after) -> None:
-            if state not in after or cost < after[state][0]:
-                after[state] = (cost, path)
-
-        for (close, depth), (cost, path) in states.items():
-            if close and c != close:
-                reach((close, depth), cost, path)
-            elif close:
-                if depth:
-                    reach(("", depth), cost, path)
-                    continue
-                at = q
-                while at < end and (text[at].isspace() or text[at] in CLOSERS and text[at] != "“"):
-                    at += 1
-                reach(("", 0), *cut(cost, path, at, closing(text, p, at, end, lang)))
-            elif c in OPENER:
-                reach((OPENER[c], depth), cost, path)
-                reach(("", depth), cost + IGNORED, path)
+        if not states:
+            if c in OPENER:
+                states = {(OPENER[c], 0): (0.0, path), ("", 0): (IGNORED, path)}
             elif c in "([（":
-                reach(("", depth + 1), cost, path)
-                reach(("", depth), cost + IGNORED, path)
-            elif c in ")]）":
-                reach(("", max(0, depth - 1)), cost, path)
-            elif c in "”»」』" or depth:
-                reach(("", depth), cost, path)
-            else:
-                if "node" not in known:
-                    at = q
-                    while at < end and (text[at].isspace() or (text[at] in CLOSERS and at == q and text[at] not in "“\"")):
-                        at += 1
-                    known["node"] = (at, evidence(text, start, p, q, at, end, lang) if at < end else AGAINST)
-                reach(("", 0), *cut(cost, path, *known["node"]))
-        if len(after) > BEAM:
-            after = dict(sorted(after.items(), key=lambda x: x[1][0])[:BEAM])
-        states = after
-    _, path = min(((cost + UNCLOSED * (bool(close) + depth), path) for (close, depth), (cost, path) in states.items()), key=lambda x: x[0])
+                states = {("", 1): (0.0, path), ("", 0): (IGNORED, path)}
+            elif c not in "”»」』)]）":
+                at, found = _node(text, start, p, q, end, lang)
+                if found > 0:
+                    path = (at, path)
+            continue
+        states = _step(states, text, start, p, q, end, lang)
+        if len(states) == 1 and ("", 0) in states:
+            path, states = states["", 0][1], {}
+    if states:
+        path = min(((cost + UNCLOSED * (bool(close) + depth), own) for (close, depth), (cost, own) in states.items()), key=lambda x: x[0])[1]
     out = []
     while path:
         out.append(path[0])
         path = path[1]
     out.reverse()
-    return sorted({*out, *cjk_starts(text, start, end)}) if lang in ("zh", "ja") else out
+    return sorted({*out, *cjk_starts(text, start, end)}) if lang == "zh" else out
+
+
+def _node(text: str, start: int, p: int, q: int, end: int, lang: str) -> tuple[int, float]:
+    """Where a sentence would begin after the terminator text[p:q], and how much speaks for it."""
+    at = q
+    while at < end and (text[at].isspace() or (text[at] in CLOSERS and at == q and text[at] not in "“\"")):
+        at += 1
+    return at, evidence(text, start, p, q, at, end, lang) if at < end else AGAINST
+
+
+def _step(states: dict, text: str, start: int, p: int, q: int, end: int, lang: str) -> dict:
+    """The states after one more sign: a node is cut or passed, whichever costs less; evidence that is ignored is what costs."""
+    c, node, after = text[p], None, {}
+
+    def reach(state: tuple[str, int], cost: float, path: tuple | None, cut: tuple[int, float] | None = None) -> None:
+        if cut is not None and cut[1] > 0:
+            path = (cut[0], path)
+        if state not in after or cost < after[state][0]:
+            after[state] = (cost, path)
+
+    for (close, depth), (cost, path) in states.items():
+        if close and c != close:
+            reach((close, depth), cost, path)
+        elif close and depth:
+            reach(("", depth), cost, path)
+        elif close:
+            at = q
+            while at < end and (text[at].isspace() or text[at] in CLOSERS and text[at] != "“"):
+                at += 1
+            reach(("", 0), cost, path, (at, closing(text, p, at, end, lang)))
+        elif c in OPENER:
+            reach((OPENER[c], depth), cost, path)
+            reach(("", depth), cost + IGNORED, path)
+        elif c in "([（":
+            reach(("", depth + 1), cost, path)
+            reach(("", depth), cost + IGNORED, path)
+        elif c in ")]）":
+            reach(("", max(0, depth - 1)), cost, path)
+        elif c in "”»」』" or depth:
+            reach(("", depth), cost, path)
+        else:
+            node = node or _node(text, start, p, q, end, lang)
+            reach(("", 0), cost, path, node)
+    return after if len(after) <= BEAM else dict(sorted(after.items(), key=lambda x: x[1][0])[:BEAM])
 
 
 #: States of a paragraph that are followed at once; more than this would need as many signs open within each other.
@@ -368,7 +407,7 @@ def is_caption(block: list[str], after: list[str]) -> bool:
 
 def starts(text: str) -> list[int]:
     """0-based offset of the first character of every sentence unit of a text."""
-    lang = language(text)
+    lang, mixed = language(text)
     units, lines, at = set(), [], 0
     for line in text.split("\n"):
         lines.append((at, at + len(line), line.strip()))
@@ -431,7 +470,7 @@ def starts(text: str) -> list[int]:
         units.add(a + start)
         m = NUMBER.match(body, start)
         inner = m.end() if m and m.end() < end and body[start : m.end()].strip() else start
-        units.update(a + s for s in paragraph_starts(body, inner, end, paragraph_language(body[start:end], lang)) if s < end)
+        units.update(a + s for s in paragraph_starts(body, inner, end, paragraph_language(body[start:end], lang, mixed)) if s < end)
     return sorted(units)
 
 

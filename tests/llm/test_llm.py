@@ -433,7 +433,7 @@ def test_layout_of_a_document():
 def test_rules_come_from_the_whole_text_and_its_paragraphs():
     quoted = "The judge said that it was late and that the claim of the owner was to fail. " * 30
     german = "Das wird nach § 3 Anm. 75 nicht entschieden. " * 120
-    assert sentences.language(quoted + "\n\n" + german) == "de" and len(cut(quoted + "\n\n" + german)) == 150
+    assert sentences.language(quoted + "\n\n" + german) == ("de", True) and len(cut(quoted + "\n\n" + german)) == 150
     thai = "ศาลเห็นว่าพ้นกำหนดเวลาแล้ว ให้ยกคำร้อง"
     parts = cut("\n\n".join([quoted, thai, quoted, thai, quoted]))
     assert parts.count("ให้ยกคำร้อง") == 2 and len(parts) == 94
