@@ -185,6 +185,44 @@ named as (select id, least(id, coalesce((select min(b) from reach where reach.a
 border as (select l.a as id, arg_min(named.cluster, named.id) as cluster from link l join named on named.id = l.b group by l.a)
 """
 
+
+
+def dense_sql(tag: str, links: str, points: int) -> str:
+    """CTEs of the density clusters of edges(a, b), told by both ends: named<tag> for cores, border<tag> for the rest."""
+    return f"""
+link{tag} as ({links}),
+core{tag} as (select a as id from link{tag} group by a having count(*) + 1 >= {points}),
+inner{tag} as (select a, b from link{tag} where a in (select id from core{tag}) and b in (select id from core{tag})),
+reach{tag}(a, b) as (select a, b from inner{tag} union select r.a, l.b from reach{tag} r join inner{tag} l on r.b = l.a),
+named{tag} as (select id, least(id, coalesce((select min(b) from reach{tag} where reach{tag}.a = core{tag}.id), id)) as cluster from core{tag}),
+border{tag} as (select l.a as id, arg_min(named{tag}.cluster, named{tag}.id) as cluster from link{tag} l join named{tag} on named{tag}.id = l.b where l.a not in (select id from core{tag}) group by l.a),
+label{tag} as (select mv.id, coalesce(n.cluster, b.cluster, -1) as cluster from mv left join named{tag} n on n.id = mv.id left join border{tag} b on b.id = mv.id)"""
+
+
+def refined_sql(tag: str, before: str, least: float) -> str:
+    """CTEs of one round that clusters the clusters of more than ten rows again: final<tag>(id, cluster)."""
+    inside = f"select l.a, l.b from (select a, b, score from edge union all select b, a, score from edge) l join big{tag} x on x.id = l.a join big{tag} y on y.id = l.b and y.cluster = x.cluster where l.score >= {least}::double - 1e-13"
+    return f"""
+big{tag} as (select * from {before} where cluster in (select cluster from {before} where cluster >= 0 group by 1 having count(*) > 10)),{dense_sql(tag, inside, 4)},
+new{tag} as (select b.id, case when max(l.cluster) over (partition by b.cluster) >= 0 then l.cluster else b.cluster end as cluster from big{tag} b join label{tag} l using (id)),
+final{tag} as (select p.id, coalesce(n.cluster, p.cluster) as cluster from {before} p left join new{tag} n using (id))"""
+
+
+BOTH = "select a, b from edge union all select b, a from edge"
+ALBUMS = EDGE + ", seen as (select id from visible)," + dense_sql("v", f"select * from ({BOTH}) where a in (select id from seen) and b in (select id from seen)", 6) + """,
+mine as (select l.cluster as album, mv.id, mv.v, mv.nm from labelv l join mv using (id) where l.cluster >= 0 and l.id in (select id from seen)),
+dims as (select album, i, sum(v[i] / nm) as s from mine, range(1, 97) q(i) group by 1, 2),
+cen as (select album, list(s order by i) as c from dims group by 1),
+rated as (select m.album, m.id, list_dot_product(m.v, c.c) / m.nm / sqrt(list_dot_product(c.c, c.c)) as score from mine m join cen c using (album)),
+topic as (select album, topic, list_dot_product(c, w) / sqrt(list_dot_product(w, w)) / sqrt(list_dot_product(c, c)) as score from cen, (select 'topic ' || i as topic, list_transform(range(0, 96), lambda j: case when j % 5 = i then 1.0::double else -0.25::double end) as w from range(0, 5) q(i))),
+titled as (select album, max(case when score >= 0.25::double then topic end) as topic from (select *, row_number() over (partition by album order by score desc, topic desc) as rn from topic) where rn = 1 group by 1),
+base as (select r.album, count(*) as items, arg_max(r.id, (round(r.score, 11), -r.id)) as cover, min(m.dateTaken) as first, max(m.dateTaken) as last from rated r left join m using (id) group by 1),
+spanned as (select base.*, topic, case when first is null then 'undated' when strftime(first, '%Y-%m') = strftime(last, '%Y-%m') then strftime(first, '%b %Y') when year(first) = year(last) then year(first)::varchar else year(first) || '–' || year(last) end as span from base join titled using (album)),
+based as (select *, coalesce(topic, 'Similar photos · ' || span) as base from spanned),
+nth as (select *, row_number() over (partition by base order by items desc, album) as nth from based),
+mth as (select *, row_number() over (partition by base, span, topic is not null and nth > 1 order by items desc, album) as mth from nth)
+"""
+
 ORACLE = {
     "person_media_counts": sql("select p.id, p.name, p.position, count(*) as mediaCount from p join pm on pm.personId = p.id where pm.mediaId in (select id from m where not isHiddenByUser) group by 1, 2, 3"),
     "person_media_feed": sql("select id, sensitiveScore from sm where not isHiddenByUser and id in (select mediaId from pm where personId = (select personId from f where personId is not null group by 1 order by count(*) desc, 1 limit 1))"),
@@ -207,6 +245,8 @@ select *, case when ao + an - i > 0 then i / (ao + an - i) else 0 end as iou fro
     "knn_assign": sql("select id, pid as personId from won", KNN.format(cand="cand")),
     "knn_rejected": sql("select id, pid as personId from won", KNN.format(cand="cand").replace("ranked as (select *,", "two as (select id, pid from (select *, row_number() over (partition by id order by score desc, pid) as rn from top3 where id % 3 > 0) where rn <= id % 3), ranked as (select *,").replace("as second from top3)", "as second from top3 where (id, pid) not in (select (id, pid) from two))")),
     "faces_by_weight": sql("select id, row_number() over (order by locked, weight desc, id) - 1 as pos from (select f.id, f.lockedPersonId is null as locked, sqrt(greatest(0, (f.boxRight - f.boxLeft)::double * case when v.width > 0 then v.width else 1 end * (f.boxBottom - f.boxTop)::double * case when v.height > 0 then v.height else 1 end)) * f.score as weight from f join visible v on v.id = f.mediaId where not f.isArtifact and f.embedVersion = 2 and f.score is not null)"),
+    "dbscan_refine": sql("select id, cluster from finalb", EDGE + "," + dense_sql("z", BOTH, 4) + "," + refined_sql("a", "labelz", 0.88) + "," + refined_sql("b", "finala", 0.9), recursive=True),
+    "smart_albums": sql("select album, row_number() over (order by items desc, album) as position, items, cover, first, last, case when nth = 1 then base when topic is not null and mth = 1 then base || ' · ' || span else base || ' · ' || nth end as name from mth", ALBUMS, recursive=True),
     "box_suppress": sql("select mediaId, unnest(kept) as id from (select mediaId, kept, row_number() over (partition by mediaId order by n desc) as r from walk) where r = 1", """
 b as (select mediaId, id, row_number() over (partition by mediaId order by score desc, id) as n, boxLeft::double as l, boxTop::double as t, boxRight::double as r, boxBottom::double as d from f where boxRight > boxLeft and boxBottom > boxTop and score is not null),
 ov as (select x.mediaId, x.n, coalesce(list(y.id) filter (where greatest(0, least(x.r, y.r) - greatest(x.l, y.l)) * greatest(0, least(x.d, y.d) - greatest(x.t, y.t)) > 0.3::double * ((x.r - x.l) * (x.d - x.t) + (y.r - y.l) * (y.d - y.t) - greatest(0, least(x.r, y.r) - greatest(x.l, y.l)) * greatest(0, least(x.d, y.d) - greatest(x.t, y.t)))), []) as over
