@@ -224,12 +224,12 @@ def _sparse(weight: np.ndarray, sums: np.ndarray, pairs: np.ndarray, least: floa
 def clusters(vectors: DataFrame, n: int, dim: int, least: float = 0.57, smallest: int = 5) -> DataFrame:
     """(cluster_id, member_id, score): sets of at least `smallest` vectors, each with a mean cosine >= least to the others.
 
-    vectors(id, vec): usable vectors; repeated rows of an id are equal and count once; n: their number. score is that mean; a vector goes to the cluster of
+    vectors(id, vec): usable vectors; repeated rows of an id are equal and count once, null ids don't; n: their number. score is that mean; a vector goes to the cluster of
     highest mean and to none where that is below least; cluster_id is the smallest member id. Equal vectors count singly; of a
     vector that very many ids have, one stands for all with their number until the end.
     No vectors, or no such set, give no rows. Further columns are ignored.
     """
-    rows, rest = split_repeats(vectors.select("id", "vec"), n, 1)
+    rows, rest = split_repeats(vectors.select("id", "vec").where("id is not null"), n, 1)
     pivots = fit(rows, n, dim, CELL_ROWS, MEET[0][1], MEET[0][2])
     placed = place(rows, pivots, least, 0, keep=["weight"], half=True)
 

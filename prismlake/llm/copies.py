@@ -101,10 +101,10 @@ def copies(rows: DataFrame, dim: int, bits: int = 6, with_hash: float = 0.95, wi
     With both hashes and both usable vectors: hashes differ in at most `bits` and cosine >= with_hash. With both vectors
     and a hash missing: cosine >= without_hash. With a vector unusable (null, other length, null or NaN inside, norm not
     above 1e-12): both hashes with a number of set bits in `detail` and at most hash_only_bits different. A row with
-    neither takes part in no pair. One row an id; equal rows under several ids are copies like any others. Empty tables
+    neither takes part in no pair, nor does a null id. One row an id; equal rows under several ids are copies like any others. Empty tables
     give an empty result; further columns are ignored.
     """
-    rows = cut(rows.select("id", "hash", F.when(usable(F.col("vec"), dim), F.col("vec")).alias("vec")), "copies")
+    rows = cut(rows.where("id is not null").select("id", "hash", F.when(usable(F.col("vec"), dim), F.col("vec")).alias("vec")), "copies")
     ones = F.bit_count("hash")
     detailed = F.coalesce(ones.between(*detail), F.lit(False))
     narrow = rows.select("id", "hash", F.col("vec").isNotNull().alias("good"))
@@ -165,7 +165,7 @@ def copy_groups(rows: DataFrame, dim: int, detail: tuple[int, int] = (5, 59)) ->
     """
     rows = rows.select("id", "hash", F.when(usable(F.col("vec"), dim), F.col("vec")).alias("vec"))
     # Without a usable vector and a detailed hash a row is no copy of anything.
-    rows = cut(rows.where(F.col("vec").isNotNull() | F.coalesce(F.bit_count("hash").between(*detail), F.lit(False))), "copy-groups")
+    rows = cut(rows.where("id is not null").where(F.col("vec").isNotNull() | F.coalesce(F.bit_count("hash").between(*detail), F.lit(False))), "copy-groups")
     stay, rest = split_repeats(rows, rows.count(), 1, ("hash", "vec"))
     pairs = cut(copies(stay, dim, detail=detail), "copy-pairs")
     both = pairs.unionByName(pairs.select(F.col("media_b").alias("media_a"), F.col("media_a").alias("media_b")))

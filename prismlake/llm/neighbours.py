@@ -154,13 +154,13 @@ def search_cell(ids: np.ndarray, x: np.ndarray, home: np.ndarray, k: int, least:
 def nearest(vectors: DataFrame, n: int, dim: int, k: int, least: float, spread: float = 0.9) -> DataFrame:
     """(item_id, neighbour_id, cosine): for every vector its k most similar others with cosine (12 places) >= least.
 
-    vectors(id, vec): usable vectors; repeated rows of an id are equal and count once; n: their number. Ties go to the
-    smaller id; equal vectors are each other's neighbours at cosine 1. Of a vector that very many rows have the k + 1
+    vectors(id, vec): usable vectors; repeated rows of an id are equal and count once, null ids don't; n: their number.
+    Ties go to the smaller id; equal vectors are each other's neighbours at cosine 1. Of a vector that very many rows have the k + 1
     smallest ids are searched, and the others take over what the smallest found. No vectors, or one, give no rows.
     Approximate: a pair is missed if neither vector's visits reach the other's home, or if the scan abandons it; measured
     recall is in the README. Other columns are ignored.
     """
-    rows, rest = split_repeats(vectors.select("id", "vec"), n, k + 1)
+    rows, rest = split_repeats(vectors.select("id", "vec").where("id is not null"), n, k + 1)
     pivots = fit(rows, n, dim, LIST_ROWS, least, spread)
     turn = rotation(dim)
 

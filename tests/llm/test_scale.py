@@ -26,6 +26,7 @@ def test_nearest_with_vectors_that_very_many_have(spark, monkeypatch):
     order = np.random.default_rng(2).permutation(len(x))
     df = spark.createDataFrame([(int(i), x[i].tolist()) for i in order] + [(3, x[3].tolist())] * 20, VEC)
     want = neighbours_by_hand(np.arange(len(x)), x, 5, 0.8)
+    df = df.union(spark.createDataFrame([(None, x[0].tolist())] * 3, VEC)).selectExpr("*", "1 as home", "'x' as weight", "2 as _h")
     got = {(r["item_id"], r["neighbour_id"]) for r in nearest(df, len(x), 16, 5, 0.8).collect()}
     assert got == {(a, b) for a, b, *_ in want}
 
@@ -59,7 +60,7 @@ def partition(rows):
 def test_clusters_over_blocks_levels_and_repeats(spark, monkeypatch):
     x = planted(np.random.default_rng(5), 8, 25, 48, 0.5).astype(np.float32)
     x = np.concatenate([x, np.repeat(x[3:4], 40, 0), np.repeat(x[60:61], 30, 0)])
-    df = frame(spark, x)
+    df = frame(spark, x).union(spark.createDataFrame([(None, x[0].tolist())], VEC)).selectExpr("*", "1 as cell", "2 as count", "3 as cluster")
     plain = clusters(df, len(x), 48).cache()
     want = partition(plain.collect())
     assert len(want) == 8 and sum(map(len, want)) == len(x)
@@ -99,7 +100,7 @@ def test_groups_of_copies_with_rows_that_very_many_equal(spark, monkeypatch):
     x = planted(rng, 10, 4, 8, 0.1).tolist()
     rows = [(i, int(rng.integers(1 << 40, 1 << 60)) if i % 3 else None, v) for i, v in enumerate(x)]
     rows += [(100 + i, 0x0F0F0F0F0F0F, x[0]) for i in range(40)] + [(200 + i, 0x0F0F0F0F0F0E, None) for i in range(30)] + [(300 + i, 1, None) for i in range(30)] + [(400 + i, None, x[5]) for i in range(30)]
-    df = spark.createDataFrame(rows, "id bigint, hash bigint, vec array<float>")
+    df = spark.createDataFrame([*rows, (None, 0x0F0F0F0F0F0F, x[0])], "id bigint, hash bigint, vec array<float>").selectExpr("*", "1 as parts", "2 as media_a")
     pairs = copies_by_hand(rows)
     links = {}
     for a, b in pairs:
