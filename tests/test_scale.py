@@ -167,3 +167,40 @@ def test_dense_chains_equal_naive_with_bans():
     x = seeded(np.random.default_rng(12), 4, 9, 8, 0.9)
     got = linkage.average_linkage(x, 0.3, bans=[(0, 1), (2, 30)])
     assert all(got[a] != got[b] for a, b in ((0, 1), (2, 30))) and len(partition(got)) > 3
+
+
+def places_and_strays(n, dim, seed):
+    """Many small places far from each other, and a fifth of strays, some of them near the edge of a place."""
+    rng = np.random.default_rng(seed)
+    centre = np.linalg.qr(rng.normal(size=(dim, dim)))[0][:24]
+    x = centre[rng.integers(0, 24, n)] + rng.normal(size=(n, dim)) * 0.5 / np.sqrt(dim)
+    x[: n // 10] = rng.normal(size=(n // 10, dim))
+    x[n // 10 : n // 5] = centre[rng.integers(0, 24, n // 5 - n // 10)] + rng.normal(size=(n // 5 - n // 10, dim)) * 1.2 / np.sqrt(dim)
+    return rng.permutation(x)
+
+
+def test_links_and_clusters_place_few_rows(spark, small):
+    """Every place but the strays' neighbours is met where it is, and strays are told to both sides."""
+    x, dim = places_and_strays(900, 32, 3), 32
+    df = frame(spark, x)
+    pivots = cells.gather(df, len(x), dim, 40, 0.7, similarity.whole(dim))
+    _, _, _, back = pivots.visiting(unit(x).astype(np.float32), 0.7, similarity.whole(dim))
+    assert pivots.far > 10 and 0 < pivots.held[-1] < 300 and back.any()
+    assert pivots.held.sum() + pivots.met.sum() < 2 * len(x)
+    c = np.round(unit(x) @ unit(x).T, 12) - 2 * np.eye(len(x))
+    assert {r["id"]: r["links"] for r in similarity.links(df, len(x), dim, 0.7).collect()} == {i: int(d) for i, d in enumerate((c >= 0.7).sum(1)) if d}
+    edges = frame_of_pairs(spark, np.argwhere(np.triu(c >= 0.7)))
+    for points in (4, 12):
+        want = {r["id"]: r["cluster"] for r in dbscan.dbscan(df, edges, points).collect()}
+        assert {r["id"]: r["cluster"] for r in dbscan.density(df, len(x), dim, 0.7, points).collect()} == want
+
+
+def frame_of_pairs(spark, pairs):
+    return spark.createDataFrame([tuple(map(int, p)) for p in pairs], "a long, b long")
+
+
+def test_neighbours_of_places_and_strays(spark, small):
+    x, dim = places_and_strays(900, 32, 4), 32
+    c = np.round(unit(x) @ unit(x).T, 12) - 2 * np.eye(len(x))
+    got = {(r["id"], r["other"]) for r in similarity.neighbours(frame(spark, x), len(x), dim, 5, 0.6, spread=similarity.whole(dim)).collect()}
+    assert got == {(i, int(j)) for i in range(len(x)) for j in np.lexsort((np.arange(len(x)), -c[i]))[:5] if c[i, j] >= 0.6}
