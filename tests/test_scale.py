@@ -204,3 +204,18 @@ def test_neighbours_of_places_and_strays(spark, small):
     c = np.round(unit(x) @ unit(x).T, 12) - 2 * np.eye(len(x))
     got = {(r["id"], r["other"]) for r in similarity.neighbours(frame(spark, x), len(x), dim, 5, 0.6, spread=similarity.whole(dim)).collect()}
     assert got == {(i, int(j)) for i in range(len(x)) for j in np.lexsort((np.arange(len(x)), -c[i]))[:5] if c[i, j] >= 0.6}
+
+
+def test_rejections_of_a_plan_pass_on_two_persons_a_face(spark, tmp_path, monkeypatch):
+    """knn_rejected needs the two best persons of a face: no more of them are written down."""
+    from prismlake.plans import faces as plan
+
+    rng, asked = np.random.default_rng(8), []
+    means = people._means
+    monkeypatch.setattr(people, "_means", lambda *a, **kw: asked.append(means(*a, **kw)) or asked[-1])
+    x = rng.normal(size=(90, 128)).astype(np.float32)
+    rows = [(i, i, 2, i % 6 if i < 60 else None, False, x[i].tolist()) for i in range(90)]
+    spark.createDataFrame(rows, "id long, mediaId long, embedVersion int, lockedPersonId long, isArtifact boolean, embedding array<float>").withColumn("personId", F.col("lockedPersonId")).write.parquet(f"{tmp_path}/face.parquet")
+    got = plan.two_rejected(spark, str(tmp_path)).groupBy("faceId").count().collect()
+    assert {r["faceId"]: r["count"] for r in got} == {i: i % 3 for i in range(60, 90) if i % 3}
+    assert asked[0].count() == 60
