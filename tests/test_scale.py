@@ -195,6 +195,21 @@ def test_links_and_clusters_place_few_rows(spark, small):
         assert {r["id"]: r["cluster"] for r in dbscan.density(df, len(x), dim, 0.7, points).collect()} == want
 
 
+def test_density_never_joins_its_vectors(spark, small, monkeypatch):
+    """A join would shuffle all vectors by id, beside the shuffle of their tiles."""
+    plans, write = {}, dbscan.cut
+    monkeypatch.setattr(dbscan, "cut", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and write(df, name))
+    x = seeded(np.random.default_rng(6), 5, 30, 16, 1.1)
+    got = dbscan.density(frame(spark, x), len(x), 16, 0.75, 4)
+    depth, under = lambda line: len(line) - len(line.lstrip(" :+-")), []
+    lines = plans["density-trees"].split("\n")
+    for i, line in enumerate(lines):
+        if line.lstrip(" :+-").startswith("Join"):
+            under += [x for x in lines[i + 1 : next((j for j in range(i + 1, len(lines)) if depth(lines[j]) <= depth(line)), len(lines))]]
+    assert under and not any("vec#" in x for x in under)
+    assert got.count() == len(x)
+
+
 def frame_of_pairs(spark, pairs):
     return spark.createDataFrame([tuple(map(int, p)) for p in pairs], "a long, b long")
 
