@@ -1,5 +1,8 @@
 """Operators forced into many cells, tiles and rounds give what they give in one."""
 
+import os
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -210,6 +213,29 @@ def test_density_never_joins_its_vectors(spark, small, monkeypatch):
     assert got.count() == len(x)
 
 
+def test_refinement_leaves_one_table(spark, small, monkeypatch):
+    """Members' vectors and earlier labels are removed after each round."""
+    kept, write = {}, dbscan.cut
+    monkeypatch.setattr(dbscan, "cut", lambda df, name: kept.setdefault((found := write(df, name))._cut_path, (name, found))[1])
+    x = seeded(np.random.default_rng(6), 5, 30, 16, 1.1)
+    df = frame(spark, x)
+    labels = dbscan.density(df, len(x), 16, 0.6, 4).select("id", "cluster")
+    assert dbscan.refine(df, labels, 16, 0.4, 4, step=0.15, floor=0.0, rounds=2, largest=5, share=0.0).count() == len(x)
+    assert sum(os.path.exists(path) for path, (name, _) in kept.items() if name == "refine") == 1
+    assert not any(os.path.exists(path) for path, (name, _) in kept.items() if name == "density-tiles")
+
+
+def test_visits_hold_few_vectors_of_pivots_at_once():
+    """Rows near very many pivots: the pivots' vectors aren't all gathered beside each other."""
+    x = unit(np.random.default_rng(2).normal(size=(2500, 96)) + 0.5).astype(np.float32)
+    k = 2000
+    pivots = cells.Groups(x[:k], np.zeros((0, 0), np.float32), np.ones(k + 1), np.ones(k + 1), np.arange(k), 0.6)
+    tracemalloc.start()
+    home, row, _, _ = pivots.visiting(x[k:], 0.5, similarity.whole(96))
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20 and len(row) > 100_000
+    tracemalloc.stop()
+
+
 def frame_of_pairs(spark, pairs):
     return spark.createDataFrame([tuple(map(int, p)) for p in pairs], "a long, b long")
 
