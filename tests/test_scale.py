@@ -236,6 +236,19 @@ def test_visits_hold_few_vectors_of_pivots_at_once():
     tracemalloc.stop()
 
 
+def test_rebuilt_people_keep_one_table_of_vectors(spark, monkeypatch):
+    kept, write = {}, pipeline.cut
+    monkeypatch.setattr(pipeline, "cut", lambda df, name: kept.setdefault((found := write(df, name))._cut_path, found))
+    rng = np.random.default_rng(3)
+    x = np.repeat(np.linalg.qr(rng.normal(size=(16, 16)))[0][:3], 6, axis=0) + rng.normal(size=(18, 16)) * 0.02
+    rows = [(i, i, None, 7 if i < 2 else None, x[i].tolist(), 0.2, 0.2, 0.4, 0.4, 0.9, 100, 100) for i in range(18)]
+    face = spark.createDataFrame(rows, "id long, mediaId long, personId long, lockedPersonId long, embedding array<float>, boxLeft double, boxTop double, boxRight double, boxBottom double, score double, width int, height int")
+    found, members = pipeline.rebuild(face, face.where("id < 0").select("id", "embedding"), 16)
+    there = [df for path, df in kept.items() if os.path.exists(path) and {"vec", "embedding"} & set(df.columns)]
+    assert len(there) == 1 and len(kept) > 6
+    assert sorted(r["faces"] for r in found.collect()) == [6, 6, 6] and members.count() == 18
+
+
 def frame_of_pairs(spark, pairs):
     return spark.createDataFrame([tuple(map(int, p)) for p in pairs], "a long, b long")
 
