@@ -2,8 +2,9 @@
 
 Every block of a vector cell grows a cluster-feature tree of its own: a feature is a number and a linear sum; a vector
 goes down the branches nearest to it and into the leaf there whose mean cosine to it is high enough, or opens a new one;
-a branch with too many leaves is split. The trees of a cell's blocks are merged two by two, level by level. The leaves
-that remain meet in every cell that one could share with its like: Ward agglomeration joins them there, and what cells
+a branch with too many leaves is split. The trees of a cell's blocks are merged two by two, level by level. Leaves are
+then agglomerated by Ward's method, first for some rounds in cells of leaves, each leaf at home alone, so that a cluster's
+leaves from many cells become few; what remains meets in every cell that one could share with its like, and what cells
 agree on is closed over as connected components. A last pass holds every vector against the clusters' centres. Only
 summaries move between the steps; they are as many as there are clusters and stray vectors. Leaves are grown and merged
 at half precision; the last pass, which decides, uses the vectors as stored.
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismlake.operators.cells import fit, from_halves, lists, matrix, place, split_repeats, tiled, unit, visit
+from prismlake.operators.cells import Pivots, fit, from_halves, lists, matrix, place, split_repeats, tiled, unit, visit, visits
 from prismlake.operators.components import components
 from prismlake.tables import cut, discard
 
@@ -27,6 +28,8 @@ BRANCH, BEAM = 96, 3
 DENSE_LEAVES = 1_024
 #: Where leaves look for their like: least cosine and spread for those of several vectors, and for single ones.
 MEET = ((True, 0.65, 2.0), (False, 0.80, 1.0))
+#: Leaves of a cell in which they meet, rounds in which they do so at home alone, and leaves looked at to tell visitors.
+MEET_ROWS, ROUNDS, MET_SAMPLE = 4_096, 2, 4_096
 
 
 class Tree:
@@ -124,18 +127,21 @@ def leaves(x: np.ndarray, least: float, weight: np.ndarray | None = None, step:
     return np.concatenate(leaf) if leaf else np.zeros(0, np.int64), tree.count.astype(np.int64), tree.sums
 
 
-def ward(count: np.ndarray, sums: np.ndarray, least: float) -> np.ndarray:
+def ward(count: np.ndarray, sums: np.ndarray, least: float, home: np.ndarray | None = None) -> np.ndarray:
     """Group of each leaf: leaves whose mean cosine is at least `least` merge, mutually nearest by Ward's distance first.
 
     Mutual nearest neighbours may merge at once without changing the outcome; only leaves that touch others take part.
+    home: leaves of which one at least is in each pair that is looked for, all by default.
     """
     group = np.arange(len(count))
     mean = (sums / count[:, None]).astype(np.float32)
-    pairs = [np.zeros((0, 2), np.int64)]
-    for lo in range(0, len(mean), 256):
-        row, column = np.divmod(np.flatnonzero(mean[lo : lo + 256] @ mean.T >= least), len(mean))
-        keep = row + lo < column
-        pairs.append(np.stack([row[keep] + lo, column[keep]], 1))
+    home = np.ones(len(mean), bool) if home is None else home
+    at, pairs = np.flatnonzero(home), [np.zeros((0, 2), np.int64)]
+    for lo in range(0, len(at), 256):
+        row, column = np.divmod(np.flatnonzero(mean[at[lo : lo + 256]] @ mean.T >= least), len(mean))
+        row = at[lo + row]
+        keep = np.where(home[column], row < column, True)
+        pairs.append(np.sort(np.stack([row[keep], column[keep]], 1), axis=1))
     # Leaves that no chain of such pairs connects can't merge, so each connected set is agglomerated by itself.
     root = group.copy()
     ends = np.concatenate(pairs)
@@ -262,18 +268,47 @@ def clusters(vectors: DataFrame, n: int, dim: int, least: float = 0.57, smallest
         summaries = merged.where("count > 0").select("cell", "block", "leaf", "count", "vec")
         level, width = level + 1, -(-width // 2)
 
-    def meet(group: pa.Table) -> pa.Table:
+    def features(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         key, count = group.column("id").to_numpy(), group.column("count").to_numpy()
-        into = ward(count, from_halves(group.column("vec"), dim) * (group.column("length").to_numpy() * count)[:, None].astype(np.float32), least)
+        return key, count, from_halves(group.column("vec"), dim) * (group.column("length").to_numpy() * count)[:, None].astype(np.float32)
+
+    def gather(group: pa.Table) -> pa.Table:
+        """The leaves of a cell agglomerated; the first of each group carries their sum, others a count of 0."""
+        key, count, sums = features(group)
+        into = ward(count, sums, least)
+        first, at = np.unique(into, return_inverse=True)
+        total, summed = np.bincount(at, count), np.zeros((len(first), dim), np.float32)
+        np.add.at(summed, at, sums)
+        held, length = np.zeros(len(key), np.int64), np.zeros(len(key))
+        held[first], length[first] = total, np.sqrt(np.einsum("ij,ij->i", summed, summed, dtype=np.float64)) / total
+        return pa.table({"id": key, "into": key[into], "count": held, "length": length, "vec": _some_lists(held > 0, summed)})
+
+    def meet(group: pa.Table) -> pa.Table:
+        key, count, sums = features(group)
+        into = ward(count, sums, least, group.column("home").to_numpy())
         away = np.flatnonzero(into != np.arange(len(into)))
         return pa.table({"a": key[away], "b": key[into[away]]})
 
-    # Leaves of several vectors look far for their like; single vectors, mostly strays, are found by those or by the last pass.
     length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))) / F.col("count")
     sized = summaries.select(F.col("leaf").alias("id"), "count", "vec", length.alias("length"))
-    fewer = pivots.share(min(1.0, sized.count() / max(n, 1)))
-    many, single = (place(sized.where("count > 1" if several else "count = 1"), fewer, near, spread, keep=["count", "length"], half=True) for several, near, spread in MEET)
-    links = tiled(many.unionByName(single), fewer, 2 * dim + 60).applyInArrow(meet, "a bigint, b bigint")
+    keep, row = ["count", "length"], 2 * dim + 60
+    few, left = sized, sized.count()
+    # A cluster has leaves in many cells; where they are at home together they become one before any looks further.
+    for nth in range(ROUNDS):
+        if left <= MEET_ROWS:
+            break
+        cells = fit(few, left, dim, MEET_ROWS)
+        gathered = cut(tiled(place(few, cells, least, 0, keep, half=True), cells, row).applyInArrow(gather, "id bigint, `into` bigint, count bigint, length double, vec array<float>"), f"clusters-round-{nth}")
+        levels.append(gathered)
+        moved.append(gathered.where("id <> into").select(F.col("id").alias("a"), F.col("into").alias("b")))
+        few = gathered.where("count > 0").select("id", "count", "vec", "length")
+        left = few.count()
+    # Leaves of several vectors look far for their like; single vectors, mostly strays, are found by those or by the last pass.
+    cells = fit(few, left, dim, MEET_ROWS)
+    kinds = [(few.where("count > 1" if several else "count = 1"), near, spread) for several, near, spread in MEET]
+    cells = Pivots(cells.centre, cells.gap, cells.held, sum(_met(leaves_, cells, near, spread) for leaves_, near, spread in kinds))
+    many, single = (place(leaves_, cells, near, spread, keep, half=True) for leaves_, near, spread in kinds)
+    links = tiled(many.unionByName(single), cells, row).applyInArrow(meet, "a bigint, b bigint")
     for more in moved:
         links = links.unionByName(more)
     joined = cut(components(links).select(F.col("node").alias("leaf"), F.col("component").alias("cluster")), "clusters-joined")
@@ -305,16 +340,18 @@ def clusters(vectors: DataFrame, n: int, dim: int, least: float = 0.57, smallest
         own = count[at_m][by][np.minimum(np.searchsorted(key[at_m][by], ids), max(len(by) - 1, 0))] if len(by) else np.full(len(ids), -1)
         position = np.minimum(np.searchsorted(name, own), len(name) - 1)
         inside = name[position] == own
-        best, score = np.zeros(len(ids), np.int64), np.zeros(len(ids))
+        best, score = np.zeros(len(ids), np.int64), np.full(len(ids), -1.0)
+        mean = np.ascontiguousarray((centre / size[:, None]).T, np.float32)
         for lo in range(0, len(ids), 512):
             part = unit(x[lo : lo + 512])
-            sums = part @ centre.T
-            mean = sums / size
-            row = np.flatnonzero(inside[lo : lo + 512])
-            column = position[lo + row]
-            mean[row, column] = (sums[row, column] - 1) / np.maximum(size[column] - 1, 1)
-            best[lo : lo + 512] = mean.argmax(1)
-            score[lo : lo + 512] = mean.max(1)
+            # In single precision for those that may reach `least`; without a vector's own part its mean is lower still.
+            row, column = np.divmod(np.flatnonzero(part.astype(np.float32) @ mean >= least - 1e-4), len(name))
+            sums = np.concatenate([np.einsum("ij,ij->i", part[row[i : i + 65536]], centre[column[i : i + 65536]]) for i in range(0, len(row), 65536)] or [np.zeros(0)])
+            own_too = inside[lo + row] & (column == position[lo + row])
+            exact = np.where(own_too, (sums - 1) / np.maximum(size[column] - 1, 1), sums / size[column])
+            order = np.lexsort((column, -exact, row))
+            order = order[np.flatnonzero(np.r_[True, np.diff(row[order]) != 0])] if len(order) else order
+            best[lo + row[order]], score[lo + row[order]] = column[order], exact[order]
         ok = score >= least
         return pa.table({"cluster": name[best[ok]], "member_id": ids[ok], "score": score[ok]})
 
@@ -344,9 +381,25 @@ def _leaf_rows(group: pa.Table, key: np.ndarray, first: np.ndarray, count: np.nd
     at = np.full(len(key), -1)
     at[first] = np.arange(len(first))
     has = at >= 0
-    dim = sums.shape[1]
-    total = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(has, dim, 0))].astype(np.int32)), pa.array(sums[at[has]].ravel()), mask=pa.array(~has))
-    return pa.table({"cell": group.column("cell"), "block": group.column("block"), "id": group.column("id"), "leaf": pa.array(key), "count": pa.array(np.where(has, count[np.maximum(at, 0)], 0)), "vec": total})
+    return pa.table({"cell": group.column("cell"), "block": group.column("block"), "id": group.column("id"), "leaf": pa.array(key), "count": pa.array(np.where(has, count[np.maximum(at, 0)], 0)), "vec": _some_lists(has, sums[at[has]])})
+
+
+def _some_lists(has: np.ndarray, x: np.ndarray) -> pa.Array:
+    """Lists of the rows of x, in order, where `has` is true; elsewhere null."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(has, x.shape[1], 0))].astype(np.int32)), pa.array(x.ravel()), mask=pa.array(~has))
+
+
+def _met(rows: DataFrame, pivots: Pivots, least: float, spread: float) -> np.ndarray:
+    """By cell, how many of rows(id, vec) are to be expected as visitors, from those of MET_SAMPLE rows of smallest hash."""
+    n = rows.count()
+    part = min(1.0, MET_SAMPLE / max(n, 1))
+    sample = rows if part == 1.0 else rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(np.ceil(part * (1 << 20))))
+    found = sample.select("vec").toArrow()
+    if not found.num_rows:
+        return np.zeros(len(pivots.centre))
+    home, _, cell = visits(unit(matrix(found.column(0), pivots.dim), np.float32), pivots, least, spread)
+    count = np.bincount(cell, minlength=len(pivots.centre)) - np.bincount(home, minlength=len(pivots.centre))
+    return count * (n / found.num_rows)
 
 
 def describe(members: DataFrame, typical: int = 3) -> DataFrame:

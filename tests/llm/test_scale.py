@@ -112,3 +112,38 @@ def test_groups_of_copies_with_rows_that_very_many_equal(spark, monkeypatch):
     assert {tuple(r) for r in copy_groups(df, 8).collect()} == want
     assert copy_groups(df.limit(0), 8).count() == 0
     assert {tuple(r) for r in copies(df, 8).collect()} == pairs
+
+
+def test_few_leaves_look_far_however_many_cells(spark, monkeypatch):
+    rng = np.random.default_rng(17)
+    centre = rng.standard_normal((300, 48))
+    centre /= np.linalg.norm(centre, axis=1, keepdims=True)
+    x = np.repeat(centre, 8, axis=0) + rng.standard_normal((2400, 48)) * 0.08
+    df = spark.createDataFrame([(int(i), [float(f) for f in v]) for i, v in enumerate(x)], "id long, vec array<float>")
+    monkeypatch.setattr(clusters_module, "CELL_ROWS", 100)
+    monkeypatch.setattr(clusters_module, "MEET_ROWS", 100, raising=False)
+    seen, place = [], clusters_module.place
+
+    def counted(vectors, pivots, least, spread, *more, **named):
+        found = place(vectors, pivots, least, spread, *more, **named)
+        if spread == clusters_module.MEET[0][2]:
+            seen.append((vectors.count(), found.count()))
+        return found
+
+    monkeypatch.setattr(clusters_module, "place", counted)
+    found = {}
+    for r in clusters(df, len(x), 48).collect():
+        found.setdefault(r["cluster_id"], set()).add(r["member_id"])
+    assert sorted(map(sorted, found.values())) == [list(range(8 * i, 8 * i + 8)) for i in range(300)]
+    (leaves_, placed), = seen
+    assert leaves_ <= 1.3 * 300 and placed <= 4 * 300  # a theme's leaves from all cells are one before they look further
+
+
+def test_ward_looks_for_pairs_of_home_leaves():
+    rng = np.random.default_rng(18)
+    x = np.repeat(rng.standard_normal((3, 32)), 4, axis=0) + rng.standard_normal((12, 32)) * 0.05
+    x = cells.unit(x, np.float32)
+    home = np.arange(12) >= 4
+    group = ward(np.ones(12, np.int64), x, 0.57, home)
+    assert list(group) == [0, 1, 2, 3, *[4] * 4, *[8] * 4]
+    assert list(ward(np.ones(12, np.int64), x, 0.57)) == [0] * 4 + [4] * 4 + [8] * 4
