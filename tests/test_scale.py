@@ -273,3 +273,15 @@ def test_rejections_of_a_plan_pass_on_two_persons_a_face(spark, tmp_path, monkey
     got = plan.two_rejected(spark, str(tmp_path)).groupBy("faceId").count().collect()
     assert {r["faceId"]: r["count"] for r in got} == {i: i % 3 for i in range(60, 90) if i % 3}
     assert asked[0].count() == 60
+
+
+def test_gather_finds_places_by_a_share_of_many_rows(spark, monkeypatch):
+    from prismlake.operators import cells
+
+    rng = np.random.default_rng(23)
+    x = np.repeat(rng.standard_normal((100, 32)), 20, axis=0) + rng.standard_normal((2000, 32)) * 0.2
+    df = spark.createDataFrame([(i, [float(f) for f in v]) for i, v in enumerate(x)], "id long, vec array<float>")
+    for name, value in (("GROUP_SAMPLE", 100), ("GROUP_ONE_OF", 3), ("GROUP_MOST", 1000)):
+        monkeypatch.setattr(cells, name, value, raising=False)
+    groups = cells.gather(df, len(x), 32, 500, 0.86, 1.01 * np.sqrt(32))
+    assert groups.held[groups.far] < 0.5 * len(x)  # of a twentieth no place would be found
